@@ -13,7 +13,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bo
     ``single_file`` is for small reports; large tables keep one file per task.
     """
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).csv(path, header=True, escape='"')
+    out.write.mode(mode).csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_parquet(

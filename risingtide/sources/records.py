@@ -65,8 +65,11 @@ def _pieces(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def record_texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``file``, ``text`` and ``whole``: one row per record, header lines left out.
+def record_texts(spark: SparkSession, paths: str | Sequence[str], header: bool = True) -> DataFrame:
+    """``file``, ``text`` and ``whole``: one row per record.
+
+    With ``header`` the first record of every file is left out.
+
 
     A record with a stray quote, spread over very many blocks, stays in pieces
     with ``whole`` false.
@@ -96,11 +99,12 @@ def record_texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     everything = complete.unionByName(rejoined).unionByName(stray)
     # Line ends are written one way, as Spark's own reader gives them.
     text = F.regexp_replace(F.regexp_replace("text", "\r$", ""), "\r\n?", "\n")
-    return everything.where(~F.col("header")).select("file", text.alias("text"), "whole").where(F.length("text") > 0)
+    rows = everything.where(~F.col("header")) if header else everything
+    return rows.select("file", text.alias("text"), "whole").where(F.length("text") > 0)
 
 
 def read_records(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, header: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows, malformed records as ``file`` and ``text``).
 
@@ -108,7 +112,7 @@ def read_records(
     not fit its type.
     """
     full = with_corrupt(schema)
-    parsed = record_texts(spark, paths).select(
+    parsed = record_texts(spark, paths, header).select(
         "file",
         "text",
         "whole",
