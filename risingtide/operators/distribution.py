@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from risingtide.operators.skew import join_per_key
+from risingtide.session import materialise
 
 RANGES = 256
 
@@ -40,10 +41,12 @@ def running_before(
 ) -> DataFrame:
     """Add the sum of ``weight`` over all smaller values, and over the group.
 
-    ``df`` has one row per (``by``, ``value``). No task holds more than one
-    range of one group; the range totals are at most ``ranges`` rows a group.
+    ``df`` has one row per (``by``, ``value``) and is computed once. No task
+    holds more than one range of one group; the range totals are at most
+    ``ranges`` rows a group.
     """
     by = list(by)
+    df = materialise(df, "values")
     names = [f"__by{i}" for i in range(len(by))]
     cut = (
         df.withColumn("__splits", _splits(df, value, ranges))
@@ -135,7 +138,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     Whiskers are the extreme values within 1.5 interquartile ranges of the box.
     """
     by = list(by)
-    counted = value_counts(df.withColumn(value, F.col(value).cast("double")), value, by)
+    counted = materialise(value_counts(df.withColumn(value, F.col(value).cast("double")), value, by))
     box = quantiles(counted, value, [0.25, 0.5, 0.75], by, "__box", count="n")
     sizes = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("__values"))
     box = box.join(sizes.withColumnsRenamed({b: f"__{b}" for b in by}),
@@ -195,14 +198,13 @@ def exact_tiles(df: DataFrame, value: str, unique: str, tiles: int, out: str = "
     return df.withColumn("__firsts", firsts.scalar()).withColumn(out, label).drop("__firsts")
 
 
-def dense_rank_within(
-    df: DataFrame, by: Sequence[str], value: str, out: str
-) -> DataFrame:
+def dense_ranks(df: DataFrame, by: Sequence[str], value: str, out: str, rows: str) -> DataFrame:
+    """``by``, ``value``, its ascending dense rank ``out`` inside ``by`` and its ``rows`` in ``df``."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias(rows)).withColumn("__one", F.lit(1))
+    ranked = running_before(counts, value, "__one", by, out="__before", total="__groups")
+    return ranked.select(*by, value, (F.col("__before") + 1).cast("bigint").alias(out), rows)
+
+
+def dense_rank_within(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Ascending dense rank of ``value`` inside ``by``, joined onto the rows."""
-    by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__rows"))
-    ranked = running_before(
-        counts.withColumn("__one", F.lit(1)), value, "__one", by, out="__before", total="__groups"
-    ).withColumn(out, (F.col("__before") + 1).cast("bigint"))
-    stats = ranked.select(*by, value, out, "__rows")
-    return join_per_key(df, stats, [*by, value], "__rows")
+    return join_per_key(df, dense_ranks(df, by, value, out, "__rows"), [*by, value], "__rows")

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from risingtide.operators.distribution import dense_rank_within
+from risingtide.operators.distribution import dense_ranks
+from risingtide.operators.skew import join_per_key
+from risingtide.session import materialise
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -23,19 +25,42 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
+def _ranked_pairs(
+    df: DataFrame, group: Sequence[str], label: str, prediction: str, expected: str, predicted: str
+) -> DataFrame:
+    """Distinct (group, label, prediction) with both dense ranks and the number of rows ``__n``.
+
+    ``df``, often the output of a model, is computed once.
+    """
+    pairs = materialise(df.groupBy(*group, label, prediction).agg(F.count(F.lit(1)).alias("__n")))
+    ranked = pairs
+    for value, out in ((label, expected), (prediction, predicted)):
+        ranks = dense_ranks(pairs, group, value, out, "__rows")
+        ranked = join_per_key(ranked, ranks, [*group, value], "__rows")
+    return ranked.withColumns({c: F.col(c).cast("double") for c in (expected, predicted)})
+
+
 def with_ranks(
     df: DataFrame, group: Sequence[str], label: str, prediction: str,
     expected: str = "expected", predicted: str = "predicted",
 ) -> DataFrame:
     """Dense ranks of label and prediction inside the group, as doubles."""
-    ranked = dense_rank_within(df, group, label, expected)
-    ranked = dense_rank_within(ranked, group, prediction, predicted)
-    return ranked.withColumns({c: F.col(c).cast("double") for c in (expected, predicted)})
+    pairs = _ranked_pairs(df, group, label, prediction, expected, predicted)
+    return join_per_key(df, pairs, [*group, label, prediction], "__n")
 
 
 def rank_metrics(df: DataFrame, group: Sequence[str], label: str, prediction: str) -> DataFrame:
-    """MAE and MSE of within-group ranks: how well the order inside a group is met."""
-    narrow = df.select(*group, label, prediction)
-    return regression_metrics(
-        with_ranks(narrow, group, label, prediction), "expected", "predicted"
-    ).select("n", "mae", "mse")
+    """MAE and MSE of within-group ranks: how well the order inside a group is met.
+
+    Rows with the same label and prediction are scored together.
+    """
+    pairs = _ranked_pairs(df, group, label, prediction, "expected", "predicted")
+    error = F.when(
+        F.col(label).isNotNull() & F.col(prediction).isNotNull(), F.col("predicted") - F.col("expected")
+    )
+    rows = F.sum(F.when(error.isNotNull(), F.col("__n")))
+    return pairs.agg(
+        F.coalesce(rows, F.lit(0)).alias("n"),
+        F.try_divide(F.sum(F.abs(error) * F.col("__n")), rows).alias("mae"),
+        F.try_divide(F.sum(error * error * F.col("__n")), rows).alias("mse"),
+    )

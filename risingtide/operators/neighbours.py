@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from risingtide.operators.ranking import top_per_group
+from risingtide.session import materialise
 
 PIVOTS = 32
 BLOCK = 8_192
@@ -83,9 +84,10 @@ def nearest_neighbours(
     result = f"query_id {q_kind}, point_id {p_kind}, distance double"
     chosen = p_raw.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).collect()
     if not chosen:
-        return spark.createDataFrame([], result + ", rank int")
+        return queries.sparkSession.createDataFrame([], result + ", rank int")
     centres = np.array([row["vec"] for row in chosen], dtype=float)
-    q, p = _in_cells(q_raw, centres), _in_cells(p_raw, centres)
+    # Both are used several times below.
+    q, p = (materialise(_in_cells(df, centres), "cells") for df in (q_raw, p_raw))
 
     radius = {r["cell"]: r["r"] for r in q.groupBy("cell").agg(F.max("gap").alias("r")).collect()}
     nearest_gaps = top_per_group(p.select("cell", "gap", "id"), ["cell"], [F.asc("gap"), F.asc("id")], k, "rk")

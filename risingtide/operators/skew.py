@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from risingtide.session import materialise
+
 # Only the largest keys are sliced, so the list of them that is broadcast has at
 # most HOT_KEYS rows; any other key holds less than 1/HOT_KEYS of all rows.
 HOT_KEYS = 1_000
@@ -34,23 +36,30 @@ def join_per_key(
     """Join ``stats`` (one row per key) onto ``df``, slicing the hot keys.
 
     ``rows`` names the column of ``stats`` holding how many rows of ``df`` have
-    that key; it is dropped. ``how`` is ``inner``, ``left`` or ``left_semi``.
-    Null keys match each other, as they do in a window partition.
+    that key; it is dropped. ``how`` is ``inner`` or ``left_semi``. Null keys
+    match each other, as they do in a window partition. ``stats`` is computed
+    once and kept in the shared folder.
     """
     names = [f"__key{i}" for i in range(len(keys))]
-    renamed = stats.withColumnsRenamed(dict(zip(keys, names)))
-    hot = (
+    stats = materialise(stats, "per-key").withColumnsRenamed(dict(zip(keys, names)))
+    slices = F.ceil(F.col(rows) / F.lit(rows_per_slice)).cast("int")
+    largest = (
         stats.where(F.col(rows) > rows_per_slice)
-        .orderBy(F.desc(rows), *keys)
+        .orderBy(F.desc(rows), *names)
         .limit(HOT_KEYS)
-        .select(
-            *[F.col(k).alias(f"__hot{i}") for i, k in enumerate(keys)],
-            F.ceil(F.col(rows) / F.lit(rows_per_slice)).cast("int").alias("__slices"),
-        )
+        .select(*names, slices.alias("__slices"))
+    )
+    hot_rows = largest.collect()
+    on = [df[k].eqNullSafe(stats[n]) for k, n in zip(keys, names)]
+    if not hot_rows:
+        return df.join(stats.drop(rows), _all(on), how).drop(*names)
+
+    hot = df.sparkSession.createDataFrame(hot_rows, largest.schema).withColumnsRenamed(
+        {n: f"__hot{i}" for i, n in enumerate(names)}
     )
 
-    def with_slices(side: DataFrame, names: Sequence[str]) -> DataFrame:
-        same = [side[n].eqNullSafe(hot[f"__hot{i}"]) for i, n in enumerate(names)]
+    def with_slices(side: DataFrame, columns: Sequence[str]) -> DataFrame:
+        same = [side[c].eqNullSafe(hot[f"__hot{i}"]) for i, c in enumerate(columns)]
         return side.join(F.broadcast(hot), _all(same), "left")
 
     # The partition number spreads exact copies of a row over the slices too.
@@ -58,12 +67,10 @@ def join_per_key(
     left = with_slices(df, keys).select(
         *[df[c] for c in df.columns], F.coalesce(spread, F.lit(0)).cast("int").alias("__slice")
     )
-    slices = F.sequence(F.lit(0), F.coalesce("__slices", F.lit(1)) - 1)
-    right = with_slices(renamed, names).select(
-        *[renamed[c] for c in renamed.columns if c != rows], F.explode(slices).alias("__stat_slice")
-    )
-    on = _all(
-        [left[k].eqNullSafe(right[n]) for k, n in zip(keys, names)]
-        + [left["__slice"] == right["__stat_slice"]]
+    every_slice = F.sequence(F.lit(0), F.coalesce("__slices", F.lit(1)) - 1)
+    right = with_slices(stats, names).select(
+        *[stats[c] for c in stats.columns if c != rows], F.explode(every_slice).alias("__stat_slice")
     )
-    return left.join(right, on, how).drop("__slice", "__stat_slice", *names)
+    on = [left[k].eqNullSafe(right[n]) for k, n in zip(keys, names)]
+    on.append(left["__slice"] == right["__stat_slice"])
+    return left.join(right, _all(on), how).drop("__slice", "__stat_slice", *names)

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from risingtide.operators.ranking import top_per_group
 
-# The kept vocabulary travels to every task as one value.
+# The kept vocabulary is broadcast; this bounds it.
 MAX_VOCABULARY = 10_000
 
 
@@ -47,35 +47,40 @@ def tfidf_top_terms(docs: DataFrame, tokens: str, vocabulary: int = 10) -> DataF
 
     The vocabulary is the most frequent terms (ties by term). A document's
     weights are tf * idf, scaled to unit length over the vocabulary only.
+
+    Documents are known by the hash of their tokens, so copies are weighed once
+    and counted; a document meets itself again as at most ``vocabulary`` counts.
     """
     if not 0 < vocabulary <= MAX_VOCABULARY:
         raise ValueError(f"vocabulary must be between 1 and {MAX_VOCABULARY}")
     documents = docs.agg(F.count(F.lit(1))).scalar()
     top = term_stats(docs, tokens).orderBy(F.desc("count"), "term").limit(vocabulary)
-    kept = (
-        top.withColumn("__documents", documents)
-        .select("term", smooth_idf(F.col("__documents"), F.col("doc_count")).alias("idf"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))))
+    kept = top.withColumn("__documents", documents).select(
+        "term", smooth_idf(F.col("__documents"), F.col("doc_count")).alias("idf")
     )
-    hits = F.filter(tokens, lambda t: F.map_contains_key("__kept", t))
-    weights = F.transform(
-        F.array_distinct("__hits"),
-        lambda t: F.struct(
-            t.alias("term"),
-            F.col("__kept")[t].alias("idf"),
-            (F.size(F.filter("__hits", lambda h: h == t)) * F.col("__kept")[t]).alias("weight"),
-        ),
+    # No token is empty: the empty term marks each document and so counts its copies.
+    marker = docs.sparkSession.createDataFrame([("", 0.0)], "term string, idf double")
+    counts = (
+        docs.select(
+            F.md5(F.array_join(tokens, " ")).alias("__doc"),
+            F.explode(F.concat(F.array(F.lit("")), F.col(tokens))).alias("term"),
+        )
+        .join(F.broadcast(kept.unionByName(marker)), "term")
+        .groupBy("__doc", "term", "idf")
+        .agg(F.count(F.lit(1)).alias("__c"))
     )
-    norm = F.sqrt(F.aggregate("__weights", F.lit(0.0), lambda acc, w: acc + w["weight"] * w["weight"]))
+    weight = F.col("__c") * F.col("idf")
+    one_doc = W.partitionBy("__doc")
     return (
-        docs.select(tokens)
-        .withColumn("__kept", kept.scalar())
-        .withColumn("__hits", hits)
-        .where(F.size("__hits") > 0)
-        .withColumn("__weights", weights)
-        .select(norm.alias("__norm"), F.inline("__weights"))
+        counts.withColumns(
+            {
+                "__copies": F.max(F.when(F.col("term") == "", F.col("__c"))).over(one_doc),
+                "__norm": F.sqrt(F.sum(weight * weight).over(one_doc)),
+            }
+        )
+        .where("term <> ''")
         .groupBy("term")
-        .agg(F.max("idf").alias("idf"), F.sum(F.col("weight") / F.col("__norm")).alias("score"))
+        .agg(F.max("idf").alias("idf"), F.sum(F.col("__copies") * weight / F.col("__norm")).alias("score"))
     )
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from risingtide.session import checkpoint_root
+from risingtide.session import materialise
 
 # Cells of the alignment tables held at once by a task.
 _CELLS = 4_000_000
@@ -79,7 +79,7 @@ class WarpedClusters:
 
 
 def cluster_series(
-    df: DataFrame, key: str, series: str, k: int = 3, max_iter: int = 10, checkpoint: bool = True
+    df: DataFrame, key: str, series: str, k: int = 3, max_iter: int = 10
 ) -> WarpedClusters:
     """Cluster series into ``k`` groups; ``labelled`` adds ``cluster`` and ``distance``.
 
@@ -87,11 +87,8 @@ def cluster_series(
     every series to its nearest centroid and replaces a centroid by the mean of
     the values aligned to each of its positions. It ends when no label changes.
     """
-    spark = df.sparkSession
-    data = df.select(key, F.col(series).alias("__series"))
-    if checkpoint:
-        checkpoint_root(spark)
-        data = data.checkpoint()
+    # Read again in every round.
+    data = materialise(df.select(key, F.col(series).alias("__series")), "series")
     seeds = data.orderBy(F.md5(F.col(key).cast("string")), key).limit(k).collect()
     if not seeds:
         raise ValueError("no series to cluster")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the library is written for. Spark's ANSI mode stays on.
 DEFAULTS = {
@@ -46,3 +46,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there.
+
+    For results that several later jobs need: their input is then computed once
+    instead of once per use, survives lost executors, and has known sizes. The
+    tables stay below the checkpoint folder, to be cleaned with it.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
