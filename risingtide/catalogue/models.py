@@ -109,10 +109,10 @@ def rank_metrics_within_group(spark, folder):
 def feature_vectors(spark, folder):
     """Hashed words and tags, and coded and scaled columns, of every document."""
     docs = _text_rows(spark, folder)
-    (hashed,) = fit_transform(hashed_text_stages(plain=("flag", "lang_id")), docs)
     stages = coded_stages(("lang_id", "view_count"), ("lang", "channelId"), out="coded")
-    (coded,) = fit_transform(stages, hashed)
-    return as_array(coded, "scaledFeatures", "scaled").select(
+    (coded,) = fit_transform(stages, docs)
+    (hashed,) = fit_transform(hashed_text_stages(plain=("flag", "lang_id")), coded)
+    return as_array(hashed, "scaledFeatures", "scaled").select(
         "doc_id",
         F.col("features").cast("string").alias("hashed"),
         F.array_join(F.transform("scaled", lambda x: F.round(x, 6).cast("string")), ",").alias("scaled"),

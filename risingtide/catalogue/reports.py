@@ -126,7 +126,7 @@ def monthly_mean_metric(spark, folder):
 @query(
     """
 SELECT l_suppkey, strftime(l_shipdate, '%Y-%m') AS month,
-       round(avg(l_discount / nullif(l_discount + l_tax, 0)), 6) AS score
+       round(avg(l_discount / nullif(l_discount + l_tax, 0)), 9) AS score
 FROM lineitem GROUP BY ALL"""
 )
 def monthly_ratio(spark, folder):
@@ -134,7 +134,7 @@ def monthly_ratio(spark, folder):
         table(spark, folder, "lineitem"), ["l_suppkey"], "l_shipdate", "l_discount", "l_tax"
     )
     return found.select(
-        "l_suppkey", F.date_format("month", "yyyy-MM").alias("month"), F.round("score", 6).alias("score")
+        "l_suppkey", F.date_format("month", "yyyy-MM").alias("month"), F.round("score", 9).alias("score")
     )
 
 
@@ -144,7 +144,7 @@ _PERIODS = [f"d{day:02d}" for day in range(1, 31)]
 @query(
     "SELECT user_id, "
     + ", ".join(
-        f"round(coalesce(avg(value) FILTER (strftime(ts, '%d') = '{p[1:]}'), 0), 4) AS {p}" for p in _PERIODS
+        f"coalesce(max(value) FILTER (strftime(ts, '%d') = '{p[1:]}'), 0) AS {p}" for p in _PERIODS
     )
     + " FROM events GROUP BY user_id"
 )
@@ -152,9 +152,9 @@ def pivot_by_day(spark, folder):
     daily = (
         table(spark, folder, "events")
         .groupBy("user_id", F.concat(F.lit("d"), F.date_format("ts", "dd")).alias("day"))
-        .agg(F.round(F.avg("value"), 4).alias("mean"))
+        .agg(F.max("value").alias("peak"))
     )
-    return pivot_filled(daily, "user_id", "day", "mean", _PERIODS)
+    return pivot_filled(daily, "user_id", "day", "peak", _PERIODS)
 
 
 def _user_series(spark: SparkSession, folder: str) -> DataFrame:

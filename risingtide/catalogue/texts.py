@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from risingtide.catalogue.base import query, table
 from risingtide.functions.text import (
     TERM_FRAGMENTS,
+    alpha_term,
     alpha_tokens,
     joined,
+    letter_digit_runs,
     lower_words,
     remove_stopwords,
     spaced_tokens,
     tag_list,
     tag_tokens,
     unescape_html,
+    word_term,
     word_tokens,
 )
 from risingtide.operators.distribution import quartile_bins
@@ -157,15 +160,16 @@ def _rounded_scores(df: DataFrame) -> DataFrame:
 def tfidf_top_terms_stacked(spark, folder):
     """Two text columns stacked into twice as many documents."""
     docs = stack_texts(_docs(spark, folder).select("text", "lang"), ["text", "lang"])
-    docs = docs.select(alpha_tokens("document", STOPWORDS).alias("tokens"))
-    top = top_overall(tfidf_top_terms(docs, "tokens", 10), [F.desc("score"), F.asc("term")], 10)
+    docs = docs.select(letter_digit_runs("document").alias("tokens"))
+    found = tfidf_top_terms(docs, "tokens", 10, alpha_term(STOPWORDS))
+    top = top_overall(found, [F.desc("score"), F.asc("term")], 10)
     return _rounded_scores(top)
 
 
 @query(_tfidf_sql(f"SELECT doc_id AS id, {_alpha('text')} AS tokens FROM documents", 200))
 def tfidf_wide_vocabulary(spark, folder):
-    docs = _docs(spark, folder).select(alpha_tokens("text", STOPWORDS).alias("tokens"))
-    return _rounded_scores(tfidf_top_terms(docs, "tokens", 200))
+    docs = _docs(spark, folder).select(letter_digit_runs("text").alias("tokens"))
+    return _rounded_scores(tfidf_top_terms(docs, "tokens", 200, alpha_term(STOPWORDS)))
 
 
 @query(
@@ -191,8 +195,8 @@ SELECT term, sum(c) AS "count", count(*) AS doc_count FROM (
     SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY ALL) GROUP BY term"""
 )
 def term_counts(spark, folder):
-    docs = _docs(spark, folder).select(word_tokens("text", STOPWORDS).alias("tokens"))
-    return term_stats(docs, "tokens")
+    docs = _docs(spark, folder).select(letter_digit_runs("text").alias("tokens"))
+    return term_stats(docs, "tokens", word_term(STOPWORDS))
 
 
 _QUARTILE = """
@@ -213,8 +217,8 @@ JOIN s USING (quartile) WHERE rank <= 30"""
 )
 def tfidf_terms_by_quartile(spark, folder):
     docs = quartile_bins(_docs(spark, folder), "n_chars")
-    docs = docs.select("quartile", alpha_tokens("text", STOPWORDS).alias("tokens"))
-    found = lowest_idf_by_group(docs, "tokens", "quartile", 30)
+    docs = docs.select("quartile", letter_digit_runs("text").alias("tokens"))
+    found = lowest_idf_by_group(docs, "tokens", "quartile", 30, alpha_term(STOPWORDS))
     return found.withColumn("idf", F.round("idf", 6))
 
 
@@ -250,8 +254,8 @@ SELECT quartile, term, "count", rank FROM (
 )
 def words_by_quartile(spark, folder):
     docs = quartile_bins(_docs(spark, folder), "n_chars")
-    docs = docs.select("quartile", word_tokens("text", STOPWORDS).alias("tokens"))
-    return top_words_by_group(docs, "tokens", "quartile", 10)
+    docs = docs.select("quartile", letter_digit_runs("text").alias("tokens"))
+    return top_words_by_group(docs, "tokens", "quartile", 10, word_term(STOPWORDS))
 
 
 @query()

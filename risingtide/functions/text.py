@@ -6,7 +6,7 @@ one stage with the scan.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -65,17 +65,40 @@ def tag_list(tags: Column | str, separator: str = r"\|") -> Column:
     return F.when(none, F.array().cast("array<string>")).otherwise(parts)
 
 
-def _letter_digit_runs(text: Column | str) -> Column:
+def letter_digit_runs(text: Column | str) -> Column:
+    """Lower-cased runs of letters and digits; text edges may give an empty run."""
     return F.split(F.lower(F.coalesce(_col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
 def word_tokens(text: Column | str, stopwords: Iterable[str] = ()) -> Column:
-    """Runs of letters and digits longer than one character, stop words dropped.
+    """The runs of a text that pass ``word_term``; missing text gives an empty array."""
+    return F.filter(letter_digit_runs(text), word_term(stopwords))
 
-    Missing text gives an empty array.
-    """
-    tokens = F.filter(_letter_digit_runs(text), lambda t: F.length(t) > 1)
-    return _without(tokens, stopwords)
+
+def alpha_term(
+    stopwords: Iterable[str] = (), fragments: Iterable[str] = TERM_FRAGMENTS
+) -> Callable[[Column], Column]:
+    """Test for a term: purely alphabetic, no stop word, holding no fragment."""
+    barred = "|".join(fragments)
+    pattern = rf"^(?!.*(?:{barred}))\p{{L}}+$" if barred else r"^\p{L}+$"
+    words = sorted({w.lower() for w in stopwords})
+
+    def keep(term: Column) -> Column:
+        fits = term.rlike(pattern)
+        return fits & ~term.isin(words) if words else fits
+
+    return keep
+
+
+def word_term(stopwords: Iterable[str] = ()) -> Callable[[Column], Column]:
+    """Test for a term: longer than one character and no stop word."""
+    words = sorted({w.lower() for w in stopwords})
+
+    def keep(term: Column) -> Column:
+        fits = F.length(term) > 1
+        return fits & ~term.isin(words) if words else fits
+
+    return keep
 
 
 def alpha_tokens(
@@ -83,12 +106,8 @@ def alpha_tokens(
     stopwords: Iterable[str] = (),
     fragments: Iterable[str] = TERM_FRAGMENTS,
 ) -> Column:
-    """Purely alphabetic words that are no stop word and hold no fragment."""
-    barred = "|".join(fragments)
-    tokens = F.filter(_letter_digit_runs(text), lambda t: t.rlike(r"^\p{L}+$"))
-    if barred:
-        tokens = F.filter(tokens, lambda t: ~t.rlike(barred))
-    return _without(tokens, stopwords)
+    """The runs of a text that pass ``alpha_term``."""
+    return F.filter(letter_digit_runs(text), alpha_term(stopwords, fragments))
 
 
 def joined(tokens: Column | str, separator: str = " ") -> Column:

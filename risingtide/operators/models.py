@@ -6,6 +6,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 
+from risingtide.session import materialise
+
 SEED = 17
 
 
@@ -40,7 +42,20 @@ def boosted_trees(
 
 
 def fit(stages: list, train: DataFrame) -> PipelineModel:
-    return Pipeline(stages=stages).fit(train)
+    """Fit feature stages and, last, a regressor.
+
+    Tree training reads its input several times, so the finished vectors are
+    stored first; few input files are spread over all cores.
+    """
+    *feature_stages, regressor = stages
+    features = Pipeline(stages=feature_stages).fit(train)
+    ready = materialise(
+        features.transform(train).select(regressor.getFeaturesCol(), regressor.getLabelCol()), "vectors"
+    )
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if ready.rdd.getNumPartitions() < cores:
+        ready = ready.repartition(cores)
+    return PipelineModel(stages=[*features.stages, regressor.fit(ready)])
 
 
 def importances(model, spark: SparkSession) -> DataFrame:

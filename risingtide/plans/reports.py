@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from risingtide.functions.text import TERM_FRAGMENTS, alpha_tokens
+from risingtide.functions.text import TERM_FRAGMENTS, alpha_term, letter_digit_runs
 from risingtide.operators.distribution import box_stats, exact_tiles, quantiles, quartile_bins
 from risingtide.operators.durations import days_to_trend, trend_durations
 from risingtide.operators.ranking import top_overall
@@ -54,10 +54,9 @@ def top_words(
 ) -> DataFrame:
     """The words weighing most over the latest texts before the cutoff."""
     latest = latest_per_key(before(df.select(key, date, *texts), date, cutoff), [key], date, ties="all")
-    docs = stack_texts(latest, texts).select(
-        alpha_tokens("document", stopwords, fragments).alias("tokens")
-    )
-    return top_overall(tfidf_top_terms(docs, "tokens", n), [F.desc("score"), F.asc("term")], n)
+    docs = stack_texts(latest, texts).select(letter_digit_runs("document").alias("tokens"))
+    found = tfidf_top_terms(docs, "tokens", n, alpha_term(stopwords, fragments))
+    return top_overall(found, [F.desc("score"), F.asc("term")], n)
 
 
 def top_words_by_quartile(
@@ -76,5 +75,5 @@ def top_words_by_quartile(
         binned = exact_tiles(latest, value, tiebreak[0], 4, "quartile")
     else:
         binned = quartile_bins(latest, value)
-    docs = binned.select("quartile", alpha_tokens(text, stopwords, fragments).alias("tokens"))
-    return lowest_idf_by_group(docs, "tokens", "quartile", n)
+    docs = binned.select("quartile", letter_digit_runs(text).alias("tokens"))
+    return lowest_idf_by_group(docs, "tokens", "quartile", n, alpha_term(stopwords, fragments))
