@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MICROS_PER_DAY = 86_400_000_000
 MICROS_PER_HOUR = 3_600_000_000
@@ -21,6 +21,16 @@ def parse_time(text: Column | str) -> Column:
     return F.try_to_timestamp(_col(text))
 
 
+def day_key(df: DataFrame, name: str) -> Column:
+    """The calendar day to group by: a date, or the first ten characters of text.
+
+    A date is cheaper to group by than its text, and is only written out later.
+    """
+    if df.schema[name].dataType.simpleString() == "string":
+        return F.substring(name, 1, 10)
+    return F.to_date(name)
+
+
 def day_text(ts: Column | str) -> Column:
     """``yyyy-MM-dd`` of a timestamp, or the first ten characters of text."""
     return F.substring(_col(ts).cast("string"), 1, 10)

@@ -55,9 +55,9 @@ def duration_features(
     folded = df.groupBy(key, region).agg(
         F.min(trending).alias("__first"),
         F.max(trending).alias("__last"),
-        *[F.min_by(c, when).alias(c) for c in (published, *firsts)],
+        F.min_by(F.struct(published, *firsts), when).alias("__earliest"),
         *[F.max(c).cast("bigint").alias(c) for c in maxima],
-    )
+    ).select("*", "__earliest.*")
     if not per_region:
         regions = W.partitionBy(key)
         folded = folded.withColumns(

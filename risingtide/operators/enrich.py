@@ -2,7 +2,8 @@
 
 No join here carries a broadcast hint: Spark broadcasts a side it has measured
 to be below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles
-both sides, where adaptive execution splits skewed keys.
+both sides. Adaptive execution then splits skewed keys of stored tables;
+joins with aggregated keys go through ``join_per_key``, which slices them.
 """
 
 from __future__ import annotations
@@ -41,20 +42,28 @@ def combine_category(df: DataFrame, categories: DataFrame, key: str = "categoryI
     return lookup(df, categories, key, "id", {"category": "category"}).drop(key)
 
 
+def _key_sizes(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(keys.select(*on), list(on), "left_semi")
+    """Rows whose key is listed. Keys are settled first, one row each; hot ones are sliced."""
+    listed = _key_sizes(df, on).join(keys.select(*on), list(on), "left_semi")
+    return join_per_key(df, listed, on, "__rows", "left_semi")
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is not listed; rows with a null key stay."""
-    return df.join(keys.select(*on), list(on), "left_anti")
+    rest = _key_sizes(df, on).join(keys.select(*on), list(on), "left_anti")
+    return join_per_key(df, rest, on, "__rows", "left_semi")
 
 
 def with_match(df: DataFrame, keys: DataFrame, on: Sequence[str], out: str = "_merge") -> DataFrame:
-    """Left join telling for every row whether its key is listed: both / left_only."""
+    """Tell for every row whether its key is listed: both / left_only."""
     side = keys.select(*on).distinct().withColumn("__hit", F.lit(True))
     label = F.when(F.col("__hit"), "both").otherwise("left_only")
-    return df.join(side, list(on), "left").withColumn(out, label).drop("__hit")
+    flagged = _key_sizes(df, on).join(side, list(on), "left").withColumn(out, label).drop("__hit")
+    return join_per_key(df, flagged, on, "__rows")
 
 
 def join_on_name(left: DataFrame, right: DataFrame, left_key, right_key) -> DataFrame:
@@ -93,8 +102,8 @@ def translate(
     per_key = translations.groupBy(*keys).agg(
         *[F.max(F.when(F.col("field") == f, F.col("text"))).alias(f"__{f}") for f in fields]
     )
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    joined = join_per_key(df, sizes.join(per_key, keys, "left"), keys, "__rows")
+    per_key = _key_sizes(df, keys).join(per_key, keys, "left")
+    joined = join_per_key(df, per_key, keys, "__rows")
     new = {}
     for f in fields:
         fixed = (F.length(f) == 0) | (F.lower(f) == NO_TAGS.lower())

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from risingtide.functions.text import normalised_name
-from risingtide.functions.vectors import euclidean  # noqa: F401  (part of the public surface)
 from risingtide.operators.durations import duration_features
 from risingtide.operators.enrich import join_on_name
 from risingtide.operators.features import (

@@ -13,7 +13,7 @@ from risingtide.operators.enrich import combine_category, lookup, sample_frequen
 from risingtide.operators.split import split_by_key
 from risingtide.schemas import VIDEOS
 from risingtide.sinks.writers import write_csv
-from risingtide.sources.readers import read_categories_json
+from risingtide.sources.readers import read_categories_json, read_videos
 from risingtide.sources.records import read_records
 
 USEFUL = (
@@ -51,6 +51,15 @@ def split_channels(
     return split_by_key(videos, channel, held_out, seed)
 
 
+def split_file(
+    spark: SparkSession, path: str, train_path: str, test_path: str, held_out: float = 0.1
+) -> None:
+    """Split one processed file by channel; results already there are kept."""
+    rows = read_videos(spark, path)
+    for part, target in zip(split_channels(rows, held_out), (train_path, test_path)):
+        write_csv(part, target, mode="ignore")
+
+
 def regularise(
     videos: DataFrame, columns: Sequence[str] = USEFUL, tokens: Iterable[str] = ("title", "tags", "description"),
     stopwords: Iterable[str] = (),
@@ -79,5 +88,20 @@ def country_rows(
     return combine_category(rows, categories).withColumn("region", F.lit(country))
 
 
+def load_countries(
+    spark: SparkSession, files: dict[str, tuple[str, str]], stopwords: Iterable[str] = ()
+) -> DataFrame:
+    """All countries stacked, given as {country: (videos CSV, categories JSON)}."""
+    return all_countries(
+        country_rows(
+            read_records(spark, videos, VIDEOS)[0],
+            read_categories_json(spark, categories).select("id", "category"),
+            country,
+            stopwords=stopwords,
+        )
+        for country, (videos, categories) in files.items()
+    )
+
+
 def all_countries(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

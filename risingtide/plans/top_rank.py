@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from risingtide.functions.times import day_text
+from risingtide.functions.times import day_key, month_text
 from risingtide.operators.enrich import lookup
 from risingtide.operators.ranking import max_per_key, top_per_group
 from risingtide.schemas import VIDEOS
@@ -35,7 +35,7 @@ def top_rank(
     """
     rows = facts.select(
         F.col(item).alias("id"),
-        day_text(day).alias("date"),
+        day_key(facts, day).alias("date"),
         F.col(category).alias("type"),
         F.col(value).alias("value"),
     )
@@ -44,7 +44,7 @@ def top_rank(
     daily = top_per_group(best, ["date"], order, n)
     # Counted before the names are joined: the join then sees one row per month and category.
     counts = (
-        daily.groupBy(F.substring("date", 1, 7).alias("date"), F.col("type").cast("string").alias("type"))
+        daily.groupBy(month_text("date").alias("date"), F.col("type").cast("string").alias("type"))
         .agg(F.count(F.lit(1)).alias("rank_count"))
     )
     named = lookup(counts, categories, "type", category_id, {category_name: "name"}, "inner")
@@ -55,7 +55,7 @@ def top_rank(
 
 TOP_RANK_SQL = """
 WITH best AS (
-  SELECT {item} AS id, substring(cast({day} AS string), 1, 10) AS date,
+  SELECT {item} AS id, {day} AS date,
          {category} AS type, max({value}) AS value
   FROM {facts}
   GROUP BY 1, 2, 3
@@ -64,7 +64,7 @@ WITH best AS (
          row_number() OVER (PARTITION BY date ORDER BY value DESC, id, type) AS rank_value
   FROM best
 ), daily AS (
-  SELECT substring(date, 1, 7) AS date, cast(type AS string) AS type
+  SELECT substring(cast(date AS string), 1, 7) AS date, cast(type AS string) AS type
   FROM ranked WHERE rank_value <= :n
 )
 SELECT d.date, d.type, c.{category_name} AS name, count(*) AS rank_count
@@ -88,8 +88,9 @@ def top_rank_sql(
 ) -> DataFrame:
     """The same report written in SQL over the two DataFrames."""
     return spark.sql(
-        TOP_RANK_SQL, args={"n": n}, facts=facts, categories=categories,
-        item=F.col(item), day=F.col(day), category=F.col(category), value=F.col(value),
+        TOP_RANK_SQL, args={"n": n}, facts=facts.withColumn("__day", day_key(facts, day)),
+        categories=categories, item=F.col(item), day=F.col("__day"), category=F.col(category),
+        value=F.col(value),
         category_id=F.col(category_id), category_name=F.col(category_name),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from risingtide.functions.text import lower_words, remove_stopwords, tag_tokens
 from risingtide.operators.features import hashed_text_stages
@@ -13,6 +13,7 @@ from risingtide.operators.metrics import rank_metrics, with_ranks
 from risingtide.operators.models import fit
 from risingtide.operators.snapshots import typed_snapshot
 from risingtide.sinks.writers import write_csv
+from risingtide.sources.readers import read_videos
 
 REPORT = (
     "video_id", "title", "channelId", "channelTitle",
@@ -54,3 +55,18 @@ def sample_report(
     if path:
         write_csv(report, path)
     return report
+
+
+def train_and_evaluate(
+    spark: SparkSession, train_paths: Sequence[str], test_paths: Sequence[str], regressor,
+    stopwords: Iterable[str] = (), report_path: str | None = None, cutoff: str = "2023-11-01",
+) -> tuple[PipelineModel, DataFrame]:
+    """Fit on all train files, score on all held-out files: (model, rank metrics)."""
+    known, held_out = (
+        prepare(read_videos(spark, list(paths), typed=False), stopwords, cutoff)
+        for paths in (train_paths, test_paths)
+    )
+    model = train(known, regressor)
+    if report_path:
+        sample_report(model, held_out, report_path)
+    return model, evaluate(model, held_out)
