@@ -258,12 +258,17 @@ def words_by_quartile(spark, folder):
     return top_words_by_group(docs, "tokens", "quartile", 10, word_term(STOPWORDS))
 
 
-@query()
+@query(
+    f"""
+SELECT term, round(sum(c) * ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))), 4) AS score
+FROM (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY ALL)
+GROUP BY term ORDER BY score DESC, term LIMIT 10"""
+)
 def tfidf_ml(spark, folder):
     """Spark ML counts and IDF, listed by summed weight."""
     docs = _docs(spark, folder).select(word_tokens("text", STOPWORDS).alias("tokens"))
     vectors, terms = tfidf_vectors(docs, "tokens")
-    return top_weighted_terms(vectors, "tfidf", terms, 10)
+    return top_weighted_terms(vectors, "tfidf", terms, 10).withColumn("score", F.round("score", 4))
 
 
 @query()

@@ -50,7 +50,9 @@ def running_before(
     names = [f"__by{i}" for i in range(len(by))]
     cut = (
         df.withColumn("__splits", _splits(df, value, ranges))
-        .withColumn("__range", F.size(F.filter("__splits", lambda s: s < F.col(value))))
+        .withColumn(
+            "__range", F.coalesce(F.size(F.filter("__splits", lambda s: s < F.col(value))), F.lit(0))
+        )
         .drop("__splits")
     )
     part = cut.groupBy(*by, "__range").agg(F.sum(weight).alias("__sum"))

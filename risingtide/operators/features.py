@@ -15,6 +15,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 # Hash buckets for words and for tags.
@@ -118,10 +119,7 @@ def top_weighted_terms(vectors: DataFrame, vector: str, terms: list[str], n: int
     ``terms`` is the fitted vocabulary, bounded by its ``vocabSize``.
     """
     names = vectors.sparkSession.createDataFrame(list(enumerate(terms)), "pos int, term string")
-    sums = (
-        vectors.select(F.posexplode(vector_to_array(F.col(vector))).alias("pos", "w"))
-        .where("w <> 0")
-        .groupBy("pos")
-        .agg(F.sum("w").alias("score"))
-    )
+    # Vectors are added up as vectors; only the one total is unfolded.
+    total = vectors.agg(Summarizer.sum(F.col(vector)).alias("total"))
+    sums = total.select(F.posexplode(vector_to_array("total")).alias("pos", "score")).where("score <> 0")
     return sums.join(names, "pos").select("term", "score").orderBy(F.desc("score"), "term").limit(n)

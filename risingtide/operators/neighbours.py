@@ -21,6 +21,8 @@ from risingtide.session import materialise
 
 PIVOTS = 32
 BLOCK = 8_192
+# Query-point pairs compared at once inside a task.
+_PAIRS = 500_000
 
 
 def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -55,6 +57,29 @@ def _routes(
     return routes
 
 
+def _nearest_in_block(
+    queries: np.ndarray, points: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and distance of each query's ``k`` nearest points, ties by column.
+
+    One matrix product finds the candidates, with room for its rounding; their
+    distances are then taken from the differences.
+    """
+    q2, p2 = (queries**2).sum(axis=1), (points**2).sum(axis=1)
+    rough = q2[:, None] + p2[None, :] - 2.0 * queries @ points.T
+    if len(points) > k:
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (1.0 + q2 + p2.max())
+        row, col = np.nonzero(rough <= limit[:, None])
+    else:
+        row, col = np.nonzero(np.ones_like(rough, dtype=bool))
+    gap = np.sqrt(((points[col] - queries[row]) ** 2).sum(axis=1))
+    order = np.lexsort((col, gap, row))
+    row, col, gap = row[order], col[order], gap[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return row[keep], col[keep], gap[keep]
+
+
 def nearest_neighbours(
     queries: DataFrame,
     points: DataFrame,
@@ -122,22 +147,23 @@ def nearest_neighbours(
     )
 
     def compare(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = {"query_id": [], "point_id": [], "distance": []}
-        if len(left) and len(right):
-            right = right.sort_values("id")
-            ids = right["id"].to_numpy()
-            vectors = np.stack(right["vec"].to_numpy()).astype(float)
-            for one, vec in zip(left["id"], left["vec"]):
-                d2 = ((vectors - np.asarray(vec, dtype=float)) ** 2).sum(axis=1)
-                best = np.arange(len(d2))
-                if len(d2) > k:
-                    best = np.flatnonzero(d2 <= np.partition(d2, k - 1)[k - 1])
-                # Rows are in id order, and the sort is stable: ties go to the lower id.
-                best = best[np.argsort(d2[best], kind="stable")][:k]
-                found["query_id"].extend([one] * len(best))
-                found["point_id"].extend(ids[best])
-                found["distance"].extend(np.sqrt(d2[best]))
-        return pd.DataFrame(found)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "point_id": [], "distance": []})
+        right = right.sort_values("id")
+        vectors = np.stack(right["vec"].to_numpy()).astype(float)
+        ids, asked = right["id"].to_numpy(), left["id"].to_numpy()
+        wanted = np.stack(left["vec"].to_numpy()).astype(float)
+        step = max(1, _PAIRS // len(vectors))
+        parts = [
+            (at, *_nearest_in_block(wanted[at : at + step], vectors, k)) for at in range(0, len(wanted), step)
+        ]
+        return pd.DataFrame(
+            {
+                "query_id": np.concatenate([asked[at + row] for at, row, _, _ in parts]),
+                "point_id": np.concatenate([ids[col] for _, _, col, _ in parts]),
+                "distance": np.concatenate([gap for _, _, _, gap in parts]),
+            }
+        )
 
     keys = ["target", "qb", "pb"]
     per_block = q_side.groupBy(*keys).cogroup(p_side.groupBy(*keys)).applyInPandas(compare, result)
