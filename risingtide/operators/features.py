@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import (
     CountVectorizer,
     HashingTF,
@@ -18,6 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
+from risingtide.session import materialise
+
 # Hash buckets for words and for tags.
 WORD_BUCKETS = 512
 TAG_BUCKETS = 64
@@ -75,11 +77,20 @@ def coded_stages(
     return stages
 
 
-def fit_transform(
-    stages: list, train: DataFrame, *others: DataFrame
-) -> tuple[DataFrame, ...]:
+def fit_stages(stages: list, train: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    """The fitted stages and the train rows.
+
+    Every stage that learns something reads the rows once more, so where there
+    is one they are stored first.
+    """
+    if any(isinstance(s, Estimator) for s in stages):
+        train = materialise(train, "train")
+    return Pipeline(stages=stages).fit(train), train
+
+
+def fit_transform(stages: list, train: DataFrame, *others: DataFrame) -> tuple[DataFrame, ...]:
     """Fit on train only; transform train and the others."""
-    model = Pipeline(stages=stages).fit(train)
+    model, train = fit_stages(stages, train)
     return tuple(model.transform(df) for df in (train, *others))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 
+from risingtide.operators.features import fit_stages
 from risingtide.session import materialise
 
 SEED = 17
@@ -48,7 +49,7 @@ def fit(stages: list, train: DataFrame) -> PipelineModel:
     stored first; few input files are spread over all cores.
     """
     *feature_stages, regressor = stages
-    features = Pipeline(stages=feature_stages).fit(train)
+    features, train = fit_stages(feature_stages, train)
     ready = materialise(
         features.transform(train).select(regressor.getFeaturesCol(), regressor.getLabelCol()), "vectors"
     )
