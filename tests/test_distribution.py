@@ -104,3 +104,11 @@ def test_slices_split_exact_copies(spark):
     stats = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     got = skew.join_per_key(df, stats, ["g"], "n", rows_per_slice=500)
     assert got.count() == 4_000
+
+
+def test_dense_rank_of_missing_values_comes_first(spark):
+    df = spark.createDataFrame([("a", None), ("a", None)], "g string, v double")
+    assert [r["r"] for r in distribution.dense_rank_within(df, ["g"], "v", "r").collect()] == [1, 1]
+    mixed = df.unionByName(spark.createDataFrame([("a", 5.0), ("b", 2.0)], df.schema))
+    got = distribution.dense_rank_within(mixed, ["g"], "v", "r")
+    assert rows(got) == [("a", None, 1), ("a", None, 1), ("a", 5.0, 2), ("b", 2.0, 1)]
