@@ -67,3 +67,11 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame, most: int = BROADCAST_IDS)
     few = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if few else ids, df[key] == ids[column], "left_semi")
 
+
+
+def flagged(df: DataFrame, key: str, ids: DataFrame, name: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """All rows of ``df``, with ``name`` telling whether ``key`` is among the ids of a stored table."""
+    few = ids.limit(most + 1).count() <= most
+    ids = ids.toDF("__id").withColumn("__found", F.lit(True))
+    joined = df.join(F.broadcast(ids) if few else ids, df[key] == ids["__id"], "left")
+    return joined.withColumn(name, F.coalesce("__found", F.lit(False))).drop("__id", "__found")
