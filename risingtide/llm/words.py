@@ -36,8 +36,8 @@ def stream(seed: int, n: int) -> np.ndarray:
 _BYTE = stream(1, 256)
 _FOLDED = _BYTE.copy()
 _FOLDED[ord("A"): ord("Z") + 1] = _BYTE[ord("a"): ord("z") + 1]
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -78,7 +78,7 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = min(last, n)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of words before each text."""
     inside = np.zeros(len(data) + 2, dtype=bool)
     inside[1:-1] = ~space[data]
