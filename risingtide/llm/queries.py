@@ -9,7 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from risingtide.llm.exact_dedup import exact_duplicates
 from risingtide.llm.near_dedup import near_duplicates
+from risingtide.llm.packing import pack_documents
+from risingtide.llm.quality_classifier import classify
+from risingtide.llm.quality_rules import quality_rules
 from risingtide.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +35,39 @@ def query(sql: str | None = None):
 @query()
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder))
+
+
+def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents labelled as good: the trusted set of the quality rules."""
+    return spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id")
+
+
+@query()
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(documents(spark, folder), trusted_ids(spark, folder))
+
+
+def tokenizer_path() -> str:
+    """The public vocabulary installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(documents(spark, folder), tokenizer_path())
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("""
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id IS NULL OR doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(documents(spark, folder))
