@@ -75,3 +75,10 @@ def flagged(df: DataFrame, key: str, ids: DataFrame, name: str, most: int = BROA
     ids = ids.toDF("__id").withColumn("__found", F.lit(True))
     joined = df.join(F.broadcast(ids) if few else ids, df[key] == ids["__id"], "left")
     return joined.withColumn(name, F.coalesce("__found", F.lit(False))).drop("__id", "__found")
+
+
+def without_ids(df: DataFrame, key: str, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not among the one column of ``ids``, a stored table."""
+    column = ids.columns[0]
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids, df[key] == ids[column], "left_anti")
