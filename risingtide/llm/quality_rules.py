@@ -1,8 +1,9 @@
 """Quality rules: fixed rules on words and lines, then a log-likelihood ratio of n-grams.
 
 The ratio compares two multinomials over hashed word unigrams and bigrams: that of a
-trusted set of documents and that of all documents, both counted over every text and
-smoothed by one. A document's score is the mean log ratio of its n-grams, so it does
+trusted set of documents and that of all documents, both counted over every text. The
+raw count is scaled to the number of trusted n-grams, and both get the same prior, so
+buckets that few trusted texts could have reached say little. A document's score is the mean log ratio of its n-grams, so it does
 not grow with length; documents below a fixed threshold are rejected. Log ratios are
 rounded to integers before they are added, so the score does not depend on the order
 of addition and the same table always gives the same verdicts.
@@ -25,7 +26,9 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # Buckets of the hashed n-grams; the table of their ratios is broadcast, 16 bytes each.
 BUCKETS = 1 << 16
 # Mean log ratio below which a document is rejected.
-THRESHOLD = -0.1
+THRESHOLD = -0.09
+# Added to the trusted count and to its expectation.
+PRIOR = 10.0
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 # Words of a window that counts as repeated.
@@ -92,8 +95,8 @@ def grams(hashes: str, buckets: int) -> Column:
                         (a, b) -> cast(pmod(xxhash64(a, b), {buckets}) as int)))""")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``bucket`` and its ``ratio``: log of trusted to raw probability, in units of 2 ** -20."""
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+    """``bucket`` and its ``ratio``: log of trusted to expected count, in units of 2 ** -20."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashed = docs.select("doc_id", F.transform(words_of(text), lambda w: F.xxhash64(w)).alias("hashes"))
     each = flagged(hashed, "doc_id", trusted, "trusted").select(
@@ -103,10 +106,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
         F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("trusted"), 1)).alias("target")
     )
     totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    ratio = F.log((F.col("target") + 1) / (F.col("all_target") + buckets)) - F.log(
-        (F.col("raw") + 1) / (F.col("all_raw") + buckets)
-    )
-    ratio = F.when(F.col("all_target") > 0, F.round(ratio * _UNIT).cast("long")).otherwise(F.lit(0).cast("long"))
+    expected = F.col("raw") * F.col("all_target") / F.col("all_raw")
+    ratio = F.round(F.log((F.col("target") + prior) / (expected + prior)) * _UNIT).cast("long")
     return counts.join(F.broadcast(totals)).select("bucket", ratio.alias("ratio"))
 
 
