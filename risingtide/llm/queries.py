@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from risingtide.llm.exact_dedup import exact_duplicates
+from risingtide.llm.html import main_texts
 from risingtide.llm.near_dedup import near_duplicates
 from risingtide.llm.packing import pack_documents
 from risingtide.llm.quality_classifier import classify
@@ -47,6 +48,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(documents(spark, folder), trusted_ids(spark, folder))
 
 
+@query()
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def tokenizer_path() -> str:
     """The public vocabulary installed on every machine."""
     import public_tokenizers
