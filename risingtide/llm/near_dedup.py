@@ -45,9 +45,10 @@ PERCENT = 75
 # Rounds of new leaders before what is left is compared in blocks.
 LEADER_ROUNDS = 2
 # Classes of one bucket compared with each other in one go.
-BLOCK = 256
-# One-byte minhashes of a sketch for the comparison in blocks.
+BLOCK = 1024
+# One-byte minhashes of a sketch for the comparison in blocks, and those looked at first.
 SKETCH = 1024
+HEAD = 128
 
 _SIGNATURE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
@@ -174,7 +175,13 @@ def _setter(width: int):
     return build
 
 
-def _agreeing(least: int):
+def _least(hashes: int, percent: int) -> int:
+    """A pair at the limit agrees in fewer places with a probability below one in a million."""
+    share = percent / 100
+    return int(hashes * share - 5 * (hashes * share * (1 - share)) ** 0.5)
+
+
+def _agreeing(least_head: int, least: int):
     """In two blocks of a bucket: pairs of different components whose sketches agree often enough."""
 
     def agree(block: pd.DataFrame) -> pd.DataFrame:
@@ -182,9 +189,11 @@ def _agreeing(least: int):
         sketch = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(len(block), SKETCH)
         first, second = block["first"].iloc[0], block["second"].iloc[0]
         left, right = np.flatnonzero(part == first), np.flatnonzero(part == second)
+        head = np.ascontiguousarray(sketch[:, :HEAD])
         out = [np.zeros((0, 2), dtype=np.int64)]
         for i in left:
             others = right[root[right] != root[i]]
+            others = others[(head[others] == head[i]).sum(axis=1) >= least_head]
             near = rep[others[(sketch[others] == sketch[i]).sum(axis=1) >= least]]
             out.append(np.stack([np.minimum(rep[i], near), np.maximum(rep[i], near)], axis=1))
         found = np.unique(np.concatenate(out), axis=0)
@@ -236,9 +245,6 @@ def near_duplicates(
 def _mixed_rounds(docs: DataFrame, members: DataFrame, tested: DataFrame, roots: DataFrame,
                   scratch: Scratch, width: int, percent: int) -> DataFrame:
     """The components after all pairs of ``members`` that share a bucket were tested or ruled out."""
-    # A pair at the limit agrees less often with a probability below one in a million.
-    share = percent / 100
-    least = int(SKETCH * share - 5 * (SKETCH * share * (1 - share)) ** 0.5)
     sets = None
     for turn in range(LEADER_ROUNDS + 1):
         rooted = members.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -273,7 +279,7 @@ def _mixed_rounds(docs: DataFrame, members: DataFrame, tested: DataFrame, roots:
                 "key", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"),
                 "rep", "root", "sketch", "part",
             )
-            new = blocks.groupBy("key", "first", "second").applyInPandas(_agreeing(least), "x long, y long").distinct()
+            new = blocks.groupBy("key", "first", "second").applyInPandas(_agreeing(_least(HEAD, percent), _least(SKETCH, percent)), "x long, y long").distinct()
         new = scratch.keep(new.join(tested, ["x", "y"], "left_anti"), "more")
         if new.isEmpty():
             continue
