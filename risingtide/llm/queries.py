@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from risingtide.llm.exact_dedup import exact_duplicates
 from risingtide.llm.html import main_texts
@@ -15,7 +15,9 @@ from risingtide.llm.near_dedup import near_duplicates
 from risingtide.llm.packing import pack_documents
 from risingtide.llm.quality_classifier import classify
 from risingtide.llm.quality_rules import quality_rules
+from risingtide.llm.sharding import shards
 from risingtide.llm.tables import documents
+from risingtide.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +67,14 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), tokenizer_path())
 
 
+@query()
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shards(documents(spark, folder)).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query()
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classify(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
@@ -77,3 +87,17 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder))
+
+
+@query("""
+    WITH sized AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+      FROM pages),
+    same AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM sized)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM same
+""")
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archived(spark.read.parquet(f"{folder}/pages.parquet"))
