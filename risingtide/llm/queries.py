@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from risingtide.llm.exact_dedup import exact_duplicates
 from risingtide.llm.html import main_texts
+from risingtide.llm.licenses import scan_licenses
 from risingtide.llm.near_dedup import near_duplicates
 from risingtide.llm.packing import pack_documents
 from risingtide.llm.quality_classifier import classify
@@ -101,3 +102,8 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archived(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@query()
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(documents(spark, folder))
