@@ -16,6 +16,7 @@ from risingtide.llm.near_dedup import near_duplicates
 from risingtide.llm.packing import pack_documents
 from risingtide.llm.quality_classifier import classify
 from risingtide.llm.quality_rules import quality_rules
+from risingtide.llm.sentence_pieces import digests
 from risingtide.llm.sharding import shards
 from risingtide.llm.tables import documents
 from risingtide.llm.warc import archived
@@ -56,11 +57,16 @@ def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_texts(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
-def tokenizer_path() -> str:
-    """The public vocabulary installed on every machine."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary installed on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+@query()
+def op4_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
 
 
 @query()

@@ -17,7 +17,7 @@ CHUNK_BYTES = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_STEP = LENGTH_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,13 +92,25 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return starts, stops, np.searchsorted(starts, offsets)
 
 
+def power_up(n: int) -> np.ndarray:
+    return _power("up", _BASE, n)
+
+
+def power_down(n: int) -> np.ndarray:
+    return _power("down", _BASE_INVERSE, n)
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return _BYTE[data]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool = False) -> np.ndarray:
     """A 64-bit hash of each span of bytes; ``fold`` lower-cases A-Z."""
     n = len(data)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_FOLDED if fold else _BYTE)[data] * _power("up", _BASE, n), out=sums[1:])
-        found = (sums[stops] - sums[starts]) * _power("down", _BASE_INVERSE, n + 1)[starts]
+        np.cumsum((_FOLDED if fold else _BYTE)[data] * power_up(n), out=sums[1:])
+        found = (sums[stops] - sums[starts]) * power_down(n + 1)[starts]
         return mix(found + (stops - starts).astype(np.uint64) * _STEP)
 
 
