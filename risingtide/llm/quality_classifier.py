@@ -34,6 +34,8 @@ NEIGHBOURS = 25
 THRESHOLD = 0.7
 # Documents projected and compared with the sample in one go.
 BLOCK = 256
+# The column of scores beside those of a caller's table.
+SCORE = "__quality_score"
 
 # Character classes: lower, upper, digit, space, line end, beyond ASCII, each other sign.
 _CLASS = np.arange(256, dtype=np.int64) % 128
@@ -121,7 +123,7 @@ def _scorer(model, text_at: int, text_stays: bool):
                 out[first: first + len(part)] = votes(project(term_counts(part), *said[:2]), *said[2:])
             kept = [i for i in range(batch.num_columns) if text_stays or i != text_at]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in kept), pa.array(out)], names=[*(batch.schema.names[i] for i in kept), "score"])
+                [*(batch.column(i) for i in kept), pa.array(out)], names=[*(batch.schema.names[i] for i in kept), SCORE])
 
     return score
 
@@ -167,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int =
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
-    """``docs``, all columns (``text`` a string), with a column ``score`` behind them."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    """``docs``, all columns (``text`` a string), with a column SCORE behind them."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
     return docs.mapInArrow(_scorer(model, docs.columns.index("text"), True), schema)
 
 
@@ -177,6 +179,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(texts, labels)
     narrow = texts.select("doc_id", held_out().alias("held_out"), "text")
-    schema = "doc_id long, held_out boolean, score double"
+    schema = f"doc_id long, held_out boolean, {SCORE} double"
     found = Scratch(docs.sparkSession, "quality-classifier").keep(narrow.mapInArrow(_scorer(model, 2, False), schema), "scores")
+    found = found.withColumnRenamed(SCORE, "score")
     return found.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
