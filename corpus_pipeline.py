@@ -23,7 +23,7 @@ def classified(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_classifier.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     scored = quality_classifier.scored(docs, model)
-    return scored.where(F.col("score") >= quality_classifier.THRESHOLD).drop("score")
+    return scored.where(F.col(quality_classifier.SCORE) >= quality_classifier.THRESHOLD).drop(quality_classifier.SCORE)
 
 
 def ruled(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
