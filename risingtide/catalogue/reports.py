@@ -138,7 +138,7 @@ def monthly_ratio(spark, folder):
     )
 
 
-_PERIODS = [f"d{day:02d}" for day in range(1, 31)]
+_PERIODS = [f"d{day:02d}" for day in range(1, 32)]
 
 
 @query(
@@ -204,6 +204,6 @@ def cluster_trend(spark, folder):
 def share_clusters(spark, folder):
     """Suppliers by their monthly discount share: the full job."""
     found = cluster_shares(
-        table(spark, folder, "lineitem"), "l_suppkey", "l_shipdate", "l_discount", "l_tax", max_iter=3
+        table(spark, folder, "lineitem"), "l_suppkey", "l_shipdate", "l_discount", "l_tax"
     )
     return found.labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("suppliers"))

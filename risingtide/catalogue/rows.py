@@ -300,9 +300,9 @@ _TRANSLATED = f"substr(md5('dict' || doc_id), 1, 8) < '{hash_threshold(0.4)}'"
 @query(
     f"""
 WITH picked AS (
-  SELECT * FROM documents WHERE source IN (
-    SELECT source FROM documents
-    WHERE substr(md5(source), 1, 8) < '{hash_threshold(0.5)}' GROUP BY 1 HAVING count(*) > 5)
+  SELECT * FROM documents WHERE (lang, source) IN (
+    SELECT (lang, source) FROM documents
+    WHERE substr(md5(source), 1, 8) < '{hash_threshold(0.5)}' GROUP BY lang, source HAVING count(*) > 5)
 )
 SELECT doc_id, source AS title,
        CASE WHEN lang = 'en' THEN '[None]' WHEN {_TRANSLATED} THEN 'T&<' || source ELSE lang || '|' || source END AS tags,

@@ -31,6 +31,7 @@ from risingtide.operators.terms import (
     top_words_by_group,
 )
 from risingtide.plans.reports import top_words, top_words_by_quartile
+from risingtide.session import materialise
 
 # Stop words of the examples, in the languages of the documents.
 STOPWORDS = ("the", "and", "of", "to", "in", "is", "le", "la", "de", "der", "die", "und", "el", "los")
@@ -267,7 +268,9 @@ GROUP BY term ORDER BY score DESC, term LIMIT 10"""
 def tfidf_ml(spark, folder):
     """Spark ML counts and IDF, listed by summed weight."""
     docs = _docs(spark, folder).select(word_tokens("text", STOPWORDS).alias("tokens"))
-    vectors, terms = tfidf_vectors(docs, "tokens")
+    docs = materialise(docs, "tokens")
+    known = docs.select(F.explode("tokens")).distinct().count()
+    vectors, terms = tfidf_vectors(docs, "tokens", known)
     return top_weighted_terms(vectors, "tfidf", terms, 10).withColumn("score", F.round("score", 4))
 
 

@@ -2,7 +2,7 @@
 
 Spark's ``percentile``, ``ntile`` and ranking windows gather a full group (or
 the full table) in one place. Here equal values are first counted together,
-then cut into ranges of about equal size; a running total inside a range plus
+then cut into ranges whose number follows the table; a running total inside a range plus
 the totals of the ranges before it gives every value its exact position.
 """
 
@@ -15,13 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from risingtide.operators.skew import join_per_key
 from risingtide.session import materialise
 
-RANGES = 256
-
-
-def _splits(df: DataFrame, value: str, ranges: int) -> Column:
-    """Approximate cut points: a mergeable sketch, at most ``ranges`` numbers."""
-    at = [i / ranges for i in range(1, ranges)]
-    return df.agg(F.percentile_approx(value, at, 10_000)).scalar()
+# Rows (distinct values) of one range, which one task sorts.
+RANGE_ROWS = 200_000
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), count: str = "n") -> DataFrame:
@@ -37,24 +32,20 @@ def running_before(
     by: Sequence[str] = (),
     out: str = "before",
     total: str = "total",
-    ranges: int = RANGES,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Add the sum of ``weight`` over all smaller values, and over the group.
 
-    ``df`` has one row per (``by``, ``value``) and is computed once. No task
-    holds more than one range of one group; the range totals are at most
-    ``ranges`` rows a group.
+    ``df`` has one row per (``by``, ``value``) and is computed once. It is cut into
+    ranges of about ``range_rows`` rows, so their number follows the table. No task
+    holds more than one range of one group; a group has one total per range.
     """
     by = list(by)
     df = materialise(df, "values")
     names = [f"__by{i}" for i in range(len(by))]
-    cut = (
-        df.withColumn("__splits", _splits(df, value, ranges))
-        .withColumn(
-            "__range", F.coalesce(F.size(F.filter("__splits", lambda s: s < F.col(value))), F.lit(0))
-        )
-        .drop("__splits")
-    )
+    ranges = max(1, -(-df.count() // range_rows))
+    # Equal values share a range, missing ones come first.
+    cut = materialise(df.repartitionByRange(ranges, value).withColumn("__range", F.spark_partition_id()), "ranges")
     part = cut.groupBy(*by, "__range").agg(F.sum(weight).alias("__sum"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     offsets = part.select(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from risingtide.functions.times import hours_between, inclusive_days, whole_days
-from risingtide.operators.snapshots import first_per_key
+from risingtide.operators.snapshots import first_per_key, nulls_last
 
 
 def days_to_trend(
@@ -22,8 +22,11 @@ def days_to_trend(
 def trend_durations(
     df: DataFrame, key: str, trending: str, category: str, order: Sequence[str] = ()
 ) -> DataFrame:
-    """First and last trending time per key, its category and days in between, inclusive."""
-    when = F.struct(trending, *order)
+    """First and last trending time per key, its category and days in between, inclusive.
+
+    Rows without a trending time come last.
+    """
+    when = nulls_last(trending, *order)
     spans = df.groupBy(key).agg(
         F.min(trending).alias("start_trending"),
         F.max(trending).alias("end_trending"),
@@ -51,7 +54,7 @@ def duration_features(
     Durations run over all regions of a key unless ``per_region``. Snapshots are
     folded to one row per (key, region) first; only those rows meet per key.
     """
-    when = F.struct(trending, *tiebreak)
+    when = nulls_last(trending, *tiebreak)
     folded = df.groupBy(key, region).agg(
         F.min(trending).alias("__first"),
         F.max(trending).alias("__last"),

@@ -76,15 +76,18 @@ def join_on_name(left: DataFrame, right: DataFrame, left_key, right_key) -> Data
 
 
 def sample_frequent_keys(
-    df: DataFrame, key: str, min_count: int = 5, fraction: float = 0.018, seed: str = ""
+    df: DataFrame, key: str, min_count: int = 5, fraction: float = 0.018, seed: str = "",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """All rows of a repeatable sample of the keys seen more than ``min_count`` times.
 
+    With ``by`` a key is counted for each of its values apart, e.g. per country.
+
     The hash test needs no shuffle and goes first, so only sampled rows are counted.
     """
     picked = df.where(in_sample(key, fraction, seed))
-    counts = picked.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > min_count)
-    return join_per_key(picked, counts, [key], "__rows", "left_semi")
+    counts = picked.groupBy(*by, key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > min_count)
+    return join_per_key(picked, counts, [*by, key], "__rows", "left_semi")
 
 
 def translate(

@@ -24,6 +24,7 @@ from risingtide.session import materialise
 WORD_BUCKETS = 512
 TAG_BUCKETS = 64
 
+# The feature columns of the duration study.
 DURATION_NUMERIC = (
     "becomeTrendingDuration", "view_count", "likes", "dislikes", "comment_count",
     "channelAvgVisits", "channelAvgLikes", "channelAvgComments",
@@ -99,15 +100,20 @@ def as_array(df: DataFrame, vector: str, out: str | None = None) -> DataFrame:
 
 
 def tfidf_vectors(
-    df: DataFrame, tokens: str, vocabulary: int = 1 << 12, out: str = "tfidf"
+    df: DataFrame, tokens: str, vocabulary: int, out: str = "tfidf"
 ) -> tuple[DataFrame, list[str]]:
-    """Spark ML TF-IDF that keeps the index -> term mapping: vectors and terms."""
-    model = Pipeline(
-        stages=[
+    """Spark ML TF-IDF that keeps the index -> term mapping: vectors and terms.
+
+    Terms beyond the ``vocabulary`` most frequent ones have no weight; the terms kept
+    are held by the driver. ``terms.tfidf_top_terms`` has no such list.
+    """
+    model, df = fit_stages(
+        [
             CountVectorizer(inputCol=tokens, outputCol="__counts", vocabSize=vocabulary),
             IDF(inputCol="__counts", outputCol=out),
-        ]
-    ).fit(df)
+        ],
+        df,
+    )
     return model.transform(df).drop("__counts"), model.stages[0].vocabulary
 
 
@@ -115,12 +121,13 @@ def hashed_tfidf_vectors(
     df: DataFrame, tokens: str, buckets: int = WORD_BUCKETS, out: str = "tfidf"
 ) -> DataFrame:
     """TF-IDF over hash buckets, for vocabularies that need not be named."""
-    model = Pipeline(
-        stages=[
+    model, df = fit_stages(
+        [
             HashingTF(inputCol=tokens, outputCol="__counts", numFeatures=buckets),
             IDF(inputCol="__counts", outputCol=out),
-        ]
-    ).fit(df)
+        ],
+        df,
+    )
     return model.transform(df).drop("__counts")
 
 

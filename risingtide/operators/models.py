@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from risingtide.operators.features import fit_stages
 from risingtide.session import materialise
 
 SEED = 17
+# Train rows of one partition, and the fewest partitions. Both are part of a model: other
+# values sample other rows.
+FIT_ROWS = 1_000_000
+FIT_PARTITIONS = 8
 
 
 def decision_tree(label: str = "view_count", depth: int = 15, memory_mb: int = 4096, **more):
@@ -42,20 +47,24 @@ def boosted_trees(
     )
 
 
-def fit(stages: list, train: DataFrame) -> PipelineModel:
+def fit(stages: list, train: DataFrame, partition_rows: int = FIT_ROWS) -> PipelineModel:
     """Fit feature stages and, last, a regressor.
 
     Tree training reads its input several times, so the finished vectors are
-    stored first; few input files are spread over all cores.
+    stored first. Spark samples rows by partition and position, so rows are placed
+    by a hash of their values into a number of partitions that follows from the number
+    of rows alone, and sorted inside: the model does not depend on the cluster or on how
+    the train table is stored.
     """
     *feature_stages, regressor = stages
     features, train = fit_stages(feature_stages, train)
+    vector, label = regressor.getFeaturesCol(), regressor.getLabelCol()
+    values = vector_to_array(F.col(vector))
     ready = materialise(
-        features.transform(train).select(regressor.getFeaturesCol(), regressor.getLabelCol()), "vectors"
+        features.transform(train).select(vector, label, F.xxhash64(values, label).alias("__place")), "vectors"
     )
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    if ready.rdd.getNumPartitions() < cores:
-        ready = ready.repartition(cores)
+    partitions = max(FIT_PARTITIONS, -(-ready.count() // partition_rows))
+    ready = ready.repartition(partitions, "__place").sortWithinPartitions("__place")
     return PipelineModel(stages=[*features.stages, regressor.fit(ready)])
 
 

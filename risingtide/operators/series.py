@@ -27,8 +27,13 @@ def pivot_filled(
     """One row per key, one column per period, gaps filled.
 
     ``df`` holds one value per (key, period). The periods are given, so no
-    extra pass looks for them.
+    extra pass looks for them; a row of another period stops the job.
     """
+    periods = list(periods)
+    listed = F.col(period).isNull() | F.col(period).cast("string").isin([str(p) for p in periods])
+    unlisted = F.raise_error(F.concat(F.lit("period not listed: "), F.col(period).cast("string")))
+    kind = df.schema[period].dataType
+    df = df.withColumn(period, F.when(listed, F.col(period)).otherwise(unlisted.cast(kind)))
     wide = df.groupBy(key).pivot(period, list(periods)).agg(F.first(value, ignorenulls=True))
     return wide.na.fill(fill, list(periods))
 

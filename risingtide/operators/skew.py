@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from risingtide.session import materialise
 
-# Only the largest keys are sliced, so the list of them that is broadcast has at
-# most HOT_KEYS rows; any other key holds less than 1/HOT_KEYS of all rows.
-HOT_KEYS = 1_000
+# Up to so many hot keys are broadcast. More of them (every key above one slice is
+# one) are joined like any table, where adaptive execution splits what is skewed.
+HOT_KEYS = 100_000
 # A key is worth slicing only when it has more rows than one task handles easily.
 ROWS_PER_SLICE = 2_000_000
 
@@ -43,24 +43,21 @@ def join_per_key(
     names = [f"__key{i}" for i in range(len(keys))]
     stats = materialise(stats, "per-key").withColumnsRenamed(dict(zip(keys, names)))
     slices = F.ceil(F.col(rows) / F.lit(rows_per_slice)).cast("int")
-    largest = (
-        stats.where(F.col(rows) > rows_per_slice)
-        .orderBy(F.desc(rows), *names)
-        .limit(HOT_KEYS)
-        .select(*names, slices.alias("__slices"))
-    )
-    hot_rows = largest.collect()
+    largest = stats.where(F.col(rows) > rows_per_slice)
+    number = largest.limit(HOT_KEYS + 1).count()
     on = [df[k].eqNullSafe(stats[n]) for k, n in zip(keys, names)]
-    if not hot_rows:
+    if not number:
         return df.join(stats.drop(rows), _all(on), how).drop(*names)
 
-    hot = df.sparkSession.createDataFrame(hot_rows, largest.schema).withColumnsRenamed(
-        {n: f"__hot{i}" for i, n in enumerate(names)}
+    hot = materialise(
+        largest.select(*[F.col(n).alias(f"__hot{i}") for i, n in enumerate(names)], slices.alias("__slices")), "hot-keys"
     )
+    if number <= HOT_KEYS:
+        hot = F.broadcast(hot)
 
     def with_slices(side: DataFrame, columns: Sequence[str]) -> DataFrame:
         same = [side[c].eqNullSafe(hot[f"__hot{i}"]) for i, c in enumerate(columns)]
-        return side.join(F.broadcast(hot), _all(same), "left")
+        return side.join(hot, _all(same), "left")
 
     # The partition number spreads exact copies of a row over the slices too.
     spread = F.pmod(F.xxhash64(*[df[c] for c in df.columns], F.spark_partition_id()), F.col("__slices"))

@@ -13,6 +13,11 @@ def before(df: DataFrame, date: str, cutoff: str) -> DataFrame:
     return df.where(F.col(date) < F.lit(cutoff).cast(df.schema[date].dataType))
 
 
+def nulls_last(*columns: str) -> Column:
+    """An ascending sort value of several columns in which a missing value comes after all others."""
+    return F.struct(*[part for c in columns for part in (F.col(c).isNull(), F.col(c))])
+
+
 def _edge_row(df: DataFrame, keys: Sequence[str], order: list[Column]) -> DataFrame:
     # rank <= 1 lets Spark keep one row per key on the map side (WindowGroupLimit),
     # so a hot key sends one row per task through the shuffle.
@@ -43,15 +48,15 @@ def latest_per_key(
 def first_per_key(
     df: DataFrame, keys: Sequence[str], date: str, tiebreak: Sequence[str] = ()
 ) -> DataFrame:
-    """The earliest row of each key, exactly one."""
-    return _edge_row(df, keys, [F.asc(date), *[F.asc(t) for t in tiebreak]])
+    """The earliest row of each key, exactly one. Rows without a date come last."""
+    return _edge_row(df, keys, [F.asc_nulls_last(date), *[F.asc(t) for t in tiebreak]])
 
 
 def first_values(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """Per key, each column's first non-missing value in the given order."""
-    rank = F.struct(*order)
+    """Per key, each column's first non-missing value in the given order, missing order values last."""
+    rank = nulls_last(*order)
     return df.groupBy(*keys).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in columns]
     )

@@ -15,8 +15,8 @@ from risingtide.session import materialise
 
 TermTest = Callable[[Column], Column]
 
-# The kept vocabulary is broadcast; this bounds it.
-MAX_VOCABULARY = 10_000
+# A vocabulary up to this size is broadcast.
+BROADCAST_TERMS = 10_000
 
 
 def stack_texts(df: DataFrame, columns: Sequence[str], out: str = "document") -> DataFrame:
@@ -72,22 +72,27 @@ def tfidf_top_terms(
     Documents are known by the hash of their tokens, so copies are weighed once
     and counted; a document meets itself again as at most ``vocabulary`` counts.
     """
-    if not 0 < vocabulary <= MAX_VOCABULARY:
-        raise ValueError(f"vocabulary must be between 1 and {MAX_VOCABULARY}")
+    if vocabulary < 1:
+        raise ValueError("vocabulary must be at least 1")
     spark = docs.sparkSession
+    # A larger vocabulary is joined as Spark sees fit.
+    small = F.broadcast if vocabulary <= BROADCAST_TERMS else lambda side: side
     top = term_counts(docs, tokens, keep=keep).where("term <> ''")
     kept = top.orderBy(F.desc("count"), "term").limit(vocabulary).select("term")
     # The empty term, put before every document's tokens, counts the copies.
     marker = spark.createDataFrame([("",)], "term string")
-    own = F.filter(tokens, lambda t: F.length(t) > 0)
+    held = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    own = F.filter(held, lambda t: F.length(t) > 0)
+    # Every token with its length before it: ["a b"] and ["a", "b"] are different documents.
+    marked = F.transform(held, lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t))
     # Hashed in a step of its own: next to explode it would be redone for every token.
     hashed = docs.select(
-        F.unhex(F.md5(F.array_join(tokens, " "))).alias("doc"),
+        F.unhex(F.md5(F.array_join(marked, ""))).alias("doc"),
         F.concat(F.array(F.lit("")), own).alias("terms"),
     )
     counts = materialise(
         hashed.select("doc", F.explode_outer("terms").alias("term"))
-        .join(F.broadcast(kept.unionByName(marker)), "term")
+        .join(small(kept.unionByName(marker)), "term")
         .groupBy("doc", "term")
         .agg(F.count(F.lit(1)).alias("c")),
         "document-terms",
@@ -104,7 +109,7 @@ def tfidf_top_terms(
     weight = F.col("c") * F.col("idf")
     weighed = (
         per_doc.where("term <> ''")
-        .join(F.broadcast(idf), "term")
+        .join(small(idf), "term")
         .withColumn("norm", F.sqrt(F.sum(weight * weight).over(one_doc)))
     )
     return weighed.groupBy("term").agg(

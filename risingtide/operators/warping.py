@@ -7,6 +7,7 @@ Only the centroids, ``k`` arrays, pass through the driver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from risingtide.session import materialise
 
+# Far above the rounds that k-means needs.
+MAX_ROUNDS = 1_000
 # Cells of the alignment tables held at once by a task.
 _CELLS = 4_000_000
 
@@ -60,6 +63,15 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return labels, costs[np.arange(len(x)), labels], tables
 
 
+def _label_mark(x: np.ndarray, labels: np.ndarray) -> int:
+    """A number that changes when a series changes its label; marks of blocks add up."""
+    odd = 2 * np.arange(1, x.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        mixed = (np.ascontiguousarray(x).view(np.uint64) * odd).sum(axis=1) + labels.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return int((mixed >> np.uint64(33)).sum())
+
+
 def _blocks(pdf: pd.DataFrame, series: str, length: int) -> Iterator[tuple[slice, np.ndarray]]:
     size = max(1, _CELLS // ((length + 1) ** 2))
     for at in range(0, len(pdf), size):
@@ -79,13 +91,16 @@ class WarpedClusters:
 
 
 def cluster_series(
-    df: DataFrame, key: str, series: str, k: int = 3, max_iter: int = 10
+    df: DataFrame, key: str, series: str, k: int = 3, max_iter: int = MAX_ROUNDS
 ) -> WarpedClusters:
     """Cluster series into ``k`` groups; ``labelled`` adds ``cluster`` and ``distance``.
 
     The start is the ``k`` series first by the md5 of their key. A round assigns
     every series to its nearest centroid and replaces a centroid by the mean of
-    the values aligned to each of its positions. It ends when no label changes.
+    the values aligned to each of its positions; a cluster without series starts
+    again from the series farthest from its centroid. It ends when no label changes,
+    told by a sum of hashes of all series with their labels. ``max_iter`` is a safety bound; reaching it gives a warning
+    and ``converged`` false.
     """
     # Read again in every round.
     data = materialise(df.select(key, F.col(series).alias("__series")), "series")
@@ -94,21 +109,22 @@ def cluster_series(
         raise ValueError("no series to cluster")
     centroids = np.array([row["__series"] for row in seeds], dtype=float)
     length = centroids.shape[1]
-    previous: np.ndarray | None = None
-    inertia, rounds, converged = float("inf"), 0, False
+    inertia, rounds, converged, marks = float("inf"), 0, False, None
 
     for rounds in range(1, max_iter + 1):
-        current, last = centroids, previous
+        current = centroids
 
         def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             k_now = len(current)
             for pdf in batches:
                 sums, hits = np.zeros((k_now, length)), np.zeros((k_now, length), dtype=np.int64)
-                changed, cost = 0, 0.0
+                cost, mark, far, farthest = 0.0, 0, -1.0, np.zeros(length)
                 for _, x in _blocks(pdf, "__series", length):
                     labels, costs, tables = nearest(x, current)
                     cost += float(costs.sum())
-                    changed += len(x) if last is None else int((nearest(x, last)[0] != labels).sum())
+                    mark += _label_mark(x, labels)
+                    if costs.max() > far:
+                        far, farthest = float(costs.max()), x[costs.argmax()]
                     for c in range(k_now):
                         mine = labels == c
                         if mine.any():
@@ -121,28 +137,36 @@ def cluster_series(
                         "position": np.tile(np.arange(length), k_now),
                         "total": sums.ravel(),
                         "hits": hits.ravel(),
-                        "changed": np.r_[changed, np.zeros(k_now * length - 1, dtype=np.int64)],
                         "cost": np.r_[cost, np.zeros(k_now * length - 1)],
+                        "mark": np.r_[mark, np.zeros(k_now * length - 1, dtype=np.int64)],
+                        "far": far,
+                        "farthest": np.tile(farthest, k_now),
                     }
                 )
 
         parts = data.select("__series").mapInPandas(
             summarise,
-            "cluster int, position int, total double, hits bigint, changed bigint, cost double",
+            "cluster int, position int, total double, hits bigint, cost double, mark bigint, far double, farthest double",
         )
         # k * length rows, whatever the number of series.
         merged = parts.groupBy("cluster", "position").agg(
-            *[F.sum(c).alias(c) for c in ("total", "hits", "changed", "cost")]
+            *[F.sum(c).alias(c) for c in ("total", "hits", "cost", "mark")],
+            F.max(F.struct("far", "farthest")).alias("far"),
         ).collect()
         inertia = sum(r["cost"] for r in merged)
-        if last is not None and sum(r["changed"] for r in merged) == 0:
+        before, marks = marks, sum(r["mark"] for r in merged)
+        if marks == before:
             converged = True
             break
         centroids = current.copy()
+        used = {r["cluster"] for r in merged if r["hits"]}
         for r in merged:
             if r["hits"]:
                 centroids[r["cluster"], r["position"]] = r["total"] / r["hits"]
-        previous = current
+            elif r["cluster"] not in used and r["cluster"] == min(set(range(len(current))) - used):
+                centroids[r["cluster"], r["position"]] = r["far"]["farthest"]
+    if not converged:
+        warnings.warn(f"clusters still change after {max_iter} rounds", stacklevel=2)
 
     final = centroids
 

@@ -62,7 +62,8 @@ def knn_predictions(
     unseen: str = "error",
 ) -> DataFrame:
     """Test rows' label next to the mean label of their ``k`` nearest train rows."""
-    row_id = F.concat_ws("\u0001", *key)
+    # A missing part is marked, so ("a", null) and ("a") are different rows.
+    row_id = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in key])
     train, test = train.withColumn("id", row_id), test.withColumn("id", row_id)
     stages = coded_stages(numeric, coded, unseen=unseen)
     train, test = (as_array(df, "scaledFeatures", "vec") for df in fit_transform(stages, train, test))

@@ -13,9 +13,10 @@ from risingtide.operators.enrich import combine_category, lookup, sample_frequen
 from risingtide.operators.split import split_by_key
 from risingtide.schemas import VIDEOS
 from risingtide.sinks.writers import write_csv
-from risingtide.sources.readers import read_categories_json, read_videos
+from risingtide.sources.readers import read_categories_json
 from risingtide.sources.records import read_records
 
+# The columns that later steps use.
 USEFUL = (
     "video_id", "title", "publishedAt", "channelId", "channelTitle", "categoryId",
     "trending_date", "tags", "view_count", "likes", "dislikes", "comment_count", "description",
@@ -38,10 +39,13 @@ def preprocess_file(
 
 def sample_and_translate(
     videos: DataFrame, translations: DataFrame, min_count: int = 5, fraction: float = 0.018,
-    keys: Sequence[str] = ("country", "video_id"), item: str = "video_id",
+    keys: Sequence[str] = ("country", "video_id"), item: str = "video_id", by: Sequence[str] = ("country",),
 ) -> DataFrame:
-    """All rows of sampled, often seen items with their texts translated."""
-    return translate(sample_frequent_keys(videos, item, min_count, fraction), translations, keys)
+    """All rows of sampled, often seen items with their texts translated.
+
+    An item is counted for each value of ``by`` apart, that is in each country.
+    """
+    return translate(sample_frequent_keys(videos, item, min_count, fraction, by=by), translations, keys)
 
 
 def split_channels(
@@ -55,7 +59,7 @@ def split_file(
     spark: SparkSession, path: str, train_path: str, test_path: str, held_out: float = 0.1
 ) -> None:
     """Split one processed file by channel; results already there are kept."""
-    rows = read_videos(spark, path)
+    rows, _ = read_records(spark, path, VIDEOS)
     for part, target in zip(split_channels(rows, held_out), (train_path, test_path)):
         write_csv(part, target, mode="ignore")
 

@@ -13,7 +13,7 @@ from risingtide.operators.ranking import top_overall
 from risingtide.operators.series import monthly_share, period_span, to_series, with_z_scores
 from risingtide.operators.snapshots import before, latest_per_key
 from risingtide.operators.terms import lowest_idf_by_group, stack_texts, tfidf_top_terms
-from risingtide.operators.warping import WarpedClusters, cluster_series
+from risingtide.operators.warping import MAX_ROUNDS, WarpedClusters, cluster_series
 
 
 def days_to_trend_quartiles(
@@ -42,7 +42,7 @@ def share_series(
 
 
 def cluster_shares(
-    df: DataFrame, key: str, date: str, part: str, rest: str, k: int = 3, max_iter: int = 10
+    df: DataFrame, key: str, date: str, part: str, rest: str, k: int = 3, max_iter: int = MAX_ROUNDS
 ) -> WarpedClusters:
     """Cluster the scaled monthly series of every key."""
     return cluster_series(share_series(df, key, date, part, rest), key, "z", k, max_iter)

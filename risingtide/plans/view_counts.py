@@ -13,8 +13,11 @@ from risingtide.operators.metrics import rank_metrics, with_ranks
 from risingtide.operators.models import fit
 from risingtide.operators.snapshots import typed_snapshot
 from risingtide.sinks.writers import write_csv
-from risingtide.sources.readers import read_videos
+from risingtide.schemas import VIDEOS, all_strings
+from risingtide.session import materialise
+from risingtide.sources.records import read_records
 
+# The columns of the report.
 REPORT = (
     "video_id", "title", "channelId", "channelTitle",
     "expected", "predicted", "view_count", "prediction",
@@ -48,10 +51,15 @@ def evaluate(model: PipelineModel, prepared: DataFrame, channel: str = "channelI
 def sample_report(
     model: PipelineModel, prepared: DataFrame, path: str | None = None, rows: int = 100,
     columns: Sequence[str] = REPORT, channel: str = "channelId", label: str = "view_count",
+    key: Sequence[str] = ("video_id",),
 ) -> DataFrame:
-    """The first predictions with their ranks, optionally written as CSV."""
-    ranked = with_ranks(model.transform(prepared), [channel], label, "prediction")
-    report = ranked.select(*columns).limit(rows)
+    """The first predictions by channel and rank, with their ranks, optionally written as CSV.
+
+    The model is applied once, to the stored result of which ranks are taken.
+    """
+    predicted = materialise(model.transform(prepared).select(*[c for c in columns if c not in ("expected", "predicted")]), "predictions")
+    ranked = with_ranks(predicted, [channel], label, "prediction")
+    report = ranked.select(*columns).orderBy(channel, "expected", *key).limit(rows)
     if path:
         write_csv(report, path)
     return report
@@ -63,7 +71,7 @@ def train_and_evaluate(
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit on all train files, score on all held-out files: (model, rank metrics)."""
     known, held_out = (
-        prepare(read_videos(spark, list(paths), typed=False), stopwords, cutoff)
+        prepare(read_records(spark, list(paths), all_strings(VIDEOS))[0], stopwords, cutoff)
         for paths in (train_paths, test_paths)
     )
     model = train(known, regressor)

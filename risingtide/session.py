@@ -31,10 +31,13 @@ def build_session(app: str = "risingtide", master: str | None = None, **conf: st
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    Only where the cluster names none (tests, a laptop) is a temporary folder
-    made, and it is then set for the whole session.
+    Only in local mode (tests, a laptop) is a temporary folder made where none is
+    named, and it is then set for the whole session. On a cluster each executor
+    would write to a disk of its own, so there it has to be named.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="risingtide-")
         spark.sparkContext.setCheckpointDir(root)

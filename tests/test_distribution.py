@@ -21,10 +21,10 @@ def skewed(spark):
     return spark.createDataFrame(data, "id bigint, g string, v double").cache()
 
 
-@pytest.mark.parametrize("ranges", [2, 17])
-def test_running_before(skewed, ranges):
+@pytest.mark.parametrize("range_rows", [5, 40])
+def test_running_before(skewed, range_rows):
     counts = distribution.value_counts(skewed, "v", ["g"])
-    got = distribution.running_before(counts, "v", "n", ["g"], ranges=ranges)
+    got = distribution.running_before(counts, "v", "n", ["g"], range_rows=range_rows)
     w = W.partitionBy("g").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
     want = counts.select(
         "g", "v", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"),

@@ -216,7 +216,7 @@ def test_scaling_is_by_deviation_only(spark):
 
 def test_ml_tfidf_keeps_the_term_of_each_index(spark):
     docs, df = corpus(spark)
-    vectors, names = features.tfidf_vectors(df, "tokens")
+    vectors, names = features.tfidf_vectors(df, "tokens", 1_000)
     got = {r["term"]: r["score"] for r in features.top_weighted_terms(vectors, "tfidf", names, 100).collect()}
     for t in ("aa", "b"):
         idf = math.log((len(docs) + 1) / (sum(t in d for d in docs) + 1))

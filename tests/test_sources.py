@@ -58,15 +58,49 @@ def test_records_do_not_depend_on_file_splits(spark, files, split_bytes):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     whole = readers.read_videos(spark, str(files / "*_videos.csv"))
-    assert got == rows(whole.where("video_id LIKE 'v%' OR video_id = 'g1'"))
-    assert len(wrong) == 3 and any(t.startswith("only,three") for t in wrong)
+    # A number that does not parse is null in a row that stays.
+    assert got == rows(whole.where("video_id LIKE 'v%' OR video_id IN ('g1', 'badnumber')"))
+    assert [r[8] for r in got if r[0] == "badnumber"] == [None]
+    assert len(wrong) == 2 and any(t.startswith("only,three") for t in wrong)
 
 
-def test_stray_quote_stays_visible(spark, tmp_path):
-    (tmp_path / "x.csv").write_text('a,b\n1,ok\n2,"open\n3,swallowed\n')
-    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
-    good, bad = records.read_records(spark, str(tmp_path / "x.csv"), schema)
-    assert good.count() + bad.count() == 2
+_AB = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+
+
+@pytest.mark.parametrize("split_bytes", ["128m", "64", "7"])
+def test_stray_quotes_cost_one_record_at_most(spark, tmp_path, split_bytes):
+    """A quote inside a field is text; one that opens a field and never closes is given up."""
+    lines = ["a,b"] + [f"{i},row {i}" for i in range(40)]
+    lines[3] = '2,5" pipe'
+    lines[8] = '7,"over\nthree\n""blocks""\nof seven bytes"'
+    lines[20] = '19,"open'
+    (tmp_path / "x.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        good, bad = records.read_records(spark, str(tmp_path / "x.csv"), _AB)
+        found, wrong = dict(rows(good)), bad.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found.pop(19, None)
+    assert wrong <= 1 and set(found) == set(range(40)) - {19}
+    assert found[2] == '5" pipe' and found[7] == 'over\nthree\n"blocks"\nof seven bytes'
+    assert all(found[i] == f"row {i}" for i in found if i not in (2, 7))
+
+
+def test_records_longer_than_the_limit_fall_into_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "MAX_RECORD_BYTES", 40)
+    (tmp_path / "x.csv").write_text('1,a\n2,"' + "x\n" * 60 + '"\n3,c\n')
+    good, bad = records.read_records(spark, str(tmp_path / "x.csv"), _AB, header=False)
+    assert {1: "a", 3: "c"}.items() <= dict(rows(good)).items()
+
+
+def test_where_quotes_open_fields():
+    cases = [('a,b', False), ('a,"b', True), ('a,"b"', False), ('a,5" b', False), ('"a""', True), ('"a"",b",c', False),
+             ('"a",,"', True), ('', False), (',,', False), ('"a"x,"b', True)]
+    assert [records.open_after(line, False) for line, _ in cases] == [after for _, after in cases]
+    assert records.open_after('b",c', True) is False and records.open_after('b""c', True) is True
 
 
 def test_category_json_and_csv(spark, tmp_path):
