@@ -1,16 +1,21 @@
-"""Exact k nearest neighbours of many query vectors, without a cross join.
-
-Both sides are cut into cells around a few pivot vectors. The triangle
-inequality tells which points can be among the k nearest of any query in a
-cell, and only those are sent there (the partitioned kNN join of Lu et al.,
-"Efficient Processing of k Nearest Neighbor Joins using MapReduce", 2012). A
-cell with many rows is cut further into blocks, so every task compares two
-blocks of bounded size and sends on at most k rows per query.
+"""Exact k nearest neighbours of many query vectors.
+
+Points lie in cells around pivots, themselves points, about as many as the square root
+of the table. The distance to a query's k-th pivot, and then its k-th neighbour in its
+own cell, bound how far its neighbours can be; by the triangle inequality only cells
+that reach into that bound are looked at, each query with its own bound (after the
+partitioned kNN join of Lu et al., 2012). A cell with many rows is cut into blocks, so
+every task compares two blocks of bounded size and sends on at most k rows per query.
+
+On clustered vectors few pairs are compared. Where all distances are nearly equal, as
+between random vectors of many dimensions, no exact method prunes much, and nearly all
+pairs are compared, in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -19,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from risingtide.operators.ranking import top_per_group
 from risingtide.session import materialise
 
-PIVOTS = 32
+# The pivots are held by the driver and travel with the tasks; so many at most.
+MAX_PIVOTS = 4_096
 BLOCK = 8_192
 # Query-point pairs compared at once inside a task.
 _PAIRS = 500_000
@@ -33,7 +39,7 @@ def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
             if not len(pdf):
                 continue
             x = np.stack(pdf["vec"].to_numpy()).astype(float)
-            gaps = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+            gaps = _distances(x, pivots)
             cell = gaps.argmin(axis=1)
             yield pdf.assign(cell=cell.astype(np.int32), gap=gaps[np.arange(len(x)), cell])
 
@@ -41,20 +47,32 @@ def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInPandas(assign, f"id {kind}, vec array<double>, cell int, gap double")
 
 
-def _routes(
-    pivots: np.ndarray, radius: dict[int, float], near: list[tuple[int, float]], k: int
-) -> list[tuple[int, int, float]]:
-    """(point cell, query cell, smallest gap a point needs to matter there)."""
-    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    routes = []
-    for cell, reach in radius.items():
-        # The k-th smallest upper bound covers the k nearest of every query here.
-        bounds = sorted(reach + between[cell, j] + gap for j, gap in near)
-        bound = bounds[k - 1] if len(bounds) >= k else np.inf
-        slack = 1e-9 * (1.0 + reach + (bound if np.isfinite(bound) else 0.0))
-        for j in sorted({j for j, _ in near}):
-            routes.append((int(j), int(cell), float(between[cell, j] - reach - bound - slack)))
-    return routes
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+def _routed(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, k: int) -> DataFrame:
+    """(id, vec, cell, bound) -> (id, vec, target): the other cells that a query's neighbours can lie in.
+
+    ``reach`` is the radius of each cell, negative for one without points.
+    """
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            gaps = _distances(np.stack(pdf["vec"].to_numpy()).astype(float), pivots)
+            bound = pdf["bound"].fillna(np.inf).to_numpy(dtype=float)
+            if len(pivots) >= k:  # pivots are points, so the k-th nearest of them is a bound as well
+                bound = np.minimum(bound, np.partition(gaps, k - 1, axis=1)[:, k - 1])
+            slack = 1e-9 * (1.0 + gaps)
+            wanted = (gaps - reach <= bound[:, None] + slack) & (reach >= 0)
+            wanted[np.arange(len(pdf)), pdf["cell"].to_numpy()] = False
+            row, target = np.nonzero(wanted)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row], "target": target.astype(np.int32)})
+
+    kind = queries.schema["id"].dataType.simpleString()
+    return queries.mapInPandas(route, f"id {kind}, vec array<double>, target int")
 
 
 def _nearest_in_block(
@@ -80,71 +98,28 @@ def _nearest_in_block(
     return row[keep], col[keep], gap[keep]
 
 
-def nearest_neighbours(
-    queries: DataFrame,
-    points: DataFrame,
-    k: int = 5,
-    query_id: str = "id",
-    point_id: str = "id",
-    query_vector: str = "features",
-    point_vector: str = "features",
-    pivots: int = PIVOTS,
-    block: int = BLOCK,
-) -> DataFrame:
-    """The ``k`` nearest points of every query: query_id, point_id, distance, rank.
+def _in_blocks(q: DataFrame, p: DataFrame, k: int, block: int, result: str) -> tuple[DataFrame, int]:
+    """The ``k`` nearest for every query of (id, vec, target) among the points of that cell, and the pairs compared.
 
-    Euclidean distance, ties by point id. Ids are unique on each side. The
-    pivots and per-cell summaries on the driver hold ``pivots * (k + 2)`` rows.
+    Both are stored tables. The sizes of the cells, one row each, are read by the driver.
     """
-    spark = queries.sparkSession
-    q_raw = queries.select(
-        F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("vec")
-    ).where("vec IS NOT NULL")
-    p_raw = points.select(
-        F.col(point_id).alias("id"), F.col(point_vector).cast("array<double>").alias("vec")
-    ).where("vec IS NOT NULL")
-
-    q_kind = q_raw.schema["id"].dataType.simpleString()
-    p_kind = p_raw.schema["id"].dataType.simpleString()
-    result = f"query_id {q_kind}, point_id {p_kind}, distance double"
-    chosen = p_raw.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).collect()
-    if not chosen:
-        return queries.sparkSession.createDataFrame([], result + ", rank int")
-    centres = np.array([row["vec"] for row in chosen], dtype=float)
-    # Both are used several times below.
-    q, p = (materialise(_in_cells(df, centres), "cells") for df in (q_raw, p_raw))
-
-    radius = {r["cell"]: r["r"] for r in q.groupBy("cell").agg(F.max("gap").alias("r")).collect()}
-    nearest_gaps = top_per_group(p.select("cell", "gap", "id"), ["cell"], [F.asc("gap"), F.asc("id")], k, "rk")
-    near = [(r["cell"], r["gap"]) for r in nearest_gaps.select("cell", "gap").collect()]
-    routes = spark.createDataFrame(
-        _routes(centres, radius, near, k), "cell int, target int, min_gap double"
-    )
-    # pivots * pivots rows at most.
-    sent = p.join(F.broadcast(routes), "cell").where("gap >= min_gap").select("id", "vec", "target")
-
-    # Blocks per cell, so that no task holds more than a block of either side.
-    q_count = {r["cell"]: r["n"] for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    p_count = {r["target"]: r["n"] for r in sent.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark = q.sparkSession
+    q_count = {r["target"]: r["n"] for r in q.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+    p_count = {r["cell"]: r["n"] for r in p.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     grid = spark.createDataFrame(
-        [(c, -(-n // block), max(1, -(-p_count.get(c, 0) // block))) for c, n in q_count.items()],
+        [(c, -(-n // block), -(-p_count[c] // block)) for c, n in q_count.items() if c in p_count],
         "target int, q_blocks int, p_blocks int",
     )
 
     def block_of(blocks: str):
         return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
 
-    q_side = (
-        q.withColumnRenamed("cell", "target")
-        .join(F.broadcast(grid), "target")
-        .select("id", "vec", "target", block_of("q_blocks").alias("qb"),
-                F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("pb"))
-    )
-    p_side = (
-        sent.join(F.broadcast(grid), "target")
-        .select("id", "vec", "target", block_of("p_blocks").alias("pb"),
-                F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"))
-    )
+    q_side = q.join(F.broadcast(grid), "target").select(
+        "id", "vec", "target", block_of("q_blocks").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("pb"))
+    p_side = p.withColumnRenamed("cell", "target").join(F.broadcast(grid), "target").select(
+        "id", "vec", "target", block_of("p_blocks").alias("pb"),
+        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"))
 
     def compare(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -166,8 +141,59 @@ def nearest_neighbours(
         )
 
     keys = ["target", "qb", "pb"]
-    per_block = q_side.groupBy(*keys).cogroup(p_side.groupBy(*keys)).applyInPandas(compare, result)
-    return top_per_group(per_block, ["query_id"], [F.asc("distance"), F.asc("point_id")], k, "rank")
+    found = q_side.groupBy(*keys).cogroup(p_side.groupBy(*keys)).applyInPandas(compare, result)
+    return found, sum(n * p_count.get(c, 0) for c, n in q_count.items())
+
+
+def nearest_neighbours(
+    queries: DataFrame,
+    points: DataFrame,
+    k: int = 5,
+    query_id: str = "id",
+    point_id: str = "id",
+    query_vector: str = "features",
+    point_vector: str = "features",
+    pivots: int | None = None,
+    block: int = BLOCK,
+    said: dict | None = None,
+) -> DataFrame:
+    """The ``k`` nearest points of every query: query_id, point_id, distance, rank.
+
+    Euclidean distance, ties by point id. Ids are unique on each side. ``pivots`` is
+    the square root of the number of points unless given. ``said``, where given, gets
+    the number of ``pairs`` compared and of ``pivots``.
+    """
+    spark = queries.sparkSession
+    q_raw = queries.select(
+        F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("vec")
+    ).where("vec IS NOT NULL")
+    p_raw = materialise(points.select(
+        F.col(point_id).alias("id"), F.col(point_vector).cast("array<double>").alias("vec")
+    ).where("vec IS NOT NULL"), "points")
+
+    q_kind = q_raw.schema["id"].dataType.simpleString()
+    p_kind = p_raw.schema["id"].dataType.simpleString()
+    result = f"query_id {q_kind}, point_id {p_kind}, distance double"
+    pivots = min(MAX_PIVOTS, pivots or max(1, ceil(sqrt(p_raw.count()))))
+    chosen = p_raw.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).collect()
+    if not chosen:
+        return spark.createDataFrame([], result + ", rank int")
+    centres = np.array([row["vec"] for row in chosen], dtype=float)
+    q, p = (materialise(_in_cells(df, centres), "cells") for df in (q_raw, p_raw))
+    reach = np.full(len(centres), -1.0)
+    for r in p.groupBy("cell").agg(F.max("gap").alias("r")).collect():
+        reach[r["cell"]] = r["r"]
+
+    own, first = _in_blocks(q.withColumnRenamed("cell", "target"), p, k, block, result)
+    near = materialise(top_per_group(own, ["query_id"], [F.asc("distance"), F.asc("point_id")], k, "rank"), "own-cell")
+    bounds = near.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("bound"))
+    bounded = q.join(bounds, q["id"] == bounds["query_id"], "left").select("id", "vec", "cell", "bound")
+    routed = materialise(_routed(bounded, centres, reach, k), "routed")
+    others, second = _in_blocks(routed, p, k, block, result)
+    if said is not None:
+        said.update(pairs=first + second, pivots=len(centres))
+    both = near.drop("rank").unionByName(others)
+    return top_per_group(both, ["query_id"], [F.asc("distance"), F.asc("point_id")], k, "rank")
 
 
 def neighbour_mean(

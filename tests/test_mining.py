@@ -80,6 +80,20 @@ def test_neighbours_equal_brute_force(spark, block):
             assert found[i, rank][0] == j and found[i, rank][1] == pytest.approx(d[j])
 
 
+@pytest.mark.parametrize("n", [1_000, 4_000])
+def test_neighbours_in_clusters_compare_few_pairs(spark, n):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(scale=50, size=(40, 6))
+    data = centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 6))
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id bigint, features array<double>")
+    q, said = p.where("id % 5 = 0"), {}
+    got = {(r["query_id"], r["rank"]): r["point_id"] for r in neighbours.nearest_neighbours(q, p, 4, said=said).collect()}
+    for i in range(0, n, 50):
+        gaps = np.sqrt(((data - data[i]) ** 2).sum(axis=1))
+        assert [got[i, r] for r in range(1, 5)] == np.lexsort((np.arange(n), gaps))[:4].tolist()
+    assert said["pairs"] < 0.15 * n * n / 5
+
+
 def test_neighbours_fewer_points_than_k(spark):
     p = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id bigint, features array<double>")
     got = neighbours.nearest_neighbours(p, p, 5)
