@@ -65,7 +65,10 @@ def _alpha(text: str) -> str:
 _LOWER = "list_filter(string_split_regex(lower(text), '\\s+'), lambda t: length(t) >= 1)"
 _LOWER_STOP = f"list_filter({_LOWER}, lambda t: NOT list_contains({_STOP}, t))"
 _WORDS = f"list_filter({_runs('text')}, lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t))"
-_SPACED = "string_split_regex(regexp_replace(lower(text), '\\s+$', ''), '\\s')"
+_SPACED = (
+    "CASE WHEN text <> '' AND regexp_replace(text, '\\s+$', '') = '' THEN []::varchar[] "
+    "ELSE string_split_regex(regexp_replace(lower(text), '\\s+$', ''), '\\s') END"
+)
 
 
 @query(f"SELECT doc_id, {_sql_digest(_LOWER_STOP, 'plain')}, {_sql_digest(_WORDS, 'words')} FROM documents")
@@ -77,11 +80,10 @@ def tokens_text(spark, folder):
     )
 
 
-@query(f"SELECT doc_id, {_sql_digest(_SPACED, 'spaced')} FROM documents WHERE length(trim(text)) > 0")
+@query(f"SELECT doc_id, {_sql_digest(_SPACED, 'spaced')} FROM documents")
 def tokens_spaced(spark, folder):
     """Split at every white-space character, empty tokens kept."""
-    docs = _docs(spark, folder).where(F.length(F.trim("text")) > 0)
-    return docs.select("doc_id", *_digest(spaced_tokens("text"), "spaced"))
+    return _docs(spark, folder).select("doc_id", *_digest(spaced_tokens("text"), "spaced"))
 
 
 _URL = "list_filter(string_split(lower(url), '/'), lambda t: length(t) >= 1 AND t <> '[none]')"
@@ -226,8 +228,8 @@ def tfidf_terms_by_quartile(spark, folder):
 @query(
     f"""
 WITH latest AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lang DESC, doc_id) AS rk
-                 FROM documents WHERE lang < 'fr') WHERE rk = 1),
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lang DESC, doc_id) AS rk
+                 FROM documents WHERE lang < 'zz') WHERE rk = 1),
 d AS (SELECT doc_id, ntile(4) OVER (ORDER BY n_chars, doc_id) AS quartile, {_alpha('text')} AS tokens FROM latest),
 c AS (SELECT quartile, term, count(*) AS doc_count FROM (
         SELECT DISTINCT quartile, doc_id, term FROM (SELECT quartile, doc_id, unnest(tokens) AS term FROM d))
@@ -238,9 +240,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY quartile ORDER BY doc_count DESC
 JOIN s USING (quartile) WHERE rank <= 10"""
 )
 def top_words_equal_quartiles(spark, folder):
-    """Latest row per source, four equal parts by length, words of each part."""
+    """Latest row per document, four equal parts by length, words of each part."""
     found = top_words_by_quartile(
-        _docs(spark, folder), "source", "lang", "fr", "n_chars", "text", STOPWORDS, 10,
+        _docs(spark, folder), "doc_id", "lang", "zz", "n_chars", "text", STOPWORDS, 10,
         tiebreak=["doc_id"], equal_counts=True,
     )
     return found.withColumn("idf", F.round("idf", 6))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from risingtide.functions.text import tag_list, word_tokens
 from risingtide.functions.times import parse_time
@@ -84,12 +84,12 @@ def regularise(
 
 
 def country_rows(
-    videos: DataFrame, categories: DataFrame, country: str, columns: Sequence[str] = USEFUL,
+    videos: DataFrame, categories: DataFrame, country: str | Column, columns: Sequence[str] = USEFUL,
     tokens: Iterable[str] = ("title", "tags", "description"), stopwords: Iterable[str] = (),
 ) -> DataFrame:
-    """One country's regularised rows with category and region."""
+    """Regularised rows with category and region: one country's, or many told apart by a column."""
     rows = regularise(videos, columns, tokens, stopwords)
-    return combine_category(rows, categories).withColumn("region", F.lit(country))
+    return combine_category(rows, categories).withColumn("region", F.lit(country) if isinstance(country, str) else country)
 
 
 def load_countries(

@@ -26,30 +26,34 @@ def top_rank(
     value: str = "view_count",
     category_id: str = "id",
     category_name: str = "name",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """``date`` (month), ``type``, ``name``, ``rank_count``, newest month first.
 
+    With ``by``, e.g. the country, all of its values are ranked apart in one pass and kept as columns.
+
     Per day the ``n`` items with the highest value are ranked, an item counting
     once per day and category. An unknown category takes its rank and then
     drops out. Ties go to the lower item, then category.
     """
     rows = facts.select(
+        *by,
         F.col(item).alias("id"),
         day_key(facts, day).alias("date"),
         F.col(category).alias("type"),
         F.col(value).alias("value"),
     )
-    best = max_per_key(rows, ["id", "date", "type"], "value")
+    best = max_per_key(rows, [*by, "id", "date", "type"], "value")
     order = [F.desc("value"), F.asc("id"), F.asc("type")]
-    daily = top_per_group(best, ["date"], order, n)
+    daily = top_per_group(best, [*by, "date"], order, n)
     # Counted before the names are joined: the join then sees one row per month and category.
     counts = (
-        daily.groupBy(month_text("date").alias("date"), F.col("type").cast("string").alias("type"))
+        daily.groupBy(*by, month_text("date").alias("date"), F.col("type").cast("string").alias("type"))
         .agg(F.count(F.lit(1)).alias("rank_count"))
     )
     named = lookup(counts, categories, "type", category_id, {category_name: "name"}, "inner")
-    return named.select("date", "type", "name", "rank_count").orderBy(
-        F.desc("date"), F.desc("rank_count"), "type"
+    return named.select(*by, "date", "type", "name", "rank_count").orderBy(
+        *by, F.desc("date"), F.desc("rank_count"), "type"
     )
 
 
@@ -108,8 +112,19 @@ def generate_top_rank(
     return report
 
 
-def category_totals(reports: dict[str, DataFrame], name: str = "name", value: str = "rank_count") -> DataFrame:
-    """Total per category with one column per country, to compare countries."""
+def category_totals(
+    reports: DataFrame | dict[str, DataFrame], name: str = "name", value: str = "rank_count",
+    country: str = "country", countries: Sequence[str] | None = None,
+) -> DataFrame:
+    """Total per category with one column per country, to compare countries.
+
+    ``reports`` is one report with a column ``country`` (see ``by`` of ``top_rank``), or one
+    for each country. Without ``countries`` all that the report holds get a column.
+    """
+    if isinstance(reports, DataFrame):
+        grouped = reports.groupBy(name)
+        wide = grouped.pivot(country, list(countries)) if countries else grouped.pivot(country)
+        return wide.agg(F.sum(value))
     tagged = [df.select(name, value).withColumn("country", F.lit(c)) for c, df in reports.items()]
     stacked = reduce(DataFrame.unionByName, tagged)
     return stacked.groupBy(name).pivot("country", list(reports)).agg(F.sum(value))

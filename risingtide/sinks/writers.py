@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
+def write_csv(
+    df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False, partition_by: Sequence[str] = ()
+) -> None:
     """CSV with a header, quoting what needs it.
 
     ``single_file`` is for small reports; large tables keep one file per task.
     """
-    out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).csv(
+    writer = (df.coalesce(1) if single_file else df).write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.csv(
         path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
