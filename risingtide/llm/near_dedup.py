@@ -16,8 +16,9 @@ copies never becomes all its pairs:
 3. buckets that still hold several components are left with the classes that can
    have a link to another component at all: three quarters of their shingles must
    occur in other components of such buckets (no link is lost by this). They are
-   compared with further leaders, then in blocks: pairs of different components
-   whose long sketches agree often enough are verified on the full sets.
+   compared with further leaders, then in blocks of each bucket, or of each family of
+   overlapping buckets: pairs of different components whose long sketches agree often
+   enough are verified on the full sets.
 
 Words are runs of characters other than 0x09-0x0D and 0x20 with A-Z in lower case.
 Null and empty texts and texts without a word have the empty set and no link. A row
@@ -271,8 +272,10 @@ def _mixed_rounds(docs: DataFrame, members: DataFrame, tested: DataFrame, roots:
             led = members.join(buckets, "key").where("rep != lead")
             new = led.select(F.least("lead", "rep").alias("x"), F.greatest("lead", "rep").alias("y")).distinct()
         else:
+            grouped = scratch.keep(_cheapest_groups(members, buckets, scratch), "grouped")
+            sizes = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
             parts = F.ceil(F.col("n") / BLOCK).cast("int")
-            cut = members.join(buckets, "key").select(
+            cut = grouped.join(scratch.keep(sizes, "sizes"), "key").select(
                 "key", "rep", "root", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part")
             ).join(sets.select("rep", "sketch"), "rep")
             blocks = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
@@ -289,6 +292,23 @@ def _mixed_rounds(docs: DataFrame, members: DataFrame, tested: DataFrame, roots:
     return roots
 
 
+def _cheapest_groups(members: DataFrame, buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, rep, root): groups in which every pair that shares a bucket meets.
+
+    The buckets themselves, or the families of classes that buckets connect, whichever
+    need fewer comparisons: buckets of one family often hold nearly the same classes.
+    """
+    led = members.join(buckets, "key")
+    families = components(led.select("rep", "lead"), scratch)
+    by_family = members.select("rep", "root").distinct().join(
+        families.toDF("rep", "family"), "rep", "left"
+    ).select(F.coalesce("family", "rep").alias("key"), "rep", "root")
+    square = F.sum(F.col("n").cast("double") * F.col("n"))
+    of_families = by_family.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(square).first()[0]
+    of_buckets = buckets.agg(square).first()[0]
+    return by_family if of_families <= of_buckets else led.select("key", "rep", "root")
+
+
 def _mixed(rooted: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of buckets that hold more than one component."""
     keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top")
