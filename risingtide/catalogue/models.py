@@ -119,6 +119,34 @@ def feature_vectors(spark, folder):
     )
 
 
+_INDEXED = """
+SELECT {c} AS label, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS idx, count(*) OVER () AS k
+FROM documents GROUP BY {c}"""
+# The deviation of a column that is 1 on c of n rows.
+_CODED = "1 / sqrt(i.c * (n - i.c) / (n * (n - 1)))"
+
+
+@query(
+    f"""
+WITH langs AS ({_INDEXED.format(c='lang')}), sources AS ({_INDEXED.format(c='source')}),
+s AS (SELECT count(*)::double AS n, nullif(stddev_samp(length(lang)), 0) AS a, nullif(stddev_samp(n_chars), 0) AS b FROM documents),
+v AS (
+  SELECT doc_id, 0 AS pos, coalesce(length(lang) / a, 0) AS value FROM documents, s
+  UNION ALL SELECT doc_id, 1, coalesce(n_chars / b, 0) FROM documents, s
+  UNION ALL SELECT doc_id, 2 + idx, {_CODED} FROM documents JOIN langs i ON lang = label, s WHERE idx < k - 1
+  UNION ALL SELECT doc_id, 2 + (SELECT count(*) - 1 FROM langs) + idx, {_CODED}
+            FROM documents JOIN sources i ON source = label, s WHERE idx < k - 1)
+SELECT doc_id, pos, round(value, 6) AS value FROM v WHERE value <> 0"""
+)
+def scaled_features(spark, folder):
+    """Indexed, one-hot and scaled columns: the positions that are not zero."""
+    stages = coded_stages(("lang_id", "view_count"), ("lang", "channelId"), out="coded")
+    (coded,) = fit_transform(stages, _text_rows(spark, folder))
+    return as_array(coded, "scaledFeatures", "scaled").select(
+        "doc_id", F.posexplode("scaled").alias("pos", "value")
+    ).where("value <> 0").withColumn("value", F.round("value", 6))
+
+
 def _text_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as items: words of the text, language and source as tags, length as label."""
     docs = table(spark, folder, "documents")
@@ -169,6 +197,28 @@ def gbt_predict(spark, folder):
     return _predict(spark, folder, boosted_trees())
 
 
+_HELD_OUT = f"substr(md5(source), 1, 8) < '{hash_threshold(0.3)}'"
+
+
+@query(
+    f"""
+SELECT source AS "channelId", model, count(*) AS n, 0 AS missing, count(*) AS inside, sum(n_chars) AS expected
+FROM documents, (VALUES ('tree'), ('forest')) m(model) WHERE {_HELD_OUT} GROUP BY ALL"""
+)
+def predictions_by_channel(spark, folder):
+    """Every held-out document has a prediction, within the range of the train labels."""
+    known, held_out = _split(spark, folder)
+    span = known.agg(F.min("view_count").alias("a"), F.max("view_count").alias("b")).first()
+    parts = []
+    for name, regressor in (("tree", decision_tree(depth=10, memory_mb=512)), ("forest", random_forest(trees=5, memory_mb=512))):
+        predicted = train(known, regressor, _PLAIN).transform(held_out)
+        parts.append(predicted.groupBy("channelId").agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction").isNull()).alias("missing"),
+            F.count_if(F.col("prediction").between(span["a"], span["b"])).alias("inside"),
+            F.sum("view_count").alias("expected")))
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def tree_importances(spark, folder):
     known, _ = _split(spark, folder)

@@ -192,6 +192,15 @@ def series_clusters(spark, folder):
     )
 
 
+@query("SELECT user_id, 1 AS labels, true AS known, true AS placed FROM events GROUP BY user_id")
+def cluster_labels(spark, folder):
+    """Every series has one label, of a known cluster, at a distance from its centroid."""
+    found = cluster_series(_user_series(spark, folder), "user_id", "z").labelled
+    return found.groupBy("user_id").agg(
+        F.count("cluster").alias("labels"), F.bool_and(F.col("cluster").between(0, 2)).alias("known"),
+        F.bool_and(F.col("distance") >= 0).alias("placed"))
+
+
 @query()
 def cluster_trend(spark, folder):
     """Mean unscaled series of every cluster."""
