@@ -38,6 +38,8 @@ from risingtide.llm.tables import Scratch
 CHUNK = 1 << 14
 # Matrices of one text that one task combines.
 FANIN = 256
+# Chunks handed to Python in one go.
+CHUNKS_TOGETHER = 256
 # Segments up to so many bytes are solved together, all of a length at once.
 SHORT = 48
 _NONE = -np.inf
@@ -209,10 +211,13 @@ class Model:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         """Ids and score of each text in a buffer; each text is solved by its segments."""
         starts, stops = self.segments(data, offsets)
-        hashes = np.concatenate([np.zeros(0, np.uint64), W.span_hashes(data, starts, stops)])
+        before = np.searchsorted(starts, offsets)
+        # Hashed in chunks, which bounds the memory of the 64-bit sums.
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(
+            W.span_hashes(data[offsets[a]: offsets[b]], starts[before[a]: before[b]] - offsets[a], stops[before[a]: before[b]] - offsets[a])
+            for a, b in W.chunks(offsets))])
         _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
         ids, scores = self.solve(data, starts[one], stops[one])
-        before = np.searchsorted(starts, offsets)
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         pool = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         begins = np.cumsum(sizes) - sizes
@@ -233,41 +238,48 @@ class Model:
         starts, _ = self.segments(view, np.array([0, len(view)]))
         return starts[1:]
 
-    def transfer(self, data: bytes, own: int) -> np.ndarray:
-        """The matrix of a chunk of ``own`` bytes; ``data`` goes on for a piece's length where the text does."""
+    def inner_parts(self, chunks: list[tuple[bytes, int]]) -> list[tuple[int, int, np.ndarray, float] | None]:
+        """For chunks of (data, own bytes): first and last natural cut, and ids and score between them.
+
+        None where a chunk has no cut. The inner parts of all chunks are solved together.
+        """
+        spans, inner = [], []
+        for data, own in chunks:
+            cuts = self.natural_cuts(data)
+            cuts = cuts[cuts <= own]
+            spans.append((int(cuts[0]), int(cuts[-1])) if len(cuts) else None)
+            inner.append(data[cuts[0]: cuts[-1]] if len(cuts) else b"")
+        offsets = np.append(0, np.cumsum([len(x) for x in inner]))
+        solved = self.encode(np.frombuffer(b"".join(inner), np.uint8), offsets)
+        return [span and (*span, ids, float(score)) for span, (ids, score) in zip(spans, solved)]
+
+    def transfer(self, data: bytes, own: int, part: tuple | None = None) -> np.ndarray:
+        """The matrix of a chunk of ``own`` bytes; ``data`` goes on for a piece's length where the text does.
+
+        ``part`` is the chunk's entry of ``inner_parts``.
+        """
         width = self.longest
-        cuts = self.natural_cuts(data)
-        cuts = cuts[cuts <= own]
-        first, last = (int(cuts[0]), int(cuts[-1])) if len(cuts) else (own, None)
+        part = part or self.inner_parts([(data, own)])[0]
+        first = part[0] if part else own
         entries = {}
         for a in range(min(width, first + 1, len(data) + 1)):
             entries.setdefault(a, np.full(width, _NONE))[a] = 0.0
         reached = self.forward(data, entries, first)
         found = np.full((width, width), _NONE)
-        if last is not None:
-            inner = data[first:last]
-            score = 0.0
-            if inner:
-                score = sum(s for _, s in self.encode(np.frombuffer(inner, np.uint8), np.array([0, len(inner)])))
-            reached = self.forward(data, {last: reached[first] + score}, own) if first in reached else {}
+        if part:
+            reached = self.forward(data, {part[1]: reached[first] + part[3]}, own) if first in reached else {}
         for b in range(width):
             if own + b in reached:
                 found[:, b] = reached[own + b]
         return found
 
-    def trace_chunk(self, data: bytes, own: int, entry: int, exit_: int) -> np.ndarray:
+    def trace_chunk(self, data: bytes, own: int, entry: int, exit_: int, part: tuple | None) -> np.ndarray:
         """The ids of a chunk, given the states at its begin and end."""
-        cuts = self.natural_cuts(data)
-        cuts = cuts[cuts <= own]
-        if not len(cuts):
+        if not part:
             return np.array(self.trace(data, entry, own, own + exit_)[0], dtype=np.int32)
-        first, last = int(cuts[0]), int(cuts[-1])
-        parts = [np.array(self.trace(data, entry, first, first)[0], dtype=np.int32)]
-        inner = data[first:last]
-        if inner:
-            parts += [ids for ids, _ in self.encode(np.frombuffer(inner, np.uint8), np.array([0, len(inner)]))]
-        parts.append(np.array(self.trace(data, last, own, own + exit_)[0], dtype=np.int32))
-        return np.concatenate(parts)
+        first, last, inner, _ = part
+        head, tail = self.trace(data, entry, first, first)[0], self.trace(data, last, own, own + exit_)[0]
+        return np.concatenate([np.array(head, dtype=np.int32), inner, np.array(tail, dtype=np.int32)])
 
 
 def model(path: str) -> Model:
@@ -335,7 +347,8 @@ def _transfers(path: str):
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            found = [own.transfer(d.as_py(), n.as_py()).tobytes() for n, d in zip(batch.column(2), batch.column(3))]
+            chunks = list(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()))
+            found = [own.transfer(d, n, p).tobytes() for (d, n), p in zip(chunks, own.inner_parts(chunks))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["row", "chunk", "matrix"])
 
     return transfer
@@ -393,9 +406,10 @@ def _encode_chunks(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            out = []
-            for n, data, entry, exit_ in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6))):
-                ids = own.trace_chunk(data, n, entry, exit_)
+            out, rows = [], list(zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6))))
+            parts = own.inner_parts([(data, n) for n, data, _, _ in rows])
+            for (n, data, entry, exit_), part in zip(rows, parts):
+                ids = own.trace_chunk(data, n, entry, exit_, part)
                 score = sum(own.unknown if i in own.first_bytes else own.score_of.get(i, 0.0) for i in ids.tolist())
                 out.append((ids.astype("<i4").tobytes(), len(ids), score, own.decode(ids) == data[entry: n + exit_]))
             yield pa.RecordBatch.from_arrays(
@@ -418,10 +432,11 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id
     chunks = scratch.keep(rows.where(giant).mapInArrow(
         _cut(path, chunk), "doc_id long, row long, chunk int, own int, data binary"), "chunks", batch_rows=16)
     matrices = scratch.keep(chunks.select("row", "chunk", "own", "data").mapInArrow(
-        _transfers(path), "row long, chunk int, matrix binary"), "matrices")
+        _transfers(path), "row long, chunk int, matrix binary"), "matrices", batch_rows=CHUNKS_TOGETHER)
     states = boundary_states(matrices, scratch)
     traced = scratch.keep(chunks.join(states, ["row", "chunk"]).select(
-        "doc_id", "row", "chunk", "own", "data", "entry", "exit").mapInArrow(_encode_chunks(path), _ENCODED), "traced")
+        "doc_id", "row", "chunk", "own", "data", "entry", "exit").mapInArrow(_encode_chunks(path), _ENCODED), "traced",
+        batch_rows=CHUNKS_TOGETHER)
     return whole.unionByName(traced)
 
 
