@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from llm_fixtures import document_list, no_documents, odd_documents  # noqa: F401  (fixtures)
 from risingtide.llm import near_dedup, words
 from risingtide.llm.components import components
 from risingtide.llm.exact_dedup import directory, exact_duplicates

@@ -6,6 +6,7 @@ import pyarrow as pa
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
+from llm_fixtures import document_list, no_documents, odd_documents  # noqa: F401  (fixtures)
 from risingtide.llm import sentence_pieces as pieces
 from risingtide.llm.licenses import TEMPLATES, scan_licenses
 from risingtide.llm.queries import tokenizer_path

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from llm_fixtures import document_list, no_documents, odd_documents  # noqa: F401  (fixtures)
 from risingtide.llm.bpe import encoder
 from risingtide.llm.packing import best_fit_decreasing, best_fit_pack, lower_bound, pack_documents, token_pieces
 from risingtide.llm.queries import tokenizer_path

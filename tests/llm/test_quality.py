@@ -7,6 +7,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 
+from llm_fixtures import document_list, no_documents, odd_documents  # noqa: F401  (fixtures)
 from risingtide.llm import quality_classifier as classifier
 from risingtide.llm.quality_rules import BASE, quality_rules
 

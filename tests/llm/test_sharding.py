@@ -4,6 +4,7 @@ from math import comb
 
 import numpy as np
 
+from llm_fixtures import document_list, no_documents, odd_documents  # noqa: F401  (fixtures)
 from risingtide.llm.sharding import communication_matrix, even, hypergeometric, shards, write_shards
 
 
