@@ -11,8 +11,9 @@ A wrapper says which of its slots belong to the main text: those inside the arti
 the whole body on pages without one), outside of menus, headers, footers, sidebars,
 notices, adverts, forms and comments. Outside of an article, a text that is the same on
 all of many pages belongs to the template.
-Each page is aligned with the wrapper of its host, and the texts in those slots are
-joined in page order.
+Each page is aligned with the wrapper of its host, and its texts in such places are
+joined in page order. A text that the alignment matches to no slot, or to that of
+another sibling, is kept if its own place is one of the main text.
 
 Null and empty pages have an empty text. Pages without a host share one wrapper. Repeated
 rows and repeated or null ids keep their own row. Extra columns are ignored.
@@ -184,15 +185,18 @@ def _holds_article(node: Node) -> bool:
 
 
 def main_slots(wrapper: Node) -> None:
-    """Mark the texts of a wrapper: ``main`` for those of the article, ``body`` for what a page without one keeps."""
+    """Mark the texts of a wrapper or a page.
+
+    ``main`` are those of the article, ``body`` what a page without one keeps, but for
+    the ``constant`` ones, which are the template's.
+    """
     template = wrapper.pages >= TEMPLATE_PAGES
 
     def walk(node: Node, in_body: bool, in_article: bool) -> None:
         for child in node.children:
             if child.key == "#text":
                 constant = child.text is not None and not child.repeated and child.pages >= TEMPLATE_PAGES
-                child.main = in_article
-                child.body = in_body and not (template and constant)
+                child.main, child.body, child.constant = in_article, in_body, template and constant
             elif _not_article(child) and not (child.tag == "header" and in_article):
                 if child.tag not in SKIPPED and not in_article and _holds_article(child):
                     walk(child, False, in_article)
@@ -250,10 +254,20 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch, fanin: int = FANIN) -> Da
         )
 
 
+def _kept(texts: list[tuple[str, Node | None]], flags: list[bool | int]) -> str:
+    """The texts that the flags keep: a number is the hash of a template's text."""
+
+    def keeps(text: str, flag: bool | int) -> bool:
+        return flag if isinstance(flag, bool) else hash_text(text) != flag
+
+    return " ".join(entities.unescape("".join(
+        t if n is None or keeps(t, flags[n.leaf()]) else " " for t, n in texts)).split())
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page_id, url, html, wrapper) to (page_id, url, text)."""
     wrappers: dict[str, Node] = {}
-    flags: dict[tuple[str, str], list[bool]] = {}
+    flags: dict[tuple[str, str], list[bool | int]] = {}
     for batch in batches:
         out = []
         for url, page, said in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
@@ -269,10 +283,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key not in flags:
                 if len(flags) > 10 * HOSTS_HELD:
                     flags.clear()
+                main_slots(shape)
                 flags[key] = align(wrappers[host], shape, leaves, _marks_article(shape))
-            main = flags[key]
-            out.append(" ".join(entities.unescape("".join(
-                t if n is None or main[n.leaf()] else " " for t, n in texts)).split()))
+            out.append(_kept(texts, flags[key]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 

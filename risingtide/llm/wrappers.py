@@ -14,11 +14,11 @@ class Node:
     counts the pages that have the node.
     """
 
-    __slots__ = ("key", "children", "text", "repeated", "optional", "pages", "main", "body", "into", "number")
+    __slots__ = ("key", "children", "text", "repeated", "optional", "pages", "main", "body", "constant", "into", "number")
 
     def __init__(self, key: str, children: list[Node] | None = None, text: int | None = None):
         self.key, self.children, self.text = key, children if children is not None else [], text
-        self.repeated = self.optional = self.main = self.body = False
+        self.repeated = self.optional = self.main = self.body = self.constant = False
         self.pages, self.into, self.number = 0, None, -1
 
     @property
@@ -158,17 +158,22 @@ def _folded(kids: list[Node], period: int) -> tuple[list[Node], bool]:
     return out, changed
 
 
-def align(wrapper: Node, page: Node, leaves: list[Node], has_article: bool) -> list[bool]:
-    """For each of the page's texts, whether the wrapper's slot for it belongs to the main text."""
-    flags = [False] * len(leaves)
+def align(wrapper: Node, page: Node, leaves: list[Node], has_article: bool) -> list[bool | int]:
+    """For each of the page's texts whether it is main text, or the hash of the template text that it must differ from.
+
+    The page's own elements decide, so a text is kept or left out whatever sibling of
+    its element the wrapper's slot was merged from. The wrapper only adds which texts
+    are the template's.
+    """
+    flags: list[bool | int] = [n.main if has_article else n.body for n in leaves]
 
     def walk(outer: Node, inner: Node) -> None:
         for a, b in _common([n.key for n in outer.children], [n.key for n in inner.children]):
             slot, own = outer.children[a], inner.children[b]
-            if own.key == "#text":
-                flags[own.number] = slot.main if has_article else slot.body
-            else:
+            if own.key != "#text":
                 walk(slot, own)
+            elif flags[own.number] and not has_article and slot.constant:
+                flags[own.number] = slot.text
 
     walk(wrapper, page)
     return flags

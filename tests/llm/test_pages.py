@@ -49,6 +49,18 @@ def test_main_texts(pages):
         assert r["n_chars"] == len(r["text"])
 
 
+def texts_of(spark, pages, columns="page_id long, url string, html string"):
+    rows = [(i, f"https://c.example/{i}", h) for i, h in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(rows, columns).coalesce(1)).collect()}
+
+
+def test_texts_matched_to_another_sibling_are_kept(spark):
+    inner = ["<h2>a</h2><p>b</p>", "<p>c <em>d</em> e</p>", "<p>f</p><h2>g</h2><p>h</p>"]
+    expected = {0: "a b", 1: "c d e", 2: "f g h"}
+    for tag in ("article", "div"):
+        assert texts_of(spark, [f"<body><nav>n</nav><{tag}>{x}</{tag}></body>" for x in inner]) == expected
+
+
 def test_wrappers_are_merged_in_rounds(pages, spark):
     scratch = Scratch(spark, "test")
     once = {r["host"]: r["wrapper"] for r in infer_wrappers(pages, scratch).collect()}
