@@ -10,7 +10,8 @@ with each other in groups of FANIN, in rounds, so no task sees all pages of a ho
 A wrapper says which of its slots belong to the main text: those inside the article (or
 the whole body on pages without one), outside of menus, headers, footers, sidebars,
 notices, adverts, forms and comments. Outside of an article, a text that is the same on
-all of many pages belongs to the template.
+all of many pages belongs to the template. Pages with the same texts count as one there,
+however many copies there are, and a page that would lose all its texts so keeps them.
 Each page is aligned with the wrapper of its host, and its texts in such places are
 joined in page order. A text that the alignment matches to no slot, or to that of
 another sibling, is kept if its own place is one of the main text.
@@ -38,8 +39,6 @@ FANIN = 64
 HOSTS_HELD = 2_000
 # Wrappers that may be broadcast; with more hosts pages and wrappers are joined by a shuffle.
 BROADCAST_HOSTS = 5_000
-# A text that never changes counts as part of the template on a host with so many pages.
-TEMPLATE_PAGES = 8
 
 # How HTML elements behave.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -164,6 +163,14 @@ def hash_text(text: str) -> int:
     return zlib.crc32(" ".join(text.split()).encode("utf-8", "replace"))
 
 
+def digest_of(texts: list[tuple[str, Node | None]]) -> int:
+    """A hash of all texts of a parsed page, in order."""
+    import hashlib
+
+    said = ",".join(str(n.text) for _, n in texts if n is not None)
+    return int.from_bytes(hashlib.blake2b(said.encode(), digest_size=7).digest(), "big")
+
+
 def host_of(url: str | None) -> str:
     found = re.match(HOST, url or "", re.ASCII)
     return found[1].lower() if found else ""
@@ -190,13 +197,12 @@ def main_slots(wrapper: Node) -> None:
     ``main`` are those of the article, ``body`` what a page without one keeps, but for
     the ``constant`` ones, which are the template's.
     """
-    template = wrapper.pages >= TEMPLATE_PAGES
 
     def walk(node: Node, in_body: bool, in_article: bool) -> None:
         for child in node.children:
             if child.key == "#text":
-                constant = child.text is not None and not child.repeated and child.pages >= TEMPLATE_PAGES
-                child.main, child.body, child.constant = in_article, in_body, template and constant
+                constant = child.text is not None and not child.repeated and child.many
+                child.main, child.body, child.constant = in_article, in_body, constant
             elif _not_article(child) and not (child.tag == "header" and in_article):
                 if child.tag not in SKIPPED and not in_article and _holds_article(child):
                     walk(child, False, in_article)
@@ -222,8 +228,10 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["host", "wrapper"])
 
     for _, _, host, page in _pages_of(batches, 1, 0):
-        tree = skeleton(parse(page)[0])
-        tree.each_page(1)
+        tree, texts = parse(page)
+        digest = digest_of(texts)
+        tree = skeleton(tree)
+        tree.each_page(frozenset([digest]))
         held[host] = merge(held[host], tree) if host in held else tree
         if len(held) > HOSTS_HELD:
             yield passed()
@@ -255,13 +263,14 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch, fanin: int = FANIN) -> Da
 
 
 def _kept(texts: list[tuple[str, Node | None]], flags: list[bool | int]) -> str:
-    """The texts that the flags keep: a number is the hash of a template's text."""
+    """The texts that the flags keep: a number is the hash of a template's text, left out where others remain."""
 
-    def keeps(text: str, flag: bool | int) -> bool:
-        return flag if isinstance(flag, bool) else hash_text(text) != flag
+    def joined(keeps) -> str:
+        return " ".join(entities.unescape("".join(
+            t if n is None or keeps(t, flags[n.leaf()]) else " " for t, n in texts)).split())
 
-    return " ".join(entities.unescape("".join(
-        t if n is None or keeps(t, flags[n.leaf()]) else " " for t, n in texts)).split())
+    own = joined(lambda text, flag: flag if isinstance(flag, bool) else hash_text(text) != flag)
+    return own or joined(lambda _, flag: flag is not False)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

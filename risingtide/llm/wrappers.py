@@ -4,6 +4,8 @@ from __future__ import annotations
 
 # Longest run of siblings that is looked for as a repeated group.
 PERIOD = 4
+# A text that never changes counts as part of the template on a host with so many different pages.
+TEMPLATE_PAGES = 8
 
 
 class Node:
@@ -11,7 +13,8 @@ class Node:
 
     ``key`` tells elements apart. ``text`` is the hash of a text, None for a slot.
     ``repeated`` and ``optional`` are the marks of the regular expression; ``pages``
-    counts the pages that have the node.
+    are the digests of the different pages that have the node, TEMPLATE_PAGES at most:
+    copies of a page are one, and which of more are held does not matter.
     """
 
     __slots__ = ("key", "children", "text", "repeated", "optional", "pages", "main", "body", "constant", "into", "number")
@@ -19,7 +22,7 @@ class Node:
     def __init__(self, key: str, children: list[Node] | None = None, text: int | None = None):
         self.key, self.children, self.text = key, children if children is not None else [], text
         self.repeated = self.optional = self.main = self.body = self.constant = False
-        self.pages, self.into, self.number = 0, None, -1
+        self.pages, self.into, self.number = frozenset(), None, -1
 
     @property
     def tag(self) -> str:
@@ -27,9 +30,13 @@ class Node:
 
     def plain(self) -> list:
         marks = int(self.repeated) + 2 * int(self.optional)
-        return [self.key, marks, self.pages, self.text, [c.plain() for c in self.children]]
+        return [self.key, marks, sorted(self.pages), self.text, [c.plain() for c in self.children]]
 
-    def each_page(self, pages: int) -> None:
+    @property
+    def many(self) -> bool:
+        return len(self.pages) >= TEMPLATE_PAGES
+
+    def each_page(self, pages: frozenset[int]) -> None:
         self.pages = pages
         for child in self.children:
             child.each_page(pages)
@@ -59,7 +66,7 @@ class Node:
 
 def read(plain: list) -> Node:
     node = Node(plain[0], [read(c) for c in plain[4]], plain[3])
-    node.repeated, node.optional, node.pages = bool(plain[1] & 1), bool(plain[1] & 2), plain[2]
+    node.repeated, node.optional, node.pages = bool(plain[1] & 1), bool(plain[1] & 2), frozenset(plain[2])
     return node
 
 
@@ -70,7 +77,8 @@ def _absorb(one: Node, other: Node) -> None:
         one.text = None
     one.repeated |= other.repeated
     one.optional |= other.optional
-    one.pages += other.pages
+    if not one.many and one.pages != other.pages:
+        one.pages = frozenset(sorted(one.pages | other.pages)[:TEMPLATE_PAGES])
     one.children = _aligned(one.children, other.children)
 
 

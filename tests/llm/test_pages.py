@@ -61,6 +61,20 @@ def test_texts_matched_to_another_sibling_are_kept(spark):
         assert texts_of(spark, [f"<body><nav>n</nav><{tag}>{x}</{tag}></body>" for x in inner]) == expected
 
 
+def test_copies_are_no_template(spark):
+    one = "<body><h1>Head</h1><div><p>alone</p></div><ul><li>x</ul></body>"
+    assert set(texts_of(spark, [one] * 3000).values()) == {"Head alone x"}
+    # A structure that only the copies have, on a host with other pages; a line of all pages is template.
+    other = "<body><h1>Head {i}</h1><p>text {i}</p><p>line <b>{i}</b></p><div>Made by us</div></body>"
+    copy = "<body><h1>Head</h1><table><tr><td>cell</table><div>Made by us</div></body>"
+    pages = [other.format(i=i) for i in range(12)] + [copy] * 40
+    expected = [f"Head {i} text {i} line {i}" for i in range(12)] + ["Head cell"] * 40
+    assert texts_of(spark, pages) == dict(enumerate(expected))
+    # Pages of nothing but template texts keep them.
+    bare = [f"<body><div>Made by us</div>{'<!-- -->' * i}<i>{'' if i else 'x'}</i></body>" for i in range(3)]
+    assert texts_of(spark, [*pages[:12], *bare])[13] == "Made by us"
+
+
 def test_wrappers_are_merged_in_rounds(pages, spark):
     scratch = Scratch(spark, "test")
     once = {r["host"]: r["wrapper"] for r in infer_wrappers(pages, scratch).collect()}
