@@ -55,7 +55,9 @@ SKIPPED = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 MAIN = {"article", "main"}
-# Words of class and id that mark what is not the article.
+TITLED = {"h1", "h2", "h3", "h4", "h5", "h6", "section"}
+# Words of class and id that mark what is not the article. Inside of an article, or as a part of
+# a compound, they only count where the wrapper shows links or texts that never change.
 MARKS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "sponsor", "sponsored",
     "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "submenu", "breadcrumb", "breadcrumbs",
@@ -65,6 +67,8 @@ MARKS = {
     "subscription", "signup", "login", "search", "searchbox", "toolbar", "pagination", "pager", "copyright", "skip",
     "skiplink", "tagcloud", "widget", "widgets", "paywall",
 }
+# Those of what readers write: it differs from page to page, as the article does.
+COMMENTS = {"comment", "comments", "commentlist", "respond", "disqus"}
 # Words that mark the article where no element of its own does.
 BODIES = {"article", "post", "entry", "story", "articlebody", "maincontent"}
 # An element of the first kind ends when one of the second begins.
@@ -85,7 +89,11 @@ _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """``-`` for what is not the article, ``+`` for what marks it, else nothing."""
+    """``-`` for what is not the article, ``+`` for what marks it, else nothing.
+
+    ``~`` is for a word of MARKS that is a class or id of its own, ``?`` for one that is
+    only a part: what they say depends on the texts inside, see ``main_slots``.
+    """
     if tag in ("html", "body"):
         return ""
     if tag in SKIPPED:
@@ -93,7 +101,7 @@ def _kind(tag: str, attributes: str) -> str:
     if attributes.strip():
         if _HIDDEN.search(re.sub(r"(class|id)\s*=\s*(\"[^\"]*\"|'[^']*')", "", attributes)):
             return "-"
-        words = set()
+        whole, parts = set(), set()
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = "".join(values)
             if name.lower() == "role":
@@ -102,10 +110,23 @@ def _kind(tag: str, attributes: str) -> str:
                 if value.lower() == "main":
                     return "+"
             elif name.lower() in ("class", "id"):
-                words |= {w.lower() for w in _MARK.findall(value)} | {w.lower() for w in value.split()}
-        if tag != "main" and words & MARKS:
+                own = {re.sub(r"[-_]", "", w).lower() for w in value.split()}
+                # The id of a heading or section names what it is about.
+                if name.lower() == "id" and tag in TITLED:
+                    own &= COMMENTS if tag == "section" else set()
+                    value = ""
+                whole |= own
+                parts |= {w.lower() for w in _MARK.findall(value)}
+        if tag == "main" or whole & BODIES:
+            return "+"
+        if whole & COMMENTS:
             return "-"
-        if words & BODIES:
+        if tag not in MAIN:
+            if whole & MARKS:
+                return "~"
+            if parts & MARKS:
+                return "?"
+        if parts & BODIES:
             return "+"
     return "+" if tag in MAIN else ""
 
@@ -177,39 +198,55 @@ def host_of(url: str | None) -> str:
 
 
 def _not_article(node: Node) -> bool:
-    return node.key.endswith("-") or node.tag == "header"
+    return node.key[-1] in "-~" or node.tag == "header"
 
 
 def _marks_article(node: Node) -> bool:
     return any(
-        c.key.endswith("+") or _marks_article(c) for c in node.children if not c.key.endswith("-") or _holds_article(c)
+        c.key.endswith("+") or _marks_article(c) for c in node.children
+        if not (c.key[-1] in "-~" or c.key.endswith("?") and _surplus(c, False)) or _holds_article(c)
     )
 
 
+def _surplus(node: Node, in_link: bool, many: bool = True) -> bool:
+    """Whether all texts of a marked part are links or never change, over ``many`` different pages if asked."""
+    in_link = in_link or node.tag == "a"
+    if node.key == "#text":
+        return in_link or node.text is not None and not node.repeated and (node.many or not many)
+    return all(_surplus(c, in_link, many) for c in node.children)
+
+
 def _holds_article(node: Node) -> bool:
     """An article inside something marked by its class: a frame of the page, not a part to leave out."""
     return any(c.tag in MAIN and c.key.endswith("+") or _holds_article(c) for c in node.children)
 
 
-def main_slots(wrapper: Node) -> None:
-    """Mark the texts of a wrapper or a page.
+def main_slots(tree: Node, page: bool = False) -> None:
+    """Mark the texts of a wrapper, or those of a page by its own elements alone.
 
     ``main`` are those of the article, ``body`` what a page without one keeps, but for
-    the ``constant`` ones, which are the template's.
+    the ``constant`` ones, which are the template's. ``surplus`` are the links and
+    constant texts of a part with a mark that is no proof: one inside of an article, or a
+    part of a compound. All texts of such a part must be of that kind.
     """
 
-    def walk(node: Node, in_body: bool, in_article: bool) -> None:
+    def walk(node: Node, in_body: bool, in_article: bool, surplus: bool, in_link: bool) -> None:
         for child in node.children:
+            link = in_link or child.tag == "a"
             if child.key == "#text":
-                constant = child.text is not None and not child.repeated and child.many
-                child.main, child.body, child.constant = in_article, in_body, constant
-            elif _not_article(child) and not (child.tag == "header" and in_article):
+                child.main, child.body, child.surplus = in_article, in_body, surplus
+                child.constant = child.text is not None and not child.repeated and child.many
+                if surplus and link:
+                    child.text = None
+            elif _not_article(child) and not (in_article and (child.tag == "header" or child.key.endswith("~"))):
                 if child.tag not in SKIPPED and not in_article and _holds_article(child):
-                    walk(child, False, in_article)
+                    walk(child, False, in_article, surplus, link)
             else:
-                walk(child, in_body, in_article or child.key.endswith("+"))
+                doubted = not page and child.key[-1] in "~?" and not _holds_article(child)
+                walk(child, in_body, in_article or child.key.endswith("+"),
+                     surplus or doubted and _surplus(child, in_link, child.key.endswith("?")), link)
 
-    walk(wrapper, True, False)
+    walk(tree, True, False, False, False)
 
 
 def _pages_of(batches: Iterator[pa.RecordBatch], html_at: int, url_at: int):
@@ -292,7 +329,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key not in flags:
                 if len(flags) > 10 * HOSTS_HELD:
                     flags.clear()
-                main_slots(shape)
+                main_slots(shape, page=True)
                 flags[key] = align(wrappers[host], shape, leaves, _marks_article(shape))
             out.append(_kept(texts, flags[key]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])

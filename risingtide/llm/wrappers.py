@@ -17,16 +17,16 @@ class Node:
     copies of a page are one, and which of more are held does not matter.
     """
 
-    __slots__ = ("key", "children", "text", "repeated", "optional", "pages", "main", "body", "constant", "into", "number")
+    __slots__ = ("key", "children", "text", "repeated", "optional", "pages", "main", "body", "constant", "surplus", "into", "number")
 
     def __init__(self, key: str, children: list[Node] | None = None, text: int | None = None):
         self.key, self.children, self.text = key, children if children is not None else [], text
-        self.repeated = self.optional = self.main = self.body = self.constant = False
+        self.repeated = self.optional = self.main = self.body = self.constant = self.surplus = False
         self.pages, self.into, self.number = frozenset(), None, -1
 
     @property
     def tag(self) -> str:
-        return self.key.rstrip("+-")
+        return self.key.rstrip("+-~?")
 
     def plain(self) -> list:
         marks = int(self.repeated) + 2 * int(self.optional)
@@ -180,8 +180,11 @@ def align(wrapper: Node, page: Node, leaves: list[Node], has_article: bool) -> l
             slot, own = outer.children[a], inner.children[b]
             if own.key != "#text":
                 walk(slot, own)
-            elif flags[own.number] and not has_article and slot.constant:
-                flags[own.number] = slot.text
+            elif flags[own.number]:
+                if slot.surplus and slot.text is None:
+                    flags[own.number] = False
+                elif slot.surplus or slot.constant and not has_article:
+                    flags[own.number] = slot.text
 
     walk(wrapper, page)
     return flags

@@ -75,6 +75,25 @@ def test_copies_are_no_template(spark):
     assert texts_of(spark, [*pages[:12], *bare])[13] == "Made by us"
 
 
+def test_marks_never_empty_an_article(spark):
+    heads = ['article class="post has-sidebar"', 'article class="entry comments-open"', 'main class="search"', 'div class="post related"',
+             'div class="page has-sidebar"']
+    for head in heads:
+        tag = head.split()[0]
+        page = (f'<body><{head}><h2 id="related-work">Work</h2><p>p {{i}}</p><section id="discussion">said {{i}}</section>'
+                f'<div class="search-results">found {{i}}</div><p class="notice">note {{i}}</p></{tag}></body>')
+        expected = {i: f"Work p {i} said {i} found {i} note {i}" for i in range(3)}
+        if "page" in head:  # no article here, where a class of its own is proof
+            expected = {i: f"Work p {i} said {i} found {i}" for i in range(3)}
+        assert texts_of(spark, [page.format(i=i) for i in range(3)]) == expected, head
+
+
+def test_marks_with_support_are_left_out(spark):
+    page = ('<body><article><p>p {i}</p><div class="related"><h3>More</h3><a href=1>one {i}</a></div>'
+            '<div class="site-notice">All rights</div><div class="comments">reader {i}</div></article></body>')
+    assert texts_of(spark, [page.format(i=i) for i in range(10)]) == {i: f"p {i}" for i in range(10)}
+
+
 def test_wrappers_are_merged_in_rounds(pages, spark):
     scratch = Scratch(spark, "test")
     once = {r["host"]: r["wrapper"] for r in infer_wrappers(pages, scratch).collect()}
