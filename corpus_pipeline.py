@@ -28,7 +28,7 @@ def classified(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def ruled(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    verdicts = quality_rules(docs, trusted_ids(spark, folder))
+    verdicts = quality_rules(docs, trusted_ids(spark, folder), texts_once=True)
     return _without(spark, docs, verdicts.where("not kept"), "ruled-out")
 
 

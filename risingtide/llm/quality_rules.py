@@ -1,8 +1,10 @@
 """Quality rules: fixed rules on words and lines, then a log-likelihood ratio of n-grams.
 
 The ratio compares two multinomials over hashed word unigrams and bigrams: that of a
-trusted set of documents and that of all documents, both counted over every text. The
-raw count is scaled to the number of trusted n-grams, and both get the same prior, so
+trusted set of documents and that of all documents, both counted over every text, or
+over every different text once (``texts_once``): there copies of a text weigh nothing,
+labelled or not, a text is trusted if any row of it is, and k copies of a table give its
+own verdicts. The raw count is scaled to the number of trusted n-grams, and both get the same prior, so
 buckets that few trusted texts could have reached say little. A document's score is the mean log ratio of its n-grams, so it does
 not grow with length; documents below a fixed threshold are rejected. Log ratios are
 rounded to integers before they are added, so the score does not depend on the order
@@ -34,6 +36,8 @@ MAX_REPEAT_PERCENT = 20
 # Words of a window that counts as repeated.
 WINDOW = 5
 _UNIT = 1 << 20
+# Texts with copies whose digests may be broadcast, about 50 bytes each; more are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -95,16 +99,39 @@ def grams(hashes: str, buckets: int) -> Column:
                         (a, b) -> cast(pmod(xxhash64(a, b), {buckets}) as int)))""")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """``bucket`` and its ``ratio``: log of trusted to expected count, in units of 2 ** -20."""
+def copies_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``digest``, ``copies`` and ``any_trusted`` of every text found in two rows or more, stored."""
+    return scratch.keep(docs.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("copies"), F.max("trusted").alias("any_trusted")).where("copies > 1"), "copies")
+
+
+def log_ratios(
+    docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, scratch: Scratch | None = None,
+) -> DataFrame:
+    """``bucket`` and its ``ratio``: log of trusted to expected count, in units of 2 ** -20.
+
+    With ``scratch`` every different text counts once.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = docs.select("doc_id", F.transform(words_of(text), lambda w: F.xxhash64(w)).alias("hashes"))
-    each = flagged(hashed, "doc_id", trusted, "trusted").select(
-        "trusted", F.explode(grams("hashes", buckets)).alias("bucket")
-    )
-    counts = each.groupBy("bucket").agg(
+    docs = flagged(docs.select("doc_id", text.alias("text")), "doc_id", trusted, "trusted")
+    copies = F.lit(1).cast("long")
+    if scratch is not None:
+        docs = docs.withColumn("digest", F.unhex(F.sha2("text", 256)))
+        found = copies_of(docs, scratch)
+        few = found.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+        docs = docs.join(F.broadcast(found) if few else found, "digest", "left").withColumn(
+            "trusted", F.coalesce("any_trusted", "trusted"))
+        copies = F.coalesce("copies", copies)
+    each = docs.select(
+        "trusted", copies.alias("copies"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")
+    ).select("trusted", "copies", F.explode(grams("hashes", buckets)).alias("bucket"))
+    # All rows of a text have its number of copies, so each sum is a multiple of that number.
+    sums = each.groupBy("bucket", "copies").agg(
         F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("trusted"), 1)).alias("target")
     )
+    counts = sums.groupBy("bucket").agg(
+        F.sum(F.expr("raw div copies")).alias("raw"), F.sum(F.expr("target div copies")).alias("target")
+    )
     totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     expected = F.col("raw") * F.col("all_target") / F.col("all_raw")
     ratio = F.round(F.log((F.col("target") + prior) / (expected + prior)) * _UNIT).cast("long")
@@ -113,16 +140,17 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
 
 def quality_rules(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    buckets: int = BUCKETS, threshold: float = THRESHOLD,
+    buckets: int = BUCKETS, threshold: float = THRESHOLD, texts_once: bool = False,
 ) -> DataFrame:
     """Per row of ``docs``: id, base counts, ``base_failed``, ``score`` and ``kept``.
 
-    ``trusted`` has one column of ids of trusted documents.
+    ``trusted`` has one column of ids of trusted documents. ``texts_once`` counts every
+    different text once.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     trusted = scratch.keep(trusted.dropna().distinct(), "trusted")
-    ratios = scratch.keep(log_ratios(docs, trusted, buckets), "ratios")
+    ratios = scratch.keep(log_ratios(docs, trusted, buckets, scratch=scratch if texts_once else None), "ratios")
     each = measured(docs).select("doc_id", "row", *BASE, F.explode_outer(grams("hashes", buckets)).alias("bucket"))
     scored = each.join(F.broadcast(ratios), "bucket", "left").groupBy("row", "doc_id", *BASE).agg(
         (F.coalesce(F.sum("ratio") / F.count("bucket"), F.lit(0.0)) / _UNIT).alias("score")

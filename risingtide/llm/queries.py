@@ -49,7 +49,7 @@ def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules(documents(spark, folder), trusted_ids(spark, folder))
+    return quality_rules(documents(spark, folder), trusted_ids(spark, folder), texts_once=True)
 
 
 @query()

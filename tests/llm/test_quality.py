@@ -10,6 +10,7 @@ import pyarrow as pa
 from llm_fixtures import document_list, no_documents, odd_documents  # noqa: F401  (fixtures)
 from risingtide.llm import quality_classifier as classifier
 from risingtide.llm.quality_rules import BASE, quality_rules
+from risingtide.llm.queries import QUERIES
 
 
 def brute_base(text):
@@ -64,6 +65,28 @@ def test_scores_match_a_plain_count(spark, odd_documents, document_list):
         assert any(r[0] == f["doc_id"] and abs(f["score"] - expected) < 1e-5 for f in found)
 
 
+def test_copies_do_not_change_verdicts(spark, tmp_path):
+    rng = random.Random(4)
+    vocabulary = [a + b for a in ("ri", "sto", "lig", "hou", "gre", "wal") for b in ("ver", "ne", "ht", "se", "en", "k", "der")]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(40)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    labels = spark.createDataFrame([(i, 1) for i in range(20, 60)], "doc_id long, quality int")
+    copied = [(1000 + k, texts[3]) for k in range(30)]  # a third of all rows, none of them labelled
+
+    def scores(rows, name):
+        folder = tmp_path / name
+        folder.mkdir()
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(folder / "documents.parquet"))
+        labels.write.parquet(str(folder / "labels.parquet"))
+        return {r["doc_id"]: (r["score"], r["kept"]) for r in QUERIES["op2_quality_rules"](spark, str(folder)).collect()}
+
+    alone, among = scores(rows, "alone"), scores(rows + copied, "among")
+    assert alone[3][1] and all(among[k] == alone[3] for k, _ in copied)
+    assert {i: among[i] for i, _ in rows} == alone
+    thrice = scores([(i + 10_000 * k if k else i, t) for i, t in rows for k in range(3)], "thrice")
+    assert all(thrice[i + 10_000 * k if k else i] == alone[i] for i, _ in rows for k in range(3))
+
+
 def test_rules_of_nothing(no_documents):
     assert quality_rules(no_documents, no_documents.select("doc_id")).collect() == []
 
