@@ -1,10 +1,15 @@
 """SentencePiece encoding by a max-plus scan, and decoding.
 
-The ids of a text are its best-scoring segmentation into pieces of a model file, the
-scores of the pieces added up (for a unigram model: what the sentencepiece library
-gives). On a tie the longer last piece wins. A space is the piece sign, one is put
-before the text, and characters that no piece covers become their byte pieces, so any
-text decodes to itself.
+For a model of the BPE kind the ids are those of the sentencepiece library: of all
+neighbours that make a piece the best-ranked are merged first, the leftmost on a tie.
+Merges never cross a natural cut (see below), so texts are solved by their segments,
+and giant ones in chunks that end at such cuts; a segment without a cut stays whole.
+The library reads a literal U+2581 as a space; here it becomes byte pieces.
+
+For other models they are the best-scoring segmentation into pieces, the scores added
+up (for a unigram model: what the library gives). On a tie the longer last piece wins.
+In both a space is the piece sign, one is put before the text, and characters that no
+piece covers become their byte pieces, so any text decodes to itself.
 
 The best score from one place of a text to another is a max-plus product of steps. A
 giant text is cut into chunks of ``chunk`` bytes. A state at a boundary is the number of
@@ -25,6 +30,8 @@ ids keep their own row. Extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +49,12 @@ FANIN = 256
 CHUNKS_TOGETHER = 256
 # Segments up to so many bytes are solved together, all of a length at once.
 SHORT = 48
+# Short segments whose ids a process remembers, about 300 bytes each.
+REMEMBERED = 200_000
 _NONE = -np.inf
 
 _models: dict[str, "Model"] = {}
+_encoders: dict[str, "Model"] = {}
 
 
 class Model:
@@ -282,6 +292,97 @@ class Model:
         return np.concatenate([np.array(head, dtype=np.int32), inner, np.array(tail, dtype=np.int32)])
 
 
+class MergeModel(Model):
+    """A model of the BPE kind: segments are solved by merging neighbours in the order of their ranks."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.ranks = {p.decode("utf-8"): -score for p, (_, score) in self.pieces.items()}
+        self.numbers = {p.decode("utf-8"): i for p, (i, _) in self.pieces.items()}
+        self.remembered: dict[bytes, tuple[np.ndarray, float]] = {}
+
+    def solve(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        raw, ids, scores = data.tobytes(), [], np.zeros(len(starts))
+        for i, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
+            segment = raw[a:b]
+            found = self.remembered.get(segment)
+            if found is None:
+                found = self.merged(segment)
+                if b - a <= SHORT:
+                    if len(self.remembered) >= REMEMBERED:
+                        self.remembered.clear()
+                    self.remembered[segment] = found
+            ids.append(found[0])
+            scores[i] = found[1]
+        return ids, scores
+
+    def merged(self, segment: bytes) -> tuple[np.ndarray, float]:
+        """The ids and the score of one segment."""
+        parts = list(segment.decode("utf-8", "surrogateescape"))
+        ids, score = [], 0.0
+        for part in self._merge_few(parts) if len(parts) <= SHORT else self._merge_many(parts):
+            number = self.numbers.get(part)
+            if number is None:
+                ids += self.byte_ids[list(part.encode("utf-8", "surrogateescape"))].tolist()
+                score += self.unknown
+            else:
+                ids.append(number)
+                score -= self.ranks[part]
+        return np.array(ids, dtype=np.int32), score
+
+    def _merge_few(self, parts: list[str]) -> list[str]:
+        rank, none = self.ranks.get, np.inf
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
+            parts[at: at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
+        return parts
+
+    def _merge_many(self, parts: list[str]) -> list[str]:
+        """The same by a heap of pairs; a pair one of whose sides has changed is passed over."""
+        n = len(parts)
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def offer(left: int, right: int) -> None:
+            if left >= 0 and right < n:
+                both = parts[left] + parts[right]
+                if both in self.ranks:
+                    heapq.heappush(heap, (self.ranks[both], left, right, len(both)))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, left, right, size = heapq.heappop(heap)
+            if not parts[left] or not parts[right] or after[left] != right or len(parts[left]) + len(parts[right]) != size:
+                continue
+            parts[left] += parts[right]
+            parts[right] = ""
+            after[left] = after[right]
+            if after[right] < n:
+                before[after[right]] = left
+            offer(before[left], left)
+            offer(left, after[left])
+        return [p for p in parts if p]
+
+
+def encoder(path: str) -> Model:
+    """The model that gives the library's ids for the kind of the file."""
+    if path not in _encoders:
+        from sentencepiece import sentencepiece_model_pb2
+
+        file = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as data:
+            file.ParseFromString(data.read())
+        merges = file.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
+        _encoders[path] = MergeModel(path) if merges else model(path)
+    return _encoders[path]
+
+
 def model(path: str) -> Model:
     if path not in _models:
         _models[path] = Model(path)
@@ -304,7 +405,7 @@ _ENCODED_NAMES = [part.split(" ")[0] for part in _ENCODED.split(", ")]
 
 def _encode_whole(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model(path)
+        own = encoder(path)
         for batch in batches:
             data, offsets = prefixed(batch.column(2))
             for first, last in W.chunks(offsets, 4 * W.CHUNK_BYTES):
@@ -343,6 +444,43 @@ def _cut(path: str, chunk: int):
     return cut
 
 
+def _cut_naturally(path: str, chunk: int):
+    """Chunks of at least ``chunk`` bytes that end where no merge crosses."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            data, offsets = prefixed(batch.column(2))
+            out = []
+            for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+                text = data[a:b].tobytes()
+                cuts = own.natural_cuts(text)
+                at = np.searchsorted(cuts, np.arange(chunk, len(text), chunk))
+                edges = [0, *np.unique(cuts[at[at < len(cuts)]]).tolist(), len(text)]
+                for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+                    out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), k, text[lo:hi]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                names=["doc_id", "row", "chunk", "data"])
+
+    return cut
+
+
+def _encode_cut(path: str):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            raw = batch.column(3).to_pylist()
+            offsets = np.append(0, np.cumsum([len(x) for x in raw], dtype=np.int64))
+            out = [(ids.astype("<i4").tobytes(), len(ids), float(score), own.decode(ids) == part) for part, (ids, score) in zip(
+                raw, own.encode(np.frombuffer(b"".join(raw), np.uint8), offsets))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *(pa.array([r[k] for r in out], t) for k, t in enumerate(
+                    (pa.binary(), pa.int64(), pa.float64(), pa.bool_())))], names=_ENCODED_NAMES)
+
+    return encode
+
+
 def _transfers(path: str):
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
@@ -419,25 +557,34 @@ def _encode_chunks(path: str):
     return encode
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``row``, ``chunk``, ``ids`` (little-endian 32-bit), ``n_ids``, ``score``, ``round_trip``.
-
-    One row per document, or per chunk of a giant one; ``row`` tells rows of ``docs`` apart.
-    """
+def _encoded(docs: DataFrame, path: str, chunk: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The columns of ``encode``, for texts encoded whole and for those in chunks."""
     scratch = Scratch(docs.sparkSession, "sentence-pieces")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     giant = F.octet_length("text") >= chunk
     whole = scratch.keep(rows.where(~giant).mapInArrow(_encode_whole(path), _ENCODED), "whole")
+    if isinstance(encoder(path), MergeModel):
+        chunks = scratch.keep(rows.where(giant).mapInArrow(
+            _cut_naturally(path, chunk), "doc_id long, row long, chunk int, data binary"), "chunks", batch_rows=16)
+        return whole, scratch.keep(chunks.mapInArrow(_encode_cut(path), _ENCODED), "merged", batch_rows=CHUNKS_TOGETHER)
     chunks = scratch.keep(rows.where(giant).mapInArrow(
         _cut(path, chunk), "doc_id long, row long, chunk int, own int, data binary"), "chunks", batch_rows=16)
     matrices = scratch.keep(chunks.select("row", "chunk", "own", "data").mapInArrow(
         _transfers(path), "row long, chunk int, matrix binary"), "matrices", batch_rows=CHUNKS_TOGETHER)
     states = boundary_states(matrices, scratch)
-    traced = scratch.keep(chunks.join(states, ["row", "chunk"]).select(
+    return whole, scratch.keep(chunks.join(states, ["row", "chunk"]).select(
         "doc_id", "row", "chunk", "own", "data", "entry", "exit").mapInArrow(_encode_chunks(path), _ENCODED), "traced",
         batch_rows=CHUNKS_TOGETHER)
-    return whole.unionByName(traced)
+
+
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``row``, ``chunk``, ``ids`` (little-endian 32-bit), ``n_ids``, ``score``, ``round_trip``.
+
+    One row per document, or per chunk of a giant one; ``row`` tells rows of ``docs`` apart.
+    """
+    whole, parts = _encoded(docs, path, chunk, id_col, text_col)
+    return whole.unionByName(parts)
 
 
 def _decoder(path: str):
@@ -456,11 +603,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         _decoder(path), "doc_id long, row long, text string")
 
 
+def _digest(groups: pd.DataFrame) -> pd.DataFrame:
+    groups = groups.sort_values("chunk")
+    return pd.DataFrame({
+        "doc_id": groups["doc_id"].iloc[:1], "n_ids": [groups["n_ids"].sum()], "ids_crc32": [zlib.crc32(b"".join(groups["ids"]))],
+        "n_chunks": [len(groups)], "score": [groups["score"].sum()], "round_trip": [bool(groups["round_trip"].all())]})
+
+
 def digests(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id``, ``n_ids``, ``n_chunks``, ``score``, ``round_trip``: one row per row of ``docs``.
+    """``doc_id``, ``n_ids``, ``ids_crc32``, ``n_chunks``, ``score``, ``round_trip``: one row per row of ``docs``.
 
-    ``round_trip`` says that the ids of every chunk decode to the chunk's own bytes.
+    ``ids_crc32`` is that of a document's ids, 32-bit and little-endian. Every chunk of
+    every document is decoded; ``round_trip`` says that this gives the document's bytes.
     """
-    return encode(docs, path, chunk).groupBy("row", "doc_id").agg(
-        F.sum("n_ids").alias("n_ids"), F.count(F.lit(1)).alias("n_chunks"), F.sum("score").alias("score"),
-        F.bool_and("round_trip").alias("round_trip")).drop("row")
+    whole, parts = _encoded(docs, path, chunk)
+    return whole.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.lit(1).cast("long").alias("n_chunks"), "score", "round_trip").unionByName(
+        parts.groupBy("row").applyInPandas(
+            _digest, "doc_id long, n_ids long, ids_crc32 long, n_chunks long, score double, round_trip boolean"))

@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,18 @@ def test_giant_texts_are_encoded_in_chunks(spark, odd_documents, document_list,
     assert sorted((r["doc_id"] or -1, r["text"]) for r in back) == sorted((r[0] or -1, r[1] or "") for r in document_list)
 
 
+def test_ids_are_those_of_the_library(spark, odd_documents, document_list):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [t for t in TEXTS if "▁" not in t] + [r[1] or "" for r in document_list] + ["ab" * 3000 + "日本語" * 900, "  " * 300 + "a\n  b"]
+    own = pieces.encoder(PATH)
+    data, offsets = pieces.prefixed(pa.array(texts))
+    for text, (ids, _) in zip(texts, own.encode(data, offsets)):
+        assert ids.tolist() == library.encode(text)
+    expected = sorted((r[0] or -1, zlib.crc32(np.array(library.encode(r[1] or ""), "<i4").tobytes())) for r in document_list)
+    for chunk in (pieces.CHUNK, 200):
+        assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in pieces.digests(odd_documents, PATH, chunk).collect()) == expected
+
+
 def test_pieces_of_nothing(no_documents):
     assert pieces.digests(no_documents, PATH).collect() == []
 
