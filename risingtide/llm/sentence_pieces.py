@@ -557,17 +557,22 @@ def _encode_chunks(path: str):
     return encode
 
 
-def _encoded(docs: DataFrame, path: str, chunk: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The columns of ``encode``, for texts encoded whole and for those in chunks."""
+def _encoded(docs: DataFrame, path: str, chunk: int, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The columns of ``encode``, for texts encoded whole (with ``digest``, those of ``digests``) and for those in chunks."""
     scratch = Scratch(docs.sparkSession, "sentence-pieces")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     giant = F.octet_length("text") >= chunk
-    whole = scratch.keep(rows.where(~giant).mapInArrow(_encode_whole(path), _ENCODED), "whole")
+    whole = rows.where(~giant).mapInArrow(_encode_whole(path), _ENCODED)
+    if digest:
+        whole = whole.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.lit(1).cast("long").alias("n_chunks"), "score", "round_trip")
+    whole = scratch.keep(whole, "whole")
     if isinstance(encoder(path), MergeModel):
         chunks = scratch.keep(rows.where(giant).mapInArrow(
             _cut_naturally(path, chunk), "doc_id long, row long, chunk int, data binary"), "chunks", batch_rows=16)
-        return whole, scratch.keep(chunks.mapInArrow(_encode_cut(path), _ENCODED), "merged", batch_rows=CHUNKS_TOGETHER)
+        merged = scratch.keep(chunks.mapInArrow(_encode_cut(path), _ENCODED), "merged", batch_rows=CHUNKS_TOGETHER)
+        scratch.drop("chunks")
+        return whole, merged
     chunks = scratch.keep(rows.where(giant).mapInArrow(
         _cut(path, chunk), "doc_id long, row long, chunk int, own int, data binary"), "chunks", batch_rows=16)
     matrices = scratch.keep(chunks.select("row", "chunk", "own", "data").mapInArrow(
@@ -616,7 +621,6 @@ def digests(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     ``ids_crc32`` is that of a document's ids, 32-bit and little-endian. Every chunk of
     every document is decoded; ``round_trip`` says that this gives the document's bytes.
     """
-    whole, parts = _encoded(docs, path, chunk)
-    return whole.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.lit(1).cast("long").alias("n_chunks"), "score", "round_trip").unionByName(
-        parts.groupBy("row").applyInPandas(
-            _digest, "doc_id long, n_ids long, ids_crc32 long, n_chunks long, score double, round_trip boolean"))
+    whole, parts = _encoded(docs, path, chunk, digest=True)
+    return whole.unionByName(parts.groupBy("row").applyInPandas(
+        _digest, "doc_id long, n_ids long, ids_crc32 long, n_chunks long, score double, round_trip boolean"))
