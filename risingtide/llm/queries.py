@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from risingtide.llm.centroids import CLUSTERS, ROUNDS, cluster_vectors
 from risingtide.llm.exact_dedup import exact_duplicates
 from risingtide.llm.html import main_texts
 from risingtide.llm.licenses import scan_licenses
@@ -113,3 +114,43 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(documents(spark, folder))
+
+
+def centroid_sql(clusters: int = CLUSTERS, rounds: int = ROUNDS) -> str:
+    """Rounds of assignment to the nearest centroid and exact floored means, over all pairs."""
+    steps = [f"""
+    WITH points AS MATERIALIZED (
+      SELECT row_number() OVER () AS point, vec_id,
+             list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    centroids0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v AS c
+      FROM points WHERE vec_id IS NOT NULL QUALIFY cluster < {clusters})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+    nearest{n} AS MATERIALIZED (
+      SELECT point, vec_id, v, cluster, CAST(distance AS BIGINT) AS distance FROM (
+        SELECT point, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+        FROM points CROSS JOIN centroids{n})
+      QUALIFY row_number() OVER (PARTITION BY point ORDER BY distance, cluster) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+    means{n} AS (
+      SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY place) AS mean FROM (
+        SELECT cluster, place, CAST(sum(v[place]) AS BIGINT) AS total, count(*) AS n
+        FROM nearest{n}, range(1, 65) AS t(place) GROUP BY cluster, place)
+      GROUP BY cluster),
+    centroids{n + 1} AS MATERIALIZED (
+      SELECT cluster, coalesce(mean, c) AS c FROM centroids{n} LEFT JOIN means{n} USING (cluster))""")
+    return ",".join(steps) + f"""
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+           CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+           CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM nearest{rounds} JOIN centroids{rounds} USING (cluster)"""
+
+
+@query(centroid_sql())
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(spark.read.parquet(f"{folder}/embeddings.parquet")).drop("compared")
