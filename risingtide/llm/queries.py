@@ -121,9 +121,9 @@ def centroid_sql(clusters: int = CLUSTERS, rounds: int = ROUNDS) -> str:
     steps = [f"""
     WITH points AS MATERIALIZED (
       SELECT row_number() OVER () AS point, vec_id,
-             list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+             list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
       FROM embeddings
-      WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     centroids0 AS MATERIALIZED (
       SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v AS c
       FROM points WHERE vec_id IS NOT NULL QUALIFY cluster < {clusters})"""]
@@ -131,7 +131,7 @@ def centroid_sql(clusters: int = CLUSTERS, rounds: int = ROUNDS) -> str:
         steps.append(f"""
     nearest{n} AS MATERIALIZED (
       SELECT point, vec_id, v, cluster, CAST(distance AS BIGINT) AS distance FROM (
-        SELECT point, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+        SELECT point, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
         FROM points CROSS JOIN centroids{n})
       QUALIFY row_number() OVER (PARTITION BY point ORDER BY distance, cluster) = 1)""")
         if n < rounds:
