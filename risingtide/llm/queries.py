@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from risingtide.llm import alignment
+from risingtide.llm import alignment, toxicity
 from risingtide.llm.centroids import CLUSTERS, ROUNDS, cluster_vectors
 from risingtide.llm.exact_dedup import exact_duplicates
 from risingtide.llm.html import main_texts
@@ -157,6 +157,11 @@ def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return cluster_vectors(spark.read.parquet(f"{folder}/embeddings.parquet")).drop("compared")
 
 
+@query()
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 @query()
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.digests(documents(spark, folder), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
