@@ -40,7 +40,7 @@ from risingtide.llm.sentence_pieces import prefixed
 from risingtide.llm.tables import Scratch
 
 # Text of one block.
-BLOCK_BYTES = W.CHUNK_BYTES
+BLOCK_BYTES = 1 << 20
 # Tokens of A in one lane, about, and places looked at to divide a long document.
 LANE = 512
 PROBES = 64
@@ -247,7 +247,7 @@ def _block_rows(path_a: str, path_b: str, size: int, lane: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([next(numbers)], pa.int64()), _one(batch.column(0).slice(first, last - first)),
                     *(_one(pa.array(x)) for x in numbers_of), _one(pa.array(groups, pa.string())),
-                    pa.array([codes.astype("<i4").tobytes()], pa.binary()), _one(named)], names=_BLOCK_NAMES)
+                    pa.array([codes.astype("<u2" if len(pairs) <= 1 << 16 else "<u4").tobytes()], pa.binary()), _one(named)], names=_BLOCK_NAMES)
 
     return align
 
@@ -275,7 +275,7 @@ def _finished(blocks: pa.Table, known: pa.Table) -> pa.Table:
     total[code], best[code] = known.column("total").to_numpy(), known.column("best").to_numpy().astype(np.int64)
     row = {name: blocks.column(name).combine_chunks() for name in blocks.column_names}
     each = {name: row[name].flatten() for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-    codes = np.frombuffer(row["codes"][0].as_py(), dtype="<i4")
+    codes = np.frombuffer(row["codes"][0].as_py(), dtype="<u2" if len(code) <= 1 << 16 else "<u4")
     at = np.append(0, np.cumsum(each["n_links"].to_numpy()))
     for name, values in (("n_best", best), ("count_sum", total)):
         each[name] = pa.array(np.diff(np.append(0, np.cumsum(values[codes]))[at]))
