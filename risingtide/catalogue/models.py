@@ -13,10 +13,11 @@ from risingtide.operators.features import as_array, coded_stages, fit_transform,
 from risingtide.operators.metrics import rank_metrics, regression_metrics, with_ranks
 from risingtide.operators.models import boosted_trees, decision_tree, importances, load, random_forest, save
 from risingtide.operators.neighbours import nearest_neighbours, neighbour_mean
+from risingtide.operators.probing import build_index, probed_neighbours, recall
 from risingtide.operators.split import split_by_key
 from risingtide.plans.durations import forest_predictions, knn_predictions, score, with_channel_stats
 from risingtide.plans.view_counts import evaluate, sample_report, train, with_tokens
-from risingtide.session import work_path
+from risingtide.session import materialise, work_path
 
 # ---------------------------------------------------------------- neighbours
 
@@ -75,6 +76,59 @@ def knn_regression_metrics(spark, folder):
     return found.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "mse", "r2")])
 
 
+@query(
+    _NEIGHBOURS.replace("AS test FROM embeddings)", "AS test FROM embeddings WHERE vec_id % 5 <> 0)")
+    + " SELECT query_id, point_id, rank, round(distance, 6) AS distance FROM n WHERE rank <= 5"
+)
+def knn_odd_vectors(spark, folder):
+    """Neighbours in a table some of whose vectors are null or hold a null, NaN or infinite number."""
+    kind = F.pmod("vec_id", F.lit(20))
+
+    def spoilt(x, i):
+        return F.when((i == 3) & (kind == 5), F.lit(float("nan"))).when((i == 3) & (kind == 10), F.lit(float("-inf"))).when(
+            (i == 3) & (kind == 15), F.lit(None)).otherwise(x)
+
+    vectors = table(spark, folder, "embeddings").withColumn(
+        "embedding", F.when(kind != 0, F.transform(F.col("embedding").cast("array<double>"), spoilt)))
+    points, queries = split_by_key(vectors, "vec_id", 0.2)
+    found = nearest_neighbours(queries, points, 5, "vec_id", "vec_id", "embedding", "embedding")
+    return found.select("query_id", "point_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def _probed(spark: SparkSession, folder: str, said: dict | None = None) -> DataFrame:
+    points, queries = _vectors(spark, folder)
+    return probed_neighbours(queries, build_index(points, "vec_id", "embedding"), 5, "vec_id", "embedding", said=said)
+
+
+@query()
+def knn_probed(spark, folder):
+    """Neighbours found by probing cells; see ``knn_probed_recall`` for how many of the true ones they are."""
+    return _probed(spark, folder).select("query_id", "point_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    _NEIGHBOURS
+    + """, best AS (SELECT query_id, point_id, rank, distance FROM n WHERE rank <= 5)
+SELECT count(DISTINCT query_id) AS queries, (SELECT count(*) FROM p) AS pairs, round(sum(distance), 4) AS exact_distance,
+       true AS recall_above_90, true AS within_5_percent, true AS under_a_quarter_compared FROM best"""
+)
+def knn_probed_recall(spark, folder):
+    """The probed neighbours against the exact ones: recall, distances, and the pairs whose distance was taken."""
+    said: dict = {}
+    found = materialise(_probed(spark, folder, said), "probed")
+    exact, points, queries = _neighbours(spark, folder)
+    exact = materialise(exact, "exact")
+    pairs = queries.count() * points.count()
+    share = recall(found, exact)
+    near = found.agg(F.sum("distance").alias("found_distance"))
+    return exact.agg(
+        F.count_distinct("query_id").alias("queries"), F.lit(pairs).alias("pairs"), F.sum("distance").alias("exact")
+    ).crossJoin(near).select(
+        "queries", "pairs", F.round("exact", 4).alias("exact_distance"), F.lit(share >= 0.9).alias("recall_above_90"),
+        (F.col("found_distance") <= 1.05 * F.col("exact")).alias("within_5_percent"),
+        F.lit(4 * said["compared"] < pairs).alias("under_a_quarter_compared"))
+
+
 # ---------------------------------------------------------------- metrics on ranks
 
 _RANKS = """

@@ -16,3 +16,8 @@ def share(part: Column | str, rest: Column | str) -> Column:
     a = F.col(part) if isinstance(part, str) else part
     b = F.col(rest) if isinstance(rest, str) else rest
     return F.try_divide(a, a + b)
+
+
+def finite(vector: Column | str) -> Column:
+    """Whether a vector is there, and all its components are there and finite."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from risingtide.functions.keys import in_sample
 from risingtide.functions.text import NO_TAGS, unescape_html
-from risingtide.operators.skew import join_per_key
+from risingtide.operators.skew import ROWS_PER_SLICE, join_per_key
 
 
 def lookup(
@@ -66,13 +66,17 @@ def with_match(df: DataFrame, keys: DataFrame, on: Sequence[str], out: str = "_m
     return join_per_key(df, flagged, on, "__rows")
 
 
-def join_on_name(left: DataFrame, right: DataFrame, left_key, right_key) -> DataFrame:
-    """Inner join on two computed key columns, e.g. ``normalised_name``."""
-    return (
-        left.withColumn("__left_name", left_key)
-        .join(right.withColumn("__right_name", right_key), F.col("__left_name") == F.col("__right_name"))
-        .drop("__left_name", "__right_name")
-    )
+def join_on_name(left: DataFrame, right: DataFrame, left_key, right_key, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Inner join on two computed key columns, e.g. ``normalised_name``.
+
+    The rows of ``left`` are counted per name, and names above ``rows_per_slice`` rows are
+    joined in slices. A missing name matches nothing. ``right`` may have a name twice.
+    """
+    named = left.withColumn("__name", left_key).where("__name IS NOT NULL")
+    columns = [c for c in right.columns]
+    side = right.withColumn("__name", right_key).join(_key_sizes(named, ["__name"]), "__name")
+    joined = join_per_key(named, side, ["__name"], "__rows", rows_per_slice=rows_per_slice)
+    return joined.drop("__name").select(*left.columns, *columns)
 
 
 def sample_frequent_keys(

@@ -9,7 +9,7 @@ every task compares two blocks of bounded size and sends on at most k rows per q
 
 On clustered vectors few pairs are compared. Where all distances are nearly equal, as
 between random vectors of many dimensions, no exact method prunes much, and nearly all
-pairs are compared, in blocks.
+pairs are compared, in blocks; ``probing`` has the approximate form for such tables.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from risingtide.functions.vectors import finite
 from risingtide.operators.ranking import top_per_group
 from risingtide.session import materialise
 
@@ -159,17 +160,18 @@ def nearest_neighbours(
 ) -> DataFrame:
     """The ``k`` nearest points of every query: query_id, point_id, distance, rank.
 
-    Euclidean distance, ties by point id. Ids are unique on each side. ``pivots`` is
+    Euclidean distance, ties by point id. Ids are unique on each side. Vectors that are
+    null, or hold a null or a number that is not finite, are left out. ``pivots`` is
     the square root of the number of points unless given. ``said``, where given, gets
     the number of ``pairs`` compared and of ``pivots``.
     """
     spark = queries.sparkSession
     q_raw = queries.select(
         F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("vec")
-    ).where("vec IS NOT NULL")
+    ).where(finite("vec"))
     p_raw = materialise(points.select(
         F.col(point_id).alias("id"), F.col(point_vector).cast("array<double>").alias("vec")
-    ).where("vec IS NOT NULL"), "points")
+    ).where(finite("vec")), "points")
 
     q_kind = q_raw.schema["id"].dataType.simpleString()
     p_kind = p_raw.schema["id"].dataType.simpleString()

@@ -33,7 +33,7 @@ def join_per_key(
     how: str = "inner",
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Join ``stats`` (one row per key) onto ``df``, slicing the hot keys.
+    """Join ``stats`` (one row per key, or a few) onto ``df``, slicing the hot keys.
 
     ``rows`` names the column of ``stats`` holding how many rows of ``df`` have
     that key; it is dropped. ``how`` is ``inner`` or ``left_semi``. Null keys
@@ -43,7 +43,8 @@ def join_per_key(
     names = [f"__key{i}" for i in range(len(keys))]
     stats = materialise(stats, "per-key").withColumnsRenamed(dict(zip(keys, names)))
     slices = F.ceil(F.col(rows) / F.lit(rows_per_slice)).cast("int")
-    largest = stats.where(F.col(rows) > rows_per_slice)
+    # A key has one row here, also where ``stats`` has several.
+    largest = stats.where(F.col(rows) > rows_per_slice).select(*names, rows).distinct()
     number = largest.limit(HOT_KEYS + 1).count()
     on = [df[k].eqNullSafe(stats[n]) for k, n in zip(keys, names)]
     if not number:

@@ -119,12 +119,15 @@ def category_totals(
     """Total per category with one column per country, to compare countries.
 
     ``reports`` is one report with a column ``country`` (see ``by`` of ``top_rank``), or one
-    for each country. Without ``countries`` all that the report holds get a column.
+    for each country. Without ``countries`` all that the report holds get a column; with
+    them, a row of another country stops the job rather than vanish.
     """
     if isinstance(reports, DataFrame):
-        grouped = reports.groupBy(name)
-        wide = grouped.pivot(country, list(countries)) if countries else grouped.pivot(country)
-        return wide.agg(F.sum(value))
+        if not countries:
+            return reports.groupBy(name).pivot(country).agg(F.sum(value))
+        unlisted = F.raise_error(F.concat(F.lit("country not listed: "), F.coalesce(country, F.lit("null"))))
+        known = F.when(F.col(country).isin(list(countries)), F.col(country)).otherwise(unlisted.cast("string"))
+        return reports.withColumn(country, known).groupBy(name).pivot(country, list(countries)).agg(F.sum(value))
     tagged = [df.select(name, value).withColumn("country", F.lit(c)) for c, df in reports.items()]
     stacked = reduce(DataFrame.unionByName, tagged)
     return stacked.groupBy(name).pivot("country", list(reports)).agg(F.sum(value))

@@ -56,4 +56,8 @@ def test_entry(spark):
     import __spark_entry__ as contract
 
     assert contract.entry(spark).columns == ["date", "type", "name", "rank_count"]
-    assert contract.queries().keys() == QUERIES.keys()
+    # Further names come from the optional subpackage and its pipeline alone.
+    assert QUERIES.items() <= contract.queries().items() and ORACLES.items() <= contract.oracle_sql().items()
+    assert contract.queries().keys() - QUERIES.keys() == contract.EXTRA_QUERIES.keys()
+    assert all(name == "pipeline" or name.startswith("op") for name in contract.EXTRA_QUERIES)
+    assert contract.oracle_sql().keys() <= contract.queries().keys()
