@@ -135,7 +135,7 @@ def csv_roundtrip(spark, folder):
     write_csv(docs.withColumn("part", part), root, partition_by=["part"])
     parts = sorted(r["part"] for r in docs.select(part.alias("part")).distinct().collect())
     paths = [f"{root}/part={p}" for p in parts]
-    back = read_csv(spark, paths, docs.schema)
+    back = read_csv(spark, paths, docs.schema, multi_line=True)
     return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 

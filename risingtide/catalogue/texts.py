@@ -21,7 +21,8 @@ from risingtide.functions.text import (
     word_tokens,
 )
 from risingtide.operators.distribution import quartile_bins
-from risingtide.operators.features import hashed_tfidf_vectors, tfidf_vectors, top_weighted_terms
+from risingtide.operators.features import hashed_tfidf_vectors
+from risingtide.operators.indexing import tfidf_entries
 from risingtide.operators.ranking import top_overall
 from risingtide.operators.terms import (
     lowest_idf_by_group,
@@ -31,7 +32,6 @@ from risingtide.operators.terms import (
     top_words_by_group,
 )
 from risingtide.plans.reports import top_words, top_words_by_quartile
-from risingtide.session import materialise
 
 # Stop words of the examples, in the languages of the documents.
 STOPWORDS = ("the", "and", "of", "to", "in", "is", "le", "la", "de", "der", "die", "und", "el", "los")
@@ -268,12 +268,10 @@ FROM (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({_WORDS}) A
 GROUP BY term ORDER BY score DESC, term LIMIT 10"""
 )
 def tfidf_ml(spark, folder):
-    """Spark ML counts and IDF, listed by summed weight."""
-    docs = _docs(spark, folder).select(word_tokens("text", STOPWORDS).alias("tokens"))
-    docs = materialise(docs, "tokens")
-    known = docs.select(F.explode("tokens")).distinct().count()
-    vectors, terms = tfidf_vectors(docs, "tokens", known)
-    return top_weighted_terms(vectors, "tfidf", terms, 10).withColumn("score", F.round("score", 4))
+    """Counts times IDF, listed by summed weight; the vocabulary is a table."""
+    docs = _docs(spark, folder).select("doc_id", word_tokens("text", STOPWORDS).alias("tokens"))
+    sums = tfidf_entries(docs, "doc_id", "tokens").groupBy("term").agg(F.sum("weight").alias("score"))
+    return top_overall(sums, [F.desc("score"), F.asc("term")], 10).withColumn("score", F.round("score", 4))
 
 
 @query()

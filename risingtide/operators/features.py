@@ -58,7 +58,8 @@ def coded_stages(
     """Index and one-hot the coded columns, assemble, and scale to unit deviation.
 
     Coded columns are dimensions such as category or region: the indexer keeps
-    their distinct labels on the driver. ``unseen`` is what a label absent from
+    their distinct labels on the driver; ``indexing.scaled_entries`` takes any number
+    of labels. ``unseen`` is what a label absent from
     train does: ``error``, ``keep`` (a bucket of its own) or ``skip``.
     """
     indexers = [
@@ -105,7 +106,7 @@ def tfidf_vectors(
     """Spark ML TF-IDF that keeps the index -> term mapping: vectors and terms.
 
     Terms beyond the ``vocabulary`` most frequent ones have no weight; the terms kept
-    are held by the driver. ``terms.tfidf_top_terms`` has no such list.
+    are held by the driver. ``indexing.tfidf_entries`` keeps all terms, as a table.
     """
     model, df = fit_stages(
         [

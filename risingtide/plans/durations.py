@@ -19,7 +19,8 @@ from risingtide.operators.features import (
 from risingtide.operators.metrics import regression_metrics
 from risingtide.operators.models import fit, plain_forest
 from risingtide.operators.neighbours import nearest_neighbours, neighbour_mean
-from risingtide.operators.split import sample_rows, split_by_key
+from risingtide.operators.split import exact_sample, sample_rows, split_by_key
+from risingtide.session import materialise
 from risingtide.sinks.writers import write_parquet
 
 LABEL = "endTrendingDuration"
@@ -48,10 +49,14 @@ def feature_table(rows: DataFrame, stats: DataFrame, per_region: bool = False) -
 
 def write_train_and_test(
     features: DataFrame, train_path: str, test_path: str,
-    fraction: float = 20_000 / 39_000, held_out: float = 0.2,
+    fraction: float = 20_000 / 39_000, held_out: float = 0.2, rows: int | None = None,
 ) -> None:
-    """Sample, split and store the feature table."""
-    train, test = split_by_key(sample_rows(features, "video_id", fraction, "sample"), "video_id", held_out)
+    """Sample, split and store the feature table. With ``rows`` the sample has exactly so many rows."""
+    if rows is None:
+        chosen = sample_rows(features, "video_id", fraction, "sample")
+    else:
+        chosen = exact_sample(features, "video_id", rows, "sample")
+    train, test = split_by_key(materialise(chosen, "sample"), "video_id", held_out)
     write_parquet(train, train_path)
     write_parquet(test, test_path)
 

@@ -14,13 +14,13 @@ def read_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
     schema: T.StructType,
-    multi_line: bool = True,
+    multi_line: bool = False,
     **options,
 ) -> DataFrame:
     """CSV with a header from one path, a glob or a list of paths.
 
-    ``multi_line`` accepts line breaks inside quotes and reads each file in one
-    task. For large files, and to set malformed records apart, use
+    Large files are split, every line is a record. ``multi_line`` accepts line breaks
+    inside quotes and reads each file in one task. To set malformed records apart, use
     ``records.read_records``.
     """
     reader = spark.read.schema(schema).options(header=True, escape='"', multiLine=multi_line)
@@ -28,8 +28,8 @@ def read_csv(
 
 
 def read_videos(spark: SparkSession, paths: str | Sequence[str], typed: bool = True) -> DataFrame:
-    """The snapshot files: typed columns, or all text to be cast later."""
-    return read_csv(spark, paths, VIDEOS if typed else all_strings(VIDEOS))
+    """The snapshot files, whose descriptions hold line breaks: typed columns, or all text to be cast later."""
+    return read_csv(spark, paths, VIDEOS if typed else all_strings(VIDEOS), multi_line=True)
 
 
 def read_categories_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -58,9 +58,9 @@ def country_of_file() -> Column:
     return F.substring(F.element_at(F.split(F.input_file_name(), "/"), -1), 1, 2)
 
 
-def read_countries(spark: SparkSession, glob: str, schema: T.StructType = VIDEOS) -> DataFrame:
+def read_countries(spark: SparkSession, glob: str, schema: T.StructType = VIDEOS, multi_line: bool = True) -> DataFrame:
     """All files matching the glob, tagged with the country of their name."""
-    return read_csv(spark, glob, schema).withColumn("country", country_of_file())
+    return read_csv(spark, glob, schema, multi_line).withColumn("country", country_of_file())
 
 
 def dictionary_from(df: DataFrame, text: str, *keep: str) -> DataFrame:

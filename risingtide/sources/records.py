@@ -1,209 +1,34 @@
-"""Large CSV files with line breaks inside quotes, read by many tasks per file.
-
-Spark's ``multiLine`` option gives a whole file to one task. Here the lines are read
-in file blocks. A quote opens a field only at the field's start and closes it only
-before a separator or line end; quotes elsewhere are text. The blocks are read twice:
-
-1. each block tells in which state (inside a quoted field or not) it ends, for either
-   state it may begin in; chained per file, this gives the state each block begins in;
-2. each block is cut into records inside its task. Only the lines of records that
-   cross a block edge meet in a shuffle.
-
-A record that never ends, or is longer than MAX_RECORD_BYTES, is given up: each of its
-lines is taken as a record of its own, so a stray quote costs one record.
-"""
+"""CSV files read into good rows and malformed records, by Spark's own reader."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from risingtide.schemas import CORRUPT, all_strings, with_corrupt
 from risingtide.session import materialise
 
-# The longest record that may span lines.
-MAX_RECORD_BYTES = 1 << 24
-
-
-def open_after(line: str, inside: bool, sep: str = ",") -> bool:
-    """Whether a quoted field is open at the end of a line, given whether one was at its start."""
-    at = 0
-    while True:
-        if inside:
-            quote = line.find('"', at)
-            while quote >= 0 and line[quote + 1: quote + 2] == '"':
-                quote = line.find('"', quote + 2)
-            if quote < 0:
-                return True
-            inside, at = False, quote + 1
-            if line[at: at + 1] not in ("", sep, "\r"):
-                continue_at = line.find(sep, at)
-                if continue_at < 0:
-                    return False
-                at = continue_at
-        if line[at: at + 1] == sep:
-            at += 1
-        elif at:
-            return False
-        if line[at: at + 1] == '"':
-            inside, at = True, at + 1
-        else:
-            at = line.find(sep, at)
-            if at < 0:
-                return False
-
-
-def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Every line with its file and block; a task sees the lines of a block in order."""
-    return spark.read.option("lineSep", "\n").text(paths if isinstance(paths, str) else list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, int]]:
-    for batch in batches:
-        yield from zip(*(batch.column(i).to_pylist() for i in range(3)))
-
-
-def _block_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, block) with the state at its end from either state at its begin."""
-    states: dict[tuple[str, int], list[bool]] = {}
-    for value, file, block in _rows(batches):
-        state = states.setdefault((file, block), [False, True])
-        if '"' in value:
-            state[:] = [open_after(value, inside) for inside in state]
-    keys = list(states)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
-         pa.array([states[k][0] for k in keys], pa.bool_()), pa.array([states[k][1] for k in keys], pa.bool_())],
-        names=["file", "block", "closed", "open"])
-
-
-def _chain(blocks: DataFrame) -> DataFrame:
-    """``file``, ``block``, ``inside``: the state each block begins in; a few numbers per block.
-
-    A block sets the state, keeps it, or turns it round. So the state is what the last
-    setting block set, turned round once for every turning block since.
-    """
-    upto = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    turns = (F.col("closed") & ~F.col("open")).cast("int")
-    counted = blocks.withColumn("turned", (F.sum(turns).over(upto) % 2).cast("int"))
-    sets = F.when(F.col("closed") == F.col("open"), F.col("closed").cast("int").bitwiseXOR(F.col("turned")))
-    zero = F.lit(0)
-    inside = F.coalesce(F.last(sets, ignorenulls=True).over(before), zero).bitwiseXOR(
-        F.coalesce(F.last("turned").over(before), zero).cast("int"))
-    return counted.select("file", "block", (inside == 1).alias("inside"))
-
-
-_PIECE = "file string, block long, line long, text string, whole boolean, opens boolean, closes boolean, header boolean"
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole records of a block as one row; lines of records that cross its edges as a row each."""
-    place, held, size, number, inside, begins = None, [], 0, 0, False, True
-    out: list[tuple] = []
-
-    def flush(closes: bool, over: bool) -> None:
-        """Pass on the lines held: a record that began and ended here, or lines to be joined elsewhere."""
-        nonlocal held, size
-        first = number - len(held)
-        if begins and (closes or over):
-            if size <= MAX_RECORD_BYTES:
-                out.append((*place, first, "\n".join(held), True, True, True, place[1] == 0 and first == 0))
-            else:
-                out.extend((*place, first + i, v, True, True, True, False) for i, v in enumerate(held))
-        else:
-            for i, v in enumerate(held):
-                out.append((*place, first + i, v, False, begins and i == 0, closes and i == len(held) - 1,
-                            place[1] == 0 and first + i == 0))
-        held, size = [], 0
-
-    def passed() -> pa.RecordBatch:
-        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_())
-        found = pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in out], t) for i, t in enumerate(types)],
-            names=[part.split(" ")[0] for part in _PIECE.split(", ")])
-        out.clear()
-        return found
-
-    for batch in batches:
-        for value, file, block, entry in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if (file, block) != place:
-                if held:
-                    flush(False, False)
-                place, number, inside, begins = (file, block), 0, entry, not entry
-            held.append(value)
-            size += len(value) + 1
-            number += 1
-            inside = open_after(value, inside) if inside or '"' in value else False
-            if not inside:
-                flush(True, False)
-                begins = True
-            elif size > MAX_RECORD_BYTES and not begins:
-                flush(False, False)
-            elif size > 2 * MAX_RECORD_BYTES:
-                flush(False, False)
-                begins = False
-        yield passed()
-    if held:
-        flush(False, False)
-    yield passed()
-
-
-def record_texts(spark: SparkSession, paths: str | Sequence[str], header: bool = True) -> DataFrame:
-    """``file`` and ``text``: one row per record. With ``header`` the first record of every file is left out."""
-    lines = _lines(spark, paths)
-    states = materialise(_chain(lines.mapInArrow(
-        _block_ends, "file string, block long, closed boolean, open boolean").groupBy("file", "block").agg(
-        F.max("closed").alias("closed"), F.max("open").alias("open"))), "block-states")
-    # One row per file block: small, and by far the smaller side of the join.
-    pieces = materialise(
-        lines.join(F.broadcast(states) if states.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS else states,
-                   ["file", "block"]).select("value", "file", "block", "inside").mapInArrow(_cut, _PIECE), "records")
-    by_place = W.partitionBy("file").orderBy("block", "line")
-    parts = pieces.where("not whole").withColumn("record", F.sum(F.col("opens").cast("int")).over(by_place))
-    sizes = parts.groupBy("file", "record").agg(
-        F.sum(F.length("text") + 1).alias("size"), F.max("closes").alias("ends"))
-    kept = parts.join(sizes, ["file", "record"])
-    fine = F.col("ends") & (F.col("size") <= MAX_RECORD_BYTES)
-    in_order = F.array_sort(F.collect_list(F.struct("block", "line", "text")))
-    rejoined = kept.where(fine).groupBy("file", "record").agg(
-        F.max("header").alias("header"), F.array_join(F.transform(in_order, lambda s: s["text"]), "\n").alias("text"))
-    everything = pieces.where("whole").select("file", "header", "text").unionByName(
-        rejoined.select("file", "header", "text")).unionByName(kept.where(~fine).select("file", "header", "text"))
-    # Line ends are written one way, as Spark's own reader gives them.
-    text = F.regexp_replace(F.regexp_replace("text", "\r$", ""), "\r\n?", "\n")
-    rows = everything.where(~F.col("header")) if header else everything
-    return rows.select("file", text.alias("text")).where(F.length("text") > 0)
-
-
-# Block states up to this number are broadcast, some 200 bytes each.
-BROADCAST_BLOCKS = 100_000
-
 
 def read_records(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, header: bool = True
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, header: bool = True, multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows, malformed records as ``file`` and ``text``).
 
-    Malformed is a record with too few or too many fields. A field that does not fit
-    its type becomes null.
+    Malformed is a record with too few or too many fields; it lands in the reader's
+    corrupt-record column. A field that does not fit its type becomes null in a row that
+    stays. The files are read once: both results come from the stored rows.
+
+    ``multi_line`` accepts line breaks inside quotes, as descriptions have them; each file
+    is then read by one task, so many files are read by many tasks. Without it large files
+    are split, every line is a record, and a stray quote costs one line.
     """
-    text_schema = with_corrupt(all_strings(schema))
-    parsed = materialise(record_texts(spark, paths, header).select(
-        "file",
-        "text",
-        F.from_csv(
-            "text",
-            ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text_schema),
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "multiLine": "true",
-             "maxCharsPerColumn": "-1"},
-        ).alias("row"),
-    ), "parsed")
-    fine = F.col("row").isNotNull() & F.col(f"row.{CORRUPT}").isNull()
-    good = parsed.where(fine).select(*[
-        (F.col(f"row.{f.name}") if isinstance(f.dataType, T.StringType) else F.col(f"row.{f.name}").try_cast(f.dataType))
-        .alias(f.name) for f in schema])
-    return good, parsed.where(~fine).select("file", "text")
+    reader = spark.read.schema(with_corrupt(all_strings(schema))).options(
+        header=header, escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, maxCharsPerColumn=-1)
+    read = reader.csv(paths if isinstance(paths, str) else list(paths))
+    parsed = materialise(read.select("*", F.col("_metadata.file_path").alias("__file")), "records")
+    good = parsed.where(F.col(CORRUPT).isNull()).select(*[
+        (F.col(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name).try_cast(f.dataType)).alias(f.name)
+        for f in schema])
+    bad = parsed.where(F.col(CORRUPT).isNotNull())
+    return good, bad.select(F.col("__file").alias("file"), F.col(CORRUPT).alias("text"))
