@@ -23,12 +23,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         F.greatest(a, b).alias("node"), F.least(a, b).alias("root")
     ).distinct()
     edges = scratch.keep(oriented, "edges")
-    while not _is_forest(edges):
+    while True:
         # Large star: every larger neighbour is linked to the smallest one.
         both = edges.union(edges.select("root", "node")).toDF("at", "other")
-        least = scratch.keep(both.groupBy("at").agg(F.least("at", F.min("other")).alias("least")), "large")
+        least = scratch.keep(both.groupBy("at").agg(
+            F.least("at", F.min("other")).alias("least"), F.count_if(F.col("other") < F.col("at")).alias("below"),
+            F.count_if(F.col("other") > F.col("at")).alias("above")), "large")
+        # A forest of stars is the end: one root for every node, and no root with a root itself.
+        if least.where("below > 1 OR (below > 0 AND above > 0)").isEmpty():
+            return edges
         large = scratch.keep(
-            both.where("other > at").join(least, "at").select("other", "least")
+            both.where("other > at").join(least.select("at", "least"), "at").select("other", "least")
             .where("other != least").distinct().toDF("node", "root"),
             "starred",
         )
@@ -41,11 +46,3 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             .where("node != root").distinct(),
             "edges",
         )
-    return edges
-
-
-def _is_forest(edges: DataFrame) -> bool:
-    """Whether every node has one root, and no root has a root itself."""
-    twice = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    deep = edges.select(F.col("root").alias("node")).distinct().join(edges.select("node"), "node", "left_semi")
-    return twice.select("node").union(deep).isEmpty()

@@ -16,7 +16,7 @@ copies never becomes all its pairs:
 3. buckets that still hold several components are left with the classes that can
    have a link to another component at all: three quarters of their shingles must
    occur in other components of such buckets (no link is lost by this). They are
-   compared with further leaders, then in blocks of each bucket, or of each family of
+   compared with a further leader of another component, then in blocks of each bucket, or of each family of
    overlapping buckets: pairs of different components whose long sketches agree often
    enough are verified on the full sets.
 
@@ -44,7 +44,7 @@ ROWS = 2
 # Similarity as a fraction: linked when 100 * intersection >= 75 * union.
 PERCENT = 75
 # Rounds of new leaders before what is left is compared in blocks.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 # Classes of one bucket compared with each other in one go.
 BLOCK = 1024
 # One-byte minhashes of a sketch for the comparison in blocks, and those looked at first.
@@ -227,7 +227,6 @@ def near_duplicates(
     pairs = scratch.keep(members.select(F.col("leader").alias("x"), F.col("rep").alias("y")).distinct(), "pairs")
     links = verified(docs, pairs, scratch, width, percent)
     roots = components(links, scratch)
-
     roots = _mixed_rounds(docs, members, pairs, roots, scratch, width, percent)
 
     named = scratch.keep(
@@ -265,11 +264,13 @@ def _mixed_rounds(docs: DataFrame, members: DataFrame, tested: DataFrame, roots:
         sizes = members.groupBy("key").agg(
             F.min("root").alias("low"), F.max("root").alias("top"), F.count(F.lit(1)).alias("n"),
             F.sum(F.shiftright(F.xxhash64("rep"), 16)).alias("same"),
-            F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("lead"),
-        ).dropDuplicates(["n", "same", "low", "top"]).select("key", "n", "lead")
+            F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(turn))).alias("lead"),
+        ).dropDuplicates(["n", "same", "low", "top"]).select(
+            "key", "n", F.col("lead.rep").alias("lead"), F.col("lead.root").alias("lead_root"))
         buckets = scratch.keep(sizes, "sizes")  # buckets with the same members need one comparison
         if turn < LEADER_ROUNDS:
-            led = members.join(buckets, "key").where("rep != lead")
+            # Classes of the leader's own component need no comparison with it.
+            led = members.join(buckets, "key").where("root != lead_root")
             new = led.select(F.least("lead", "rep").alias("x"), F.greatest("lead", "rep").alias("y")).distinct()
         else:
             grouped = scratch.keep(_cheapest_groups(members, buckets, scratch), "grouped")
