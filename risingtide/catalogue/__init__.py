@@ -5,6 +5,6 @@ the equivalent SQL over the same tables.
 """
 
 from risingtide.catalogue.base import ORACLES, QUERIES
-from risingtide.catalogue import files, models, reports, rows, scale, texts  # noqa: F401  (register)
+from risingtide.catalogue import files, models, proofs, reports, rows, scale, texts  # noqa: F401  (register)
 
 __all__ = ["ORACLES", "QUERIES"]
