@@ -9,6 +9,7 @@ from risingtide.catalogue.models import _text_rows
 from risingtide.catalogue.reports import _user_series
 from risingtide.catalogue.texts import STOPWORDS, _WORDS
 from risingtide.functions.text import word_tokens
+from risingtide.operators.enrich import keep_keys
 from risingtide.operators.indexing import label_index, scaled_entries, sparse_vectors, tfidf_entries
 from risingtide.operators.kmeans import euclidean_clusters, squares_by_centroid
 from risingtide.operators.sketches import RANK_ERROR, merged_sketches, quantile_sketches, rank_errors, sketch_quantiles
@@ -101,3 +102,11 @@ def series_kmeans(spark, folder):
     """Euclidean clusters of the users' series: squares within and between them, and series nearer to another centroid."""
     found = squares_by_centroid(euclidean_clusters(_user_series(spark, folder), "user_id", "z"), "z")
     return found.select("series", F.round(F.col("within") + F.col("between"), 2).alias("squares"), "moved")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+          WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 7)""")
+def keys_screened(spark, folder):
+    """Rows of listed keys, screened by a Bloom filter before they are shuffled."""
+    wanted = table(spark, folder, "orders").where("o_custkey % 50 = 7").select(F.col("o_orderkey").alias("l_orderkey"))
+    return keep_keys(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), wanted, ["l_orderkey"], screen=True)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from risingtide.functions.keys import in_sample
 from risingtide.functions.text import NO_TAGS, unescape_html
+from risingtide.operators.membership import maybe_listed
 from risingtide.operators.skew import ROWS_PER_SLICE, join_per_key
 
 
@@ -46,8 +47,14 @@ def _key_sizes(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is listed. Keys are settled first, one row each; hot ones are sliced."""
+def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], screen: bool = False) -> DataFrame:
+    """Rows whose key is listed. Keys are settled first, one row each; hot ones are sliced.
+
+    ``screen`` drops most other rows by a Bloom filter of the keys before the first shuffle:
+    for key lists too long to broadcast that match few of the rows.
+    """
+    if screen:
+        df = maybe_listed(df, keys, on)
     listed = _key_sizes(df, on).join(keys.select(*on), list(on), "left_semi")
     return join_per_key(df, listed, on, "__rows", "left_semi")
 
