@@ -46,8 +46,8 @@ def url_key(url: str | Column) -> Column:
 
 
 def default_time(page_id: str = "page_id") -> Column:
-    """A capture time for tables without one: as many seconds after a fixed day as the id."""
-    return F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, coalesce({page_id}, 0))")
+    """A capture time for tables without one: as many seconds after a fixed day as the id, modulo 10 ** 9."""
+    return F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, pmod(coalesce({page_id}, 0), 1000000000))")
 
 
 def write_archives(pages: DataFrame, path: str, scratch: Scratch, captured: Column | None = None) -> None:

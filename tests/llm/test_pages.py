@@ -160,3 +160,20 @@ def test_loser_tree():
     for k in range(0, 12):
         runs = [sorted(rng.randrange(30) for _ in range(rng.randrange(0, 9))) for _ in range(k)]
         assert list(LoserTree(runs)) == sorted(x for r in runs for x in r)
+
+
+def test_cut_off_tags_take_no_time(spark):
+    starts = ['<a href="x">link</a> kept words here ' + tail for tail in (
+        "<img " + " ".join(f'a{i}="v{i}"' for i in range(200)), "<img " + 'alt="" ' * 400, "<p " + '"' * 401, "<p class='" + "x " * 9000)]
+    found = texts_of(spark, ["<html><body><article><p>First part.</p><p>" + s for s in starts])
+    assert all("First part. link kept words here" in t and "alt" not in t and "v7" not in t for t in found.values())
+
+
+def test_quotes_that_never_end_cost_their_tag_only(spark):
+    html = '<html><body><article><p title="never ended>One.</p><p>Two words.</p></article></body></html>'
+    assert "Two words." in texts_of(spark, [html])[0]
+
+
+def test_large_and_negative_ids(spark):
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", "x" * 200) for i in (10**13, -5, 2**62, 0)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["refers_to"] for r in archived(pages).collect()} == {-5: None, 0: -5, 10**13: -5, 2**62: -5}
