@@ -158,7 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int =
             counts = [row.astype(np.float16).tobytes() for row in term_counts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.binary())], names=["doc_id", "quality", "counts"])
 
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    # Every copy of an id and text counts once, so that the driver gets no more rows than the sample has texts.
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", F.xxhash64("text").alias("hash")).agg(
+        F.min("text").alias("text")).select("doc_id", "quality", "text")
     with small_batches(spark):
         rows = texts.mapInArrow(count, "doc_id long, quality int, counts binary").collect()
     if not rows:

@@ -144,3 +144,12 @@ def test_classifier_on_odd_rows(spark, odd_documents, no_documents, document_lis
 def test_terms_of_empty_texts():
     found = classifier.term_counts(pa.array([None, "", "a"]))
     assert np.isfinite(found).all() and (found[0] == found[1]).all()
+
+
+def test_copies_of_a_labelled_id_reach_the_driver_once(spark):
+    docs, labels = labelled(spark)[:2]
+    one = docs.select("doc_id", "text")
+    first = one.orderBy("doc_id").limit(1)
+    many = one.union(first.crossJoin(spark.range(500)).select("doc_id", "text"))
+    a, b = (classifier.train(d, labels).value for d in (one, many))
+    assert len(a[3]) == len(b[3]) and np.allclose(a[0], b[0], atol=1e-3)
