@@ -237,7 +237,7 @@ _TAGS = "list_filter([lower(lang), lower(source)], lambda t: length(t) >= 1)"
 
 
 @query(f"""SELECT doc_id, CAST(len({_LOWER_STOP}) AS DOUBLE) AS words, CAST(len({_TAGS}) AS DOUBLE) AS tags,
-           CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS flag, CAST(length(lang) AS DOUBLE) AS lang_id
+           CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS flag, CAST(length(lang) AS DOUBLE) AS lang_id
            FROM documents WHERE doc_id % 3 <> 0""")
 def hashed_rows(spark, folder):
     """The blocks of the hashed vectors add up to the numbers of words and tags; rows with a missing column are skipped."""
