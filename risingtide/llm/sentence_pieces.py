@@ -49,8 +49,6 @@ FANIN = 256
 CHUNKS_TOGETHER = 256
 # Segments up to so many bytes are solved together, all of a length at once.
 SHORT = 48
-# Short segments whose ids a process remembers, about 300 bytes each.
-REMEMBERED = 200_000
 _NONE = -np.inf
 
 _models: dict[str, "Model"] = {}
@@ -72,6 +70,9 @@ class Model:
         for i in kept:
             self.raw[i] = file.id_to_piece(i).replace("▁", " ").encode("utf-8")
             self.pieces[self.raw[i]] = (i, file.get_score(i))
+        self.raw_sizes = np.array([len(self.raw.get(i, b"")) for i in numbers], dtype=np.int64)
+        self.raw_ends = np.cumsum(self.raw_sizes)
+        self.raw_bytes = np.frombuffer(b"".join(self.raw.get(i, b"") for i in numbers), np.uint8)
         self.longest = max(map(len, self.pieces))
         self.score_of = dict(self.pieces.values())
         # The byte piece that opens an unknown character carries its cost.
@@ -147,8 +148,8 @@ class Model:
         at = np.flatnonzero(starts[:n])
         return at, np.append(at[1:], n)
 
-    def solve(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The ids and the score of each of some distinct segments."""
+    def solve(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some distinct segments in order, how many each has, and its score."""
         ids: list = [None] * len(starts)
         scores = np.zeros(len(starts))
         sizes = stops - starts
@@ -163,7 +164,8 @@ class Model:
                 tokens, counts, scores[own] = self._solve_equal(data[starts[own][:, None] + np.arange(size)])
                 for i, row, n in zip(own.tolist(), tokens, counts.tolist()):
                     ids[i] = row[size - n:]
-        return ids, scores
+        counts = np.array([len(x) for x in ids], dtype=np.int64)
+        return np.concatenate([np.zeros(0, np.int32), *ids]), counts, scores
 
     def _solve_equal(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segments of one length, a row each: ids (at the end of the row), their number, scores."""
@@ -227,20 +229,17 @@ class Model:
             W.span_hashes(data[offsets[a]: offsets[b]], starts[before[a]: before[b]] - offsets[a], stops[before[a]: before[b]] - offsets[a])
             for a, b in W.chunks(offsets))])
         _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        ids, scores = self.solve(data, starts[one], stops[one])
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        pool = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        pool, sizes, scores = self.solve(data, starts[one], stops[one])
         begins = np.cumsum(sizes) - sizes
-        counts = sizes[back]
-        total = np.append(0, np.cumsum(counts))
-        flat = pool[np.repeat(begins[back] - total[:-1], counts) + np.arange(total[-1])]
+        total = np.append(0, np.cumsum(sizes[back]))
+        flat = W.gathered(pool, begins[back], begins[back] + sizes[back])
         added = np.append(0.0, np.cumsum(scores[back]))
         for a, b in zip(before[:-1], before[1:]):
             yield flat[total[a]: total[b]], added[b] - added[a]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a run of ids, with the space that was put before the text."""
-        return b"".join([self.raw[i] for i in ids.tolist()])
+        return W.gathered(self.raw_bytes, self.raw_ends[ids] - self.raw_sizes[ids], self.raw_ends[ids]).tobytes()
 
     def natural_cuts(self, data: bytes) -> np.ndarray:
         """Places inside a text where no piece crosses."""
@@ -293,55 +292,119 @@ class Model:
 
 
 class MergeModel(Model):
-    """A model of the BPE kind: segments are solved by merging neighbours in the order of their ranks."""
+    """A model of the BPE kind: neighbours are merged in the order of their ranks.
+
+    Segments are rows of symbols: the place of a piece, or ``n`` and the code point of a
+    character that is no piece. Rows of equal width are merged together, a pair each, from
+    the widest on, so a row that has shrunk goes on with those of its new width.
+    """
 
     def __init__(self, path: str):
         super().__init__(path)
         self.ranks = {p.decode("utf-8"): -score for p, (_, score) in self.pieces.items()}
-        self.numbers = {p.decode("utf-8"): i for p, (i, _) in self.pieces.items()}
-        self.remembered: dict[bytes, tuple[np.ndarray, float]] = {}
-
-    def solve(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        raw, ids, scores = data.tobytes(), [], np.zeros(len(starts))
-        for i, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
-            segment = raw[a:b]
-            found = self.remembered.get(segment)
-            if found is None:
-                found = self.merged(segment)
-                if b - a <= SHORT:
-                    if len(self.remembered) >= REMEMBERED:
-                        self.remembered.clear()
-                    self.remembered[segment] = found
-            ids.append(found[0])
-            scores[i] = found[1]
-        return ids, scores
-
-    def merged(self, segment: bytes) -> tuple[np.ndarray, float]:
-        """The ids and the score of one segment."""
-        parts = list(segment.decode("utf-8", "surrogateescape"))
-        ids, score = [], 0.0
-        for part in self._merge_few(parts) if len(parts) <= SHORT else self._merge_many(parts):
-            number = self.numbers.get(part)
-            if number is None:
-                ids += self.byte_ids[list(part.encode("utf-8", "surrogateescape"))].tolist()
-                score += self.unknown
-            else:
-                ids.append(number)
-                score -= self.ranks[part]
-        return np.array(ids, dtype=np.int32), score
-
-    def _merge_few(self, parts: list[str]) -> list[str]:
-        rank, none = self.ranks.get, np.inf
-        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := min(pairs)) < none:
-            at = pairs.index(best)
-            parts[at: at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
-            if at < len(pairs):
-                pairs[at] = rank(parts[at] + parts[at + 1], none)
-        return parts
+        self.n = len(self.ranks)
+        self.place = {p: i for i, p in enumerate(self.ranks)}
+        self.number = np.array([i for i, _ in self.pieces.values()], dtype=np.int32)
+        self.value = np.array([score for _, score in self.pieces.values()])
+        self.of_point = np.arange(self.n, self.n + 0x110000, dtype=np.int32)
+        for piece, i in self.place.items():
+            if len(piece) == 1:
+                self.of_point[ord(piece)] = i
+        # The last entry is the rank of a pair that makes no piece.
+        self.rank_of = np.append(np.unique(list(self.ranks.values()), return_inverse=True)[1], self.n).astype(np.int32)
+        made = {}
+        for piece, i in self.place.items():
+            for cut in range(1, len(piece)):
+                left, right = self.symbol(piece[:cut]), self.symbol(piece[cut:])
+                if left is not None and right is not None:
+                    made[self._key(left, right)] = i
+        self.keys = np.array(sorted(made), dtype=np.int64)
+        self.made_by = np.array([made[k] for k in self.keys.tolist()], dtype=np.int32)
+        self.likely = np.zeros(1 << 22, dtype=bool)
+        self.likely[self._slot(self.keys)] = True
+
+    def symbol(self, part: str) -> int | None:
+        return self.place.get(part, self.n + ord(part) if len(part) == 1 else None)
+
+    def _key(self, left, right):
+        return left * (self.n + 0x110000) + right
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * W.LENGTH_STEP) >> np.uint64(42)
+
+    def made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols makes, -1 for none."""
+        keys = self._key(left.astype(np.int64), right)
+        found = np.full(keys.shape, -1, dtype=np.int32)
+        at = np.nonzero(self.likely[self._slot(keys)])
+        near = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        found[at] = np.where(self.keys[near] == keys[at], self.made_by[near], -1) if len(self.keys) else -1
+        return found
+
+    def solve(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes, own = stops - starts, W.gathered(data, starts, stops)
+        raw, first = own.tobytes(), np.cumsum(sizes) - sizes
+        try:
+            text, widths = raw.decode("utf-8"), np.add.reduceat((own & 0xC0) != 0x80, first, dtype=np.int64) if len(own) else sizes
+        except UnicodeDecodeError:
+            parts = [raw[a: a + n].decode("utf-8", "surrogateescape") for a, n in zip(first.tolist(), sizes.tolist())]
+            text, widths = "".join(parts), np.array([len(p) for p in parts], dtype=np.int64)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return self._numbered(*self._merged(text, self.of_point[points], widths))
+
+    def _merged(self, text: str, symbols: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that are left of all segments in order, and how many each has."""
+        first, left = np.cumsum(widths) - widths, widths.copy()
+        for i in np.flatnonzero(widths > SHORT).tolist():
+            parts = self._merge_many(list(text[first[i]: first[i] + widths[i]]))
+            symbols[first[i]: first[i] + len(parts)] = [self.symbol(p) for p in parts]
+            left[i] = len(parts)
+        rows, sym, made = np.zeros(0, np.int64), np.zeros((0, 0), np.int32), np.zeros((0, 0), np.int32)
+        short = np.flatnonzero(widths <= SHORT)
+        short = short[np.argsort(-widths[short], kind="stable")]
+        widest = int(widths[short[0]]) if len(short) else 0
+        begins = np.searchsorted(-widths[short], -np.arange(widest + 1))
+        for width in range(widest, 1, -1):
+            new = short[begins[width]: begins[width - 1]]
+            fresh = symbols[first[new][:, None] + np.arange(width)]
+            pairs = self.made(fresh[:, :-1], fresh[:, 1:])
+            rows, sym, made = (np.concatenate(x) if len(rows) else x[1] for x in ((rows, new), (sym, fresh), (made, pairs)))
+            ranks = self.rank_of[made]
+            at = ranks.argmin(axis=1)
+            more = ranks[np.arange(len(rows)), at] < self.n
+            done = rows[~more]
+            symbols[first[done][:, None] + np.arange(width)] = sym[~more]
+            left[done] = width
+            rows, sym, made, at = rows[more], sym[more], made[more], at[more]
+            row = np.arange(len(rows))
+            piece, column = made[row, at], np.arange(width - 1)
+            sym = np.where(column > at[:, None], sym[:, 1:], sym[:, :-1])
+            sym[row, at] = piece
+            made = np.where(column[:-1] >= at[:, None], made[:, 1:], made[:, :-1])
+            row = np.flatnonzero(at > 0)
+            made[row, at[row] - 1] = self.made(sym[row, at[row] - 1], piece[row])
+            row = np.flatnonzero(at < width - 2)
+            made[row, at[row]] = self.made(piece[row], sym[row, at[row] + 1])
+        symbols[first[rows]] = sym[:, 0] if len(rows) else 0
+        left[rows] = 1
+        return W.gathered(symbols, first, first + left), left
+
+    def _numbered(self, symbols: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, their number and the score of each segment; a character that is no piece becomes its bytes."""
+        known, segment = symbols < self.n, np.repeat(np.arange(len(widths)), widths)
+        points = (symbols[~known] - self.n).astype("<u4")
+        raw = points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape")
+        # A byte that is not UTF-8 stands as a surrogate.
+        sizes = np.ones(len(symbols), dtype=np.int64)
+        sizes[~known] += (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        sizes[np.flatnonzero(~known)[(points >= 0xD800) & (points < 0xE000)]] = 1
+        ids, whole = np.empty(int(sizes.sum()), dtype=np.int32), np.repeat(known, sizes)
+        ids[whole], ids[~whole] = self.number[symbols[known]], self.byte_ids[np.frombuffer(raw, np.uint8)]
+        values = np.full(len(symbols), float(self.unknown))
+        values[known] = self.value[symbols[known]]
+        n = len(widths)
+        return ids, np.bincount(segment, sizes, n).astype(np.int64), np.bincount(segment, values, n)
 
     def _merge_many(self, parts: list[str]) -> list[str]:
         """The same by a heap of pairs; a pair one of whose sides has changed is passed over."""

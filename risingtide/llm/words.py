@@ -104,6 +104,13 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The spans of ``data``, one behind the other."""
+    sizes = stops - starts
+    ends = np.cumsum(sizes)
+    return data[np.repeat(stops - ends, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool = False) -> np.ndarray:
     """A 64-bit hash of each span of bytes; ``fold`` lower-cases A-Z."""
     n = len(data)

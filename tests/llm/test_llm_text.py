@@ -127,3 +127,22 @@ def test_licenses_match_every_window(spark):
     expected = sorted((i, n, b) for i, t in enumerate(texts) for n, b in brute_licenses(t))
     assert sorted((r["doc_id"], r["license"], r["n_matched"]) for r in found) == expected
     assert scan_licenses(docs.limit(0)).collect() == []
+
+
+def test_merges_in_lockstep_match_the_heap():
+    own = pieces.encoder(PATH)
+    rng = random.Random(5)
+    letters = [*"abcdehinorst", " ", "é", "ß", "語", "▁", "\n", "\U0001f600", ""]
+    parts = ["".join(rng.choices(letters, k=rng.randrange(1, 60))).encode() for _ in range(400)]
+    parts += [b"a" * pieces.SHORT, b"a" * (pieces.SHORT + 1), b"ab\xff\xe2\x82 x\x80", b"z"]
+    data, stops = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+    ids, sizes, scores = own.solve(data, np.append(0, stops[:-1]), stops)
+    for part, n, end, score in zip(parts, sizes, np.cumsum(sizes), scores):
+        found = own._merge_many(list(part.decode("utf-8", "surrogateescape")))
+        wanted, total = [], 0.0
+        for piece in found:
+            raw = piece.encode("utf-8", "surrogateescape")
+            wanted += [own.pieces[raw][0]] if raw in own.pieces else own.byte_ids[list(raw)].tolist()
+            total += own.pieces[raw][1] if raw in own.pieces else own.unknown
+        assert ids[end - n: end].tolist() == wanted and score == total and own.decode(ids[end - n: end]) == part
+    assert [len(x) for x in own.solve(data[:0], stops[:0], stops[:0])] == [0, 0, 0]
