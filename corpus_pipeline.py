@@ -4,6 +4,13 @@
 DataFrame. ``run`` writes every stage's result as Parquet to the shared folder and
 reads it again as the next stage's documents. All stages but the last return the
 columns of ``documents``.
+
+The classifier and the rules judge every row on its own, whatever its id: a rejected row
+without an id goes, and a row that repeats the id of a rejected one stays if its own text
+passes. The two dedup stages know copies by their ids: rows without an id stay, rows that
+repeat an id stay or go together. Null and empty texts fail the rules for want of words.
+Ties are broken by the id, as each stage says. Texts of any length are worked on whole.
+Of an empty table nothing is left; columns beyond those of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -16,7 +23,10 @@ from risingtide.llm.near_dedup import near_duplicates
 from risingtide.llm.packing import pack_documents
 from risingtide.llm.quality_rules import quality_rules
 from risingtide.llm.queries import tokenizer_path, trusted_ids
-from risingtide.llm.tables import Scratch, documents, without_ids
+from risingtide.llm.tables import Scratch, documents, with_ids, without_ids
+
+# The column of row numbers beside those of the documents.
+ROW = "__pipeline_row"
 
 
 def classified(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -27,9 +37,14 @@ def classified(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def ruled(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    verdicts = quality_rules(docs, trusted_ids(spark, folder), texts_once=True)
-    return _without(spark, docs, verdicts.where("not kept"), "ruled-out")
+    """Documents that pass the quality rules; the rows are numbered, since ids may be missing or repeated."""
+    scratch = Scratch(spark, "ruled")
+    rows = scratch.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    good = scratch.keep(trusted_ids(spark, folder).dropna().distinct(), "good")
+    trusted = with_ids(rows, "doc_id", good).select(ROW)
+    verdicts = quality_rules(rows, trusted, id_col=ROW, texts_once=True)
+    rejected = scratch.keep(verdicts.where("not kept").select("doc_id"), "rejected")
+    return without_ids(rows, ROW, rejected).drop(ROW)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
