@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from llm_fixtures import document_list, odd_documents  # noqa: F401  (fixtures)
 from risingtide.llm import queries
 from risingtide.llm.tables import Scratch
 
@@ -35,3 +38,35 @@ def test_stages_keep_clean_documents_and_all_columns(spark, tmp_path):
     assert kept["best-fit packing"] == kept["MinHash near-dedup"]
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in run.collect()} == kept["best-fit packing"] and run.count() == docs.count()
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def labels_at(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+
+
+def test_rules_judge_rows_not_ids(spark, tmp_path):
+    labels_at(spark, tmp_path, [(1, 1, 0), (None, 1, 0)])
+    good = " ".join(f"word{i}" for i in range(30))
+    texts = [(1, good), (None, good), (None, "too short"), (7, good), (7, "too short"), (8, "too short"), (8, "too short"),
+             (9, good), (9, good), (10, None), (None, ""), (11, good + " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], COLUMNS)
+    kept = corpus_pipeline.ruled(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted(
+        (i or 0, t) for i, t in texts if t and len(t) > 20)
+
+
+def test_pipeline_on_odd_and_no_rows(spark, tmp_path, odd_documents):
+    labels_at(spark, tmp_path, [(i, i % 2, 0) for i in range(0)])
+    odd = odd_documents.select("doc_id", "text", *(odd_documents[c] if c in odd_documents.columns else F.lit(None).cast(t).alias(c)
+                                                  for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))))
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        for stage, function in corpus_pipeline.STAGES[1:4]:
+            before = docs.count()
+            docs = Scratch(spark, "odd").keep(function(spark, docs, str(tmp_path)), "stage")
+            assert docs.columns == odd.columns and docs.count() <= before, (name, stage)
+        packed = corpus_pipeline.packed(spark, docs, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
