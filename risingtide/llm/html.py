@@ -17,7 +17,8 @@ joined in page order. A text that the alignment matches to no slot, or to that o
 another sibling, is kept if its own place is one of the main text.
 
 Null and empty pages have an empty text. Pages without a host share one wrapper. Repeated
-rows and repeated or null ids keep their own row. Extra columns are ignored.
+rows and repeated or null ids keep their own row. Extra columns are ignored. An empty
+table gives an empty result. Pages may be of any length, and nested to any depth.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -139,6 +141,13 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node | None]]]:
     """The tree of a page, and its texts in order with their nodes; a None marks the edge of a block."""
     root = Node("#root")
     stack, texts, at, end = [root], [], 0, len(page)
+    opened: Counter[str] = Counter()
+
+    def close(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
+        del stack[depth:]
+
     while at < end:
         token = _TOKEN.match(page, at)
         if token is None:  # an unclosed tag swallows the rest
@@ -159,16 +168,14 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node | None]]]:
         if tag not in INLINE:
             texts.append((" ", None))
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+            if opened[tag] > 0:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag))
             continue
         for open_ in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
-            if tag in _CLOSED_BY[open_]:
+            if tag in _CLOSED_BY[open_] and opened[open_] > 0:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == open_:
-                        del stack[depth:]
+                        close(depth)
                         break
                     if stack[depth].tag in _SCOPE.get(open_, ("body", "article", "section", "div", "td", "table")):
                         break
@@ -179,6 +186,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node | None]]]:
             at = found.start() if found else end
         if tag not in VOID and not (attributes or "").endswith("/"):
             stack.append(node)
+            opened[node.tag] += 1
     return root, texts
 
 
@@ -205,24 +213,26 @@ def _not_article(node: Node) -> bool:
     return node.key[-1] in "-~" or node.tag == "header"
 
 
-def _marks_article(node: Node) -> bool:
-    return any(
-        c.key.endswith("+") or _marks_article(c) for c in node.children
-        if not (c.key[-1] in "-~" or c.key.endswith("?") and _surplus(c, False)) or _holds_article(c)
-    )
-
-
-def _surplus(node: Node, in_link: bool, many: bool = True) -> bool:
-    """Whether all texts of a marked part are links or never change, over ``many`` different pages if asked."""
-    in_link = in_link or node.tag == "a"
-    if node.key == "#text":
-        return in_link or node.text is not None and not node.repeated and (node.many or not many)
-    return all(_surplus(c, in_link, many) for c in node.children)
-
+def _judge(tree: Node) -> None:
+    """What the nodes hold, from the leaves up.
 
-def _holds_article(node: Node) -> bool:
-    """An article inside something marked by its class: a frame of the page, not a part to leave out."""
-    return any(c.tag in MAIN and c.key.endswith("+") or _holds_article(c) for c in node.children)
+    ``frames``: an article of its own element inside, so a mark on it is the page's frame.
+    ``unchanged``: all texts are links or never change; ``fixed``: over many different pages.
+    ``marked``: a mark of the article inside, but for those in parts to leave out.
+    """
+    for node in reversed(list(tree.walk())):
+        if node.key == "#text":
+            node.unchanged = node.text is not None and not node.repeated
+            node.fixed = node.unchanged and node.many
+            continue
+        link = node.tag == "a"
+        node.unchanged = link or all(c.unchanged for c in node.children)
+        node.fixed = link or all(c.fixed for c in node.children)
+        node.frames = any(c.frames or c.tag in MAIN and c.key.endswith("+") for c in node.children)
+        node.marked = any(
+            c.marked or c.key.endswith("+") for c in node.children
+            if c.frames or not (c.key[-1] in "-~" or c.key.endswith("?") and c.fixed)
+        )
 
 
 def main_slots(tree: Node, page: bool = False) -> None:
@@ -234,7 +244,10 @@ def main_slots(tree: Node, page: bool = False) -> None:
     part of a compound. All texts of such a part must be of that kind.
     """
 
-    def walk(node: Node, in_body: bool, in_article: bool, surplus: bool, in_link: bool) -> None:
+    _judge(tree)
+    waiting = [(tree, True, False, False, False)]
+    while waiting:
+        node, in_body, in_article, surplus, in_link = waiting.pop()
         for child in node.children:
             link = in_link or child.tag == "a"
             if child.key == "#text":
@@ -243,14 +256,12 @@ def main_slots(tree: Node, page: bool = False) -> None:
                 if surplus and link:
                     child.text = None
             elif _not_article(child) and not (in_article and (child.tag == "header" or child.key.endswith("~"))):
-                if child.tag not in SKIPPED and not in_article and _holds_article(child):
-                    walk(child, False, in_article, surplus, link)
+                if child.tag not in SKIPPED and not in_article and child.frames:
+                    waiting.append((child, False, in_article, surplus, link))
             else:
-                doubted = not page and child.key[-1] in "~?" and not _holds_article(child)
-                walk(child, in_body, in_article or child.key.endswith("+"),
-                     surplus or doubted and _surplus(child, in_link, child.key.endswith("?")), link)
-
-    walk(tree, True, False, False, False)
+                doubted = not page and child.key[-1] in "~?" and not child.frames
+                still = in_link or (child.fixed if child.key.endswith("?") else child.unchanged)
+                waiting.append((child, in_body, in_article or child.key.endswith("+"), surplus or doubted and still, link))
 
 
 def _pages_of(batches: Iterator[pa.RecordBatch], html_at: int, url_at: int):
@@ -334,7 +345,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(flags) > 10 * HOSTS_HELD:
                     flags.clear()
                 main_slots(shape, page=True)
-                flags[key] = align(wrappers[host], shape, leaves, _marks_article(shape))
+                flags[key] = align(wrappers[host], shape, leaves, shape.marked)
             out.append(_kept(texts, flags[key]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 

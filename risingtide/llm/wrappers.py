@@ -1,7 +1,15 @@
-"""Trees of HTML elements, and their alignment into union-free regular expressions."""
+"""Trees of HTML elements, and their alignment into union-free regular expressions.
+
+Trees may be of any depth and width: nothing recurses, and siblings are aligned in memory
+of the order of their number times its square root, in bits.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+from math import isqrt
+
 # Longest run of siblings that is looked for as a repeated group.
 PERIOD = 4
 # A text that never changes counts as part of the template on a host with so many different pages.
@@ -17,38 +25,44 @@ class Node:
     copies of a page are one, and which of more are held does not matter.
     """
 
-    __slots__ = ("key", "children", "text", "repeated", "optional", "pages", "main", "body", "constant", "surplus", "into", "number")
+    __slots__ = ("key", "children", "text", "repeated", "optional", "pages", "main", "body", "constant", "surplus", "into", "number",
+                 "frames", "fixed", "unchanged", "marked")
 
     def __init__(self, key: str, children: list[Node] | None = None, text: int | None = None):
         self.key, self.children, self.text = key, children if children is not None else [], text
         self.repeated = self.optional = self.main = self.body = self.constant = self.surplus = False
+        self.frames = self.fixed = self.unchanged = self.marked = False
         self.pages, self.into, self.number = frozenset(), None, -1
 
     @property
     def tag(self) -> str:
         return self.key.rstrip("+-~?")
 
+    def walk(self) -> Iterator[Node]:
+        """All nodes of the tree, each before its children, in page order."""
+        waiting = [self]
+        while waiting:
+            node = waiting.pop()
+            yield node
+            waiting.extend(reversed(node.children))
+
     def plain(self) -> list:
-        marks = int(self.repeated) + 2 * int(self.optional)
-        return [self.key, marks, sorted(self.pages), self.text, [c.plain() for c in self.children]]
+        """The nodes in the order of ``walk``, each with the number of its children."""
+        return [[n.key, int(n.repeated) + 2 * int(n.optional), sorted(n.pages), n.text, len(n.children)] for n in self.walk()]
 
     @property
     def many(self) -> bool:
         return len(self.pages) >= TEMPLATE_PAGES
 
     def each_page(self, pages: frozenset[int]) -> None:
-        self.pages = pages
-        for child in self.children:
-            child.each_page(pages)
+        for node in self.walk():
+            node.pages = pages
 
     def shape(self) -> str:
-        inner = "".join(c.shape() for c in self.children)
-        return f"{self.key}{'*' if self.repeated else ''}({inner})" if inner or self.repeated else self.key + ";"
+        return " ".join(f"{n.key}{'*' if n.repeated else ''} {len(n.children)}" for n in self.walk())
 
     def texts(self) -> list[Node]:
-        if self.key == "#text":
-            return [self]
-        return [t for c in self.children for t in c.texts()]
+        return [n for n in self.walk() if n.key == "#text"]
 
     def number_texts(self) -> list[Node]:
         found = self.texts()
@@ -65,35 +79,50 @@ class Node:
 
 
 def read(plain: list) -> Node:
-    node = Node(plain[0], [read(c) for c in plain[4]], plain[3])
-    node.repeated, node.optional, node.pages = bool(plain[1] & 1), bool(plain[1] & 2), frozenset(plain[2])
-    return node
+    root, unfinished = None, []
+    for key, marks, pages, text, n in plain:
+        node = Node(key, None, text)
+        node.repeated, node.optional, node.pages = bool(marks & 1), bool(marks & 2), frozenset(pages)
+        if unfinished:
+            parent = unfinished[-1]
+            parent[0].children.append(node)
+            parent[1] -= 1
+            if not parent[1]:
+                unfinished.pop()
+        else:
+            root = node
+        if n:
+            unfinished.append([node, n])
+    return root
 
 
-def _absorb(one: Node, other: Node) -> None:
-    """Merge ``other`` into ``one``: same key."""
-    other.into = one
-    if one.text != other.text:
-        one.text = None
-    one.repeated |= other.repeated
-    one.optional |= other.optional
-    if not one.many and one.pages != other.pages:
-        one.pages = frozenset(sorted(one.pages | other.pages)[:TEMPLATE_PAGES])
-    one.children = _aligned(one.children, other.children)
+def merge(one: Node, other: Node) -> Node:
+    """``one`` after ``other``, of the same key, was aligned with it."""
+    pairs = [(one, other)]
+    while pairs:
+        left, right = pairs.pop()
+        right.into = left
+        if left.text != right.text:
+            left.text = None
+        left.repeated |= right.repeated
+        left.optional |= right.optional
+        if not left.many and left.pages != right.pages:
+            left.pages = frozenset(sorted(left.pages | right.pages)[:TEMPLATE_PAGES])
+        left.children = _aligned(left.children, right.children, pairs)
+    return one
 
 
-def _aligned(left: list[Node], right: list[Node]) -> list[Node]:
-    """One sequence that both match: common elements merged, the others optional."""
+def _aligned(left: list[Node], right: list[Node], pairs: list[tuple[Node, Node]]) -> list[Node]:
+    """One sequence that both match: the common elements, which ``pairs`` gets to merge, the others optional."""
     if [n.key for n in left] == [n.key for n in right]:
-        for a, b in zip(left, right):
-            _absorb(a, b)
+        pairs.extend(zip(left, right))
         return left
     out, i, j = [], 0, 0
     for a, b in _common([n.key for n in left], [n.key for n in right]):
         for node in (*left[i:a], *right[j:b]):
             node.optional = True
             out.append(node)
-        _absorb(left[a], right[b])
+        pairs.append((left[a], right[b]))
         out.append(left[a])
         i, j = a + 1, b + 1
     for node in (*left[i:], *right[j:]):
@@ -111,38 +140,65 @@ def _common(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     while last < min(len(left), len(right)) - first and left[-1 - last] == right[-1 - last]:
         last += 1
     a, b = left[first: len(left) - last], right[first: len(right) - last]
-    lengths = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            lengths[i][j] = lengths[i + 1][j + 1] + 1 if a[i] == b[j] else max(lengths[i + 1][j], lengths[i][j + 1])
     found, i, j = [(k, k) for k in range(first)], 0, 0
-    while i < len(a) and j < len(b):
+    rows = _Suffixes(a, b)
+    length = rows.length(0, 0) if a and b else 0
+    while length:
         if a[i] == b[j]:
             found.append((first + i, first + j))
-            i, j = i + 1, j + 1
-        elif lengths[i + 1][j] >= lengths[i][j + 1]:
+            i, j, length = i + 1, j + 1, length - 1
+        elif rows.length(i + 1, j) == length:
             i += 1
         else:
             j += 1
     return found + [(len(left) - last + k, len(right) - last + k) for k in range(last)]
 
 
-def merge(one: Node, other: Node) -> Node:
-    """``one`` after ``other`` was aligned with it."""
-    _absorb(one, other)
-    return one
+class _Suffixes:
+    """Lengths of the longest common subsequences of all ends of two sequences.
 
+    A row of the table is one number, a bit for each place of ``b``, counted from its end:
+    zero where the length grows. Every so many rows one is held; the others are worked out
+    again from it, a block at a time.
+    """
 
-def skeleton(node: Node) -> Node:
+    def __init__(self, a: list[str], b: list[str]):
+        self.back, self.width, self.places = a[::-1], len(b), {}
+        for k, key in enumerate(reversed(b)):
+            self.places[key] = self.places.get(key, 0) | 1 << k
+        self.full = (1 << len(b)) - 1
+        self.step = isqrt(len(a)) + 1
+        self.held = [self.full]
+        for first in range(0, len(a), self.step):
+            *_, row = self._rows(first)
+            self.held.append(row)
+        self.block, self.rows = -1, []
+
+    def _rows(self, first: int) -> Iterator[int]:
+        return accumulate(self.back[first: first + self.step], self._next, initial=self.held[first // self.step])
+
+    def _next(self, row: int, key: str) -> int:
+        grown = row & self.places.get(key, 0)
+        return (row + grown | row - grown) & self.full
+
+    def length(self, i: int, j: int) -> int:
+        """That of ``a`` from ``i`` on and ``b`` from ``j`` on."""
+        block, place = divmod(len(self.back) - i, self.step)
+        if block != self.block:
+            self.block, self.rows = block, list(self._rows(block * self.step)) if block * self.step < len(self.back) else [self.held[block]]
+        rest = self.width - j
+        return rest - (self.rows[place] & (1 << rest) - 1).bit_count()
+
+
+def skeleton(root: Node) -> Node:
     """The tree with repeated siblings as one; texts next to each other count as such."""
-    for child in node.children:
-        skeleton(child)
-    kids, period = node.children, 1
-    while period <= PERIOD:
-        kids, changed = _folded(kids, period)
-        period = 1 if changed and period > 1 else period + 1
-    node.children = kids
-    return node
+    for node in reversed(list(root.walk())):
+        kids, period = node.children, 1
+        while 2 * period <= len(kids) and period <= PERIOD:
+            kids, changed = _folded(kids, period)
+            period = 1 if changed and period > 1 else period + 1
+        node.children = kids
+    return root
 
 
 def _folded(kids: list[Node], period: int) -> tuple[list[Node], bool]:
@@ -154,7 +210,7 @@ def _folded(kids: list[Node], period: int) -> tuple[list[Node], bool]:
         run, j = kids[i: i + period], i + period
         while len(run) == period and keys[j: j + period] == keys[i: i + period]:
             for a, b in zip(run, kids[j: j + period]):
-                _absorb(a, b)
+                merge(a, b)
                 a.repeated = True
             j, changed = j + period, True
         if j > i + period:
@@ -175,16 +231,16 @@ def align(wrapper: Node, page: Node, leaves: list[Node], has_article: bool) -> l
     """
     flags: list[bool | int] = [n.main if has_article else n.body for n in leaves]
 
-    def walk(outer: Node, inner: Node) -> None:
+    waiting = [(wrapper, page)]
+    while waiting:
+        outer, inner = waiting.pop()
         for a, b in _common([n.key for n in outer.children], [n.key for n in inner.children]):
             slot, own = outer.children[a], inner.children[b]
             if own.key != "#text":
-                walk(slot, own)
+                waiting.append((slot, own))
             elif flags[own.number]:
                 if slot.surplus and slot.text is None:
                     flags[own.number] = False
                 elif slot.surplus or slot.constant and not has_article:
                     flags[own.number] = slot.text
-
-    walk(wrapper, page)
     return flags

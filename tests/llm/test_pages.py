@@ -3,8 +3,9 @@ import random
 
 import pytest
 
-from risingtide.llm.html import infer_wrappers, main_texts
+from risingtide.llm.html import infer_wrappers, main_texts, parse
 from risingtide.llm.tables import Scratch
+from risingtide.llm.wrappers import _common, read
 from risingtide.llm.warc import LoserTree, archived, capture_index, parse_records, read_archives, url_key, write_archives
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body class="has-sidebar">
@@ -177,3 +178,34 @@ def test_quotes_that_never_end_cost_their_tag_only(spark):
 def test_large_and_negative_ids(spark):
     pages = spark.createDataFrame([(i, f"http://h.example/{i}", "x" * 200) for i in (10**13, -5, 2**62, 0)], "page_id long, url string, html string")
     assert {r["page_id"]: r["refers_to"] for r in archived(pages).collect()} == {-5: None, 0: -5, 10**13: -5, 2**62: -5}
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 100_000 + "inmost text" + "</div>" * 50_000 + " after"
+    wide = ["<body>" + "".join(f"<{k}{i}>{k}{i}</{k}{i}>" for i in range(20_000)) + "<p>end</p></body>" for k in ("x", "y")]
+    open_ = "<p><b>" * 30_000 + "</i>" * 30_000 + "last"
+    found = texts_of(spark, [deep, "<div>flat</div>", *wide, open_])
+    assert found[0] == "inmost text after" and found[1] == "flat" and found[4] == "last"
+    assert found[2] == " ".join(f"x{i}" for i in range(20_000)) + " end" and found[3].startswith("y0 y1 ")
+
+
+def test_common_subsequences_are_longest():
+    rng = random.Random(9)
+
+    def longest(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        return table[0][0]
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 30))] for _ in range(2))
+        pairs = _common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and len(pairs) == longest(a, b)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_trees_are_stored_and_read():
+    tree, _ = parse("<main class=x><p>one</p><p>two <b>three</b></p></main><ul><li>a<li>b</ul>")
+    assert read(tree.plain()).plain() == tree.plain() and [n.key for n in tree.walk()][:3] == ["#root", "main+", "p"]
