@@ -4,8 +4,10 @@ Points lie in cells around pivots, themselves points, about as many as the squar
 of the table. The distance to a query's k-th pivot, and then its k-th neighbour in its
 own cell, bound how far its neighbours can be; by the triangle inequality only cells
 that reach into that bound are looked at, each query with its own bound (after the
-partitioned kNN join of Lu et al., 2012). A cell with many rows is cut into blocks, so
-every task compares two blocks of bounded size and sends on at most k rows per query.
+partitioned kNN join of Lu et al., 2012). Neighbouring cells form regions of bounded
+size, and a query travels once to each region it needs, not to each cell. A cell with
+many rows is cut into blocks, so every task compares two blocks of bounded size, cell by
+cell, and sends on at most k rows per query.
 
 On clustered vectors few pairs are compared. Where all distances are nearly equal, as
 between random vectors of many dimensions, no exact method prunes much, and nearly all
@@ -27,9 +29,36 @@ from risingtide.session import materialise
 
 # The pivots are held by the driver and travel with the tasks; so many at most.
 MAX_PIVOTS = 4_096
-BLOCK = 8_192
+# Rows of a side that one task holds.
+BLOCK = 32_768
 # Query-point pairs compared at once inside a task.
 _PAIRS = 500_000
+# Queries whose candidates a task collects at once.
+_ASKED = 2_048
+
+
+def chunks(rows: int, width: int) -> Iterator[slice]:
+    """Slices of ``rows`` rows, each with about ``_PAIRS`` pairs where a row has ``width`` of them."""
+    step = max(1, _PAIRS // max(1, width))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def regions_of(centres: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
+    """The region of each cell: near cells together, up to ``block`` rows; a larger cell is alone."""
+    region, number = np.zeros(len(centres), dtype=np.int32), 0
+    todo = [np.arange(len(centres))]
+    while todo:
+        cells = todo.pop()
+        if len(cells) == 1 or sizes[cells].sum() <= block:
+            region[cells] = number
+            number += 1
+            continue
+        wide = np.ptp(centres[cells], axis=0).argmax()
+        cells = cells[centres[cells, wide].argsort(kind="stable")]
+        before = np.cumsum(sizes[cells])
+        cut = min(max(1, int(np.searchsorted(before, before[-1] / 2))), len(cells) - 1)
+        todo += [cells[cut:], cells[:cut]]
+    return region
 
 
 def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -37,113 +66,170 @@ def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["vec"].to_numpy()).astype(float)
-            gaps = _distances(x, pivots)
-            cell = gaps.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype(np.int32), gap=gaps[np.arange(len(x)), cell])
+            for part in chunks(len(pdf), len(pivots)):
+                some = pdf.iloc[part]
+                gaps = _distances(np.stack(some["vec"].to_numpy()).astype(float), pivots)
+                cell = gaps.argmin(axis=1)
+                yield some.assign(cell=cell.astype(np.int32), gap=gaps[np.arange(len(some)), cell])
 
     kind = df.schema["id"].dataType.simpleString()
     return df.mapInPandas(assign, f"id {kind}, vec array<double>, cell int, gap double")
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+    """Distances from the differences, a component at a time."""
+    squares = np.zeros((len(x), len(pivots)))
+    for a, b in zip(x.T, pivots.T):
+        gap = a[:, None] - b
+        gap *= gap
+        squares += gap
+    return np.sqrt(squares, out=squares)
 
 
-def _routed(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, k: int) -> DataFrame:
-    """(id, vec, cell, bound) -> (id, vec, target): the other cells that a query's neighbours can lie in.
+def _wanted(gaps: np.ndarray, reach: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Which cells can hold a point within the bound; ``reach`` is a cell's radius, negative without points."""
+    return (gaps - reach <= bound[:, None] + 1e-9 * (1.0 + gaps)) & (reach >= 0)
 
-    ``reach`` is the radius of each cell, negative for one without points.
-    """
+
+def _routed(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, sizes: np.ndarray, region: np.ndarray, k: int) -> DataFrame:
+    """(id, vec, cell, bound) -> (id, vec, cell, bound, target, pairs): the regions of other cells that a
+    query's neighbours can lie in, and how many points these cells hold."""
+    order = region.argsort(kind="stable")
+    starts = np.searchsorted(region[order], np.arange(region.max() + 1))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            gaps = _distances(np.stack(pdf["vec"].to_numpy()).astype(float), pivots)
-            bound = pdf["bound"].fillna(np.inf).to_numpy(dtype=float)
-            if len(pivots) >= k:  # pivots are points, so the k-th nearest of them is a bound as well
-                bound = np.minimum(bound, np.partition(gaps, k - 1, axis=1)[:, k - 1])
-            slack = 1e-9 * (1.0 + gaps)
-            wanted = (gaps - reach <= bound[:, None] + slack) & (reach >= 0)
-            wanted[np.arange(len(pdf)), pdf["cell"].to_numpy()] = False
-            row, target = np.nonzero(wanted)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row], "target": target.astype(np.int32)})
+            for part in chunks(len(pdf), len(pivots)):
+                some = pdf.iloc[part]
+                gaps = _distances(np.stack(some["vec"].to_numpy()).astype(float), pivots)
+                bound = some["bound"].fillna(np.inf).to_numpy(dtype=float)
+                if len(pivots) >= k:  # pivots are points, so the k-th nearest of them is a bound as well
+                    bound = np.minimum(bound, np.partition(gaps, k - 1, axis=1)[:, k - 1])
+                wanted = _wanted(gaps, reach, bound)
+                wanted[np.arange(len(some)), some["cell"].to_numpy()] = False
+                pairs = np.add.reduceat(np.where(wanted, sizes, 0)[:, order], starts, axis=1)
+                row, target = np.nonzero(pairs)
+                for at in range(0, len(row), _ASKED):
+                    r, t = row[at : at + _ASKED], target[at : at + _ASKED]
+                    yield some[["id", "vec", "cell"]].iloc[r].assign(bound=bound[r], target=t.astype(np.int32), pairs=pairs[r, t])
 
     kind = queries.schema["id"].dataType.simpleString()
-    return queries.mapInPandas(route, f"id {kind}, vec array<double>, target int")
+    return queries.mapInPandas(route, f"id {kind}, vec array<double>, cell int, bound double, target int, pairs long")
+
+
+def first_of_rows(k: int, row: np.ndarray, col: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` entries of each row with the smallest gap, ties by column, sorted."""
+    order = np.lexsort((col, gap, row))
+    row, col, gap = row[order], col[order], gap[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], gap[keep]
 
 
 def _nearest_in_block(
-    queries: np.ndarray, points: np.ndarray, k: int
+    queries: np.ndarray, points: np.ndarray, k: int, bound: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and distance of each query's ``k`` nearest points, ties by column.
 
     One matrix product finds the candidates, with room for its rounding; their
-    distances are then taken from the differences.
+    distances are then taken from the differences. Points farther than ``bound``
+    may be left out.
     """
     q2, p2 = (queries**2).sum(axis=1), (points**2).sum(axis=1)
-    rough = q2[:, None] + p2[None, :] - 2.0 * queries @ points.T
-    if len(points) > k:
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (1.0 + q2 + p2.max())
-        row, col = np.nonzero(rough <= limit[:, None])
-    else:
+    rough = queries @ points.T
+    rough *= -2.0
+    rough += q2[:, None]
+    rough += p2
+    limit = np.full(len(queries), np.inf) if bound is None else bound**2
+    if len(points) > k and np.isinf(limit).any():
+        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+    if np.isinf(limit).all():
         row, col = np.nonzero(np.ones_like(rough, dtype=bool))
+    else:
+        limit = limit * (1.0 + 1e-9) + 1e-9 * (1.0 + q2 + p2.max())
+        row, col = np.nonzero(rough <= limit[:, None])
     gap = np.sqrt(((points[col] - queries[row]) ** 2).sum(axis=1))
-    order = np.lexsort((col, gap, row))
-    row, col, gap = row[order], col[order], gap[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = place < k
-    return row[keep], col[keep], gap[keep]
+    return first_of_rows(k, row, col, gap)
+
+
+def _nearest_in_cells(x: np.ndarray, wanted: np.ndarray, bound: np.ndarray, points: np.ndarray, held: list[np.ndarray],
+                      k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_nearest_in_block``, each query only with the cells it wants; ``held`` are the columns of each cell.
+
+    What a cell gives tightens the bound for the next one.
+    """
+    best_gap, best_col = np.full((len(x), k), np.inf), np.zeros((len(x), k), dtype=np.int64)
+    bound = bound.copy()
+    for cell, columns in enumerate(held):
+        asked = np.flatnonzero(wanted[:, cell])
+        if not len(asked) or not len(columns):
+            continue
+        some = points[columns]
+        for part in chunks(len(asked), len(columns)):
+            at = asked[part]
+            row, col, gap = _nearest_in_block(x[at], some, k, bound[at])
+            if not len(row):
+                continue
+            found, row = np.unique(row, return_inverse=True)
+            rows, old = at[found], np.repeat(np.arange(len(found)), k)
+            row, col, gap = first_of_rows(
+                k, np.r_[old, row], np.r_[best_col[rows].ravel(), columns[col]], np.r_[best_gap[rows].ravel(), gap])
+            best_gap[rows], best_col[rows] = gap.reshape(-1, k), col.reshape(-1, k)
+            bound[rows] = np.minimum(bound[rows], best_gap[rows, -1])
+    row, place = np.nonzero(np.isfinite(best_gap))
+    return row, best_col[row, place], best_gap[row, place]
 
 
-def _in_blocks(q: DataFrame, p: DataFrame, k: int, block: int, result: str) -> tuple[DataFrame, int]:
-    """The ``k`` nearest for every query of (id, vec, target) among the points of that cell, and the pairs compared.
+def blocked(q: DataFrame, p: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their blocks ``qb`` and ``pb`` of each ``target``: every pair of blocks meets once.
 
-    Both are stored tables. The sizes of the cells, one row each, are read by the driver.
+    Both are stored tables. The sizes of the targets, one row each, are read by the driver.
     """
-    spark = q.sparkSession
-    q_count = {r["target"]: r["n"] for r in q.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
-    p_count = {r["cell"]: r["n"] for r in p.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    grid = spark.createDataFrame(
-        [(c, -(-n // block), -(-p_count[c] // block)) for c, n in q_count.items() if c in p_count],
+    q_count, p_count = ({r["target"]: r["n"] for r in side.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()} for side in (q, p))
+    grid = F.broadcast(q.sparkSession.createDataFrame(
+        [(t, -(-n // block), -(-p_count[t] // block)) for t, n in q_count.items() if t in p_count],
         "target int, q_blocks int, p_blocks int",
-    )
+    ))
+
+    def cut(side: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}b")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}b")
+        return side.join(grid, "target").select(*side.columns, mine, every)
+
+    return cut(q, "q", "p"), cut(p, "p", "q")
 
-    def block_of(blocks: str):
-        return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
 
-    q_side = q.join(F.broadcast(grid), "target").select(
-        "id", "vec", "target", block_of("q_blocks").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("pb"))
-    p_side = p.withColumnRenamed("cell", "target").join(F.broadcast(grid), "target").select(
-        "id", "vec", "target", block_of("p_blocks").alias("pb"),
-        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"))
+def _in_blocks(q: DataFrame, p: DataFrame, k: int, block: int, result: str, pivots: np.ndarray, reach: np.ndarray) -> DataFrame:
+    """The ``k`` nearest for every query of (id, vec, cell, bound, target) among the points of that region.
+
+    Without a bound only the query's own cell is looked at, with one only the others.
+    """
 
     def compare(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "point_id": [], "distance": []})
         right = right.sort_values("id")
-        vectors = np.stack(right["vec"].to_numpy()).astype(float)
-        ids, asked = right["id"].to_numpy(), left["id"].to_numpy()
-        wanted = np.stack(left["vec"].to_numpy()).astype(float)
-        step = max(1, _PAIRS // len(vectors))
-        parts = [
-            (at, *_nearest_in_block(wanted[at : at + step], vectors, k)) for at in range(0, len(wanted), step)
-        ]
-        return pd.DataFrame(
-            {
-                "query_id": np.concatenate([asked[at + row] for at, row, _, _ in parts]),
-                "point_id": np.concatenate([ids[col] for _, _, col, _ in parts]),
-                "distance": np.concatenate([gap for _, _, _, gap in parts]),
-            }
-        )
+        points, ids = np.stack(right["vec"].to_numpy()).astype(float), right["id"].to_numpy()
+        of = right["cell"].to_numpy()
+        cells = np.unique(of)
+        order = of.argsort(kind="stable")
+        held = np.split(order, np.searchsorted(of[order], cells[1:]))
+        parts = []
+        for at in range(0, len(left), _ASKED):
+            some = left.iloc[at : at + _ASKED]
+            x, bound = np.stack(some["vec"].to_numpy()).astype(float), some["bound"].to_numpy(dtype=float)
+            wanted = some["cell"].to_numpy()[:, None] == cells
+            if np.isnan(bound).all():
+                bound = np.full(len(x), np.inf)
+            else:
+                wanted = ~wanted & _wanted(_distances(x, pivots[cells]), reach[cells], bound)
+            row, col, gap = _nearest_in_cells(x, wanted, bound, points, held, k)
+            parts.append((some["id"].to_numpy()[row], ids[col], gap))
+        return pd.DataFrame({
+            name: np.concatenate([part[i] for part in parts]) for i, name in enumerate(("query_id", "point_id", "distance"))})
 
     keys = ["target", "qb", "pb"]
-    found = q_side.groupBy(*keys).cogroup(p_side.groupBy(*keys)).applyInPandas(compare, result)
-    return found, sum(n * p_count.get(c, 0) for c, n in q_count.items())
+    left, right = blocked(q, p, block)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, result)
 
 
 def nearest_neighbours(
@@ -182,18 +268,27 @@ def nearest_neighbours(
         return spark.createDataFrame([], result + ", rank int")
     centres = np.array([row["vec"] for row in chosen], dtype=float)
     q, p = (materialise(_in_cells(df, centres), "cells") for df in (q_raw, p_raw))
-    reach = np.full(len(centres), -1.0)
-    for r in p.groupBy("cell").agg(F.max("gap").alias("r")).collect():
-        reach[r["cell"]] = r["r"]
-
-    own, first = _in_blocks(q.withColumnRenamed("cell", "target"), p, k, block, result)
+    reach, sizes = np.full(len(centres), -1.0), np.zeros(len(centres), dtype=np.int64)
+    for r in p.groupBy("cell").agg(F.max("gap").alias("r"), F.count(F.lit(1)).alias("n")).collect():
+        reach[r["cell"]], sizes[r["cell"]] = r["r"], r["n"]
+    # The region of each cell: MAX_PIVOTS rows at most.
+    region = regions_of(centres, sizes, block)
+    cells = [(i, int(r), int(n)) for i, (r, n) in enumerate(zip(region, sizes))]
+
+    def targeted(side: DataFrame) -> DataFrame:
+        return side.join(F.broadcast(spark.createDataFrame(cells, "cell int, target int, pairs long")), "cell")
+
+    p = targeted(p).select("id", "vec", "cell", "target")
+    alone = targeted(q).select("id", "vec", "cell", F.lit(None).cast("double").alias("bound"), "target", "pairs")
+    own = _in_blocks(alone, p, k, block, result, centres, reach)
     near = materialise(top_per_group(own, ["query_id"], [F.asc("distance"), F.asc("point_id")], k, "rank"), "own-cell")
     bounds = near.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("bound"))
     bounded = q.join(bounds, q["id"] == bounds["query_id"], "left").select("id", "vec", "cell", "bound")
-    routed = materialise(_routed(bounded, centres, reach, k), "routed")
-    others, second = _in_blocks(routed, p, k, block, result)
+    routed = materialise(_routed(bounded, centres, reach, sizes, region, k), "routed")
+    others = _in_blocks(routed, p, k, block, result, centres, reach)
     if said is not None:
-        said.update(pairs=first + second, pivots=len(centres))
+        pairs = sum(side.agg(F.sum("pairs")).first()[0] or 0 for side in (alone, routed))
+        said.update(pairs=pairs, pivots=len(centres))
     both = near.drop("rank").unionByName(others)
     return top_per_group(both, ["query_id"], [F.asc("distance"), F.asc("point_id")], k, "rank")
 

@@ -9,8 +9,9 @@ random projections. A query looks at a stated number of cells:
    the angle between two vectors, and with their norms the distance. Only where this
    estimate, less ``SLACK`` of its deviations, lies within the bound is the distance taken.
 
-No cell ever emits its pairs: a task compares one block of a cell with the queries that
-probe it, and sends on at most k rows per query. ``probes_for`` finds the number of cells
+No cell ever emits its pairs: near cells form regions of bounded size, a query travels once
+to each region with the list of its cells there, and a task compares one block of a region
+with a block of queries, cell by cell, and sends on at most k rows per query. ``probes_for`` finds the number of cells
 to probe: the fewest that hold a target share of the true neighbours of up to ``ASKED``
 queries, which are compared with all rows, inside the partitions, for that purpose.
 
@@ -30,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from risingtide.functions.vectors import finite
+from risingtide.operators.neighbours import _ASKED, BLOCK, blocked, chunks, first_of_rows, regions_of
 from risingtide.operators.ranking import top_per_group
 from risingtide.session import materialise
 
@@ -42,9 +44,6 @@ SLACK = 0.5
 # Queries that set the number of probes.
 ASKED = 256
 TARGET = 0.97
-BLOCK = 8_192
-# Query-point pairs looked at together inside a task.
-_PAIRS = 500_000
 
 
 @dataclass
@@ -105,10 +104,11 @@ def build_index(points: DataFrame, id_col: str = "id", vector: str = "features",
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                x = _vectors(pdf["vec"])
+            for part in chunks(len(pdf), len(own.centroids)):
+                some = pdf.iloc[part]
+                x = _vectors(some["vec"])
                 norm, sketch = own.sketch(x)
-                yield pdf.assign(cell=_squares(x, own.centroids).argmin(axis=1).astype(np.int32), norm=norm,
+                yield some.assign(cell=_squares(x, own.centroids).argmin(axis=1).astype(np.int32), norm=norm,
                                  sketch=[s.tobytes() for s in sketch])
 
     own = CellIndex(index.centroids, index.middle, index.planes, None)
@@ -150,29 +150,14 @@ def _cosines(bits: int, slack: float) -> np.ndarray:
     return np.cos(np.pi * sure / bits)
 
 
-def _probe(index: CellIndex, queries: DataFrame, k: int, slack: float, block: int, result: str) -> DataFrame:
-    """(id, vec, bound, target) -> at most ``k`` rows per query and block of the cell ``target``.
+def _probe(index: CellIndex, queries: DataFrame, region: np.ndarray, k: int, slack: float, block: int, result: str) -> DataFrame:
+    """(id, vec, bound, target, cells) -> at most ``k`` rows per query and block of the region ``target``.
 
     The first row of each query and block tells how many distances were taken; it has no
     point where none was near enough.
     """
-    spark = queries.sparkSession
-    # One row per cell, MAX_CELLS at most.
-    asked = queries.groupBy("target").agg(F.count(F.lit(1)).alias("q_rows"))
-    held = index.table.groupBy(F.col("cell").alias("target")).agg(F.count(F.lit(1)).alias("p_rows"))
-    sizes = asked.join(held, "target").collect()
-    grid = F.broadcast(spark.createDataFrame(
-        [(r["target"], -(-r["q_rows"] // block), -(-r["p_rows"] // block)) for r in sizes],
-        "target int, q_blocks int, p_blocks int"))
-
-    def part(blocks: str):
-        return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-
-    left = queries.join(grid, "target").select("id", "vec", "bound", "target", part("q_blocks").alias("qb"), F.explode(
-        F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("pb"))
-    right = index.table.withColumnRenamed("cell", "target").join(grid, "target").select(
-        "id", "vec", "norm", "sketch", "target", part("p_blocks").alias("pb"),
-        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"))
+    targets = queries.sparkSession.createDataFrame([(i, int(r)) for i, r in enumerate(region)], "cell int, target int")
+    points = index.table.join(F.broadcast(targets), "cell").select("id", "vec", "norm", "sketch", "cell", "target")
     own = CellIndex(index.centroids, index.middle, index.planes, None)
     bits = index.planes.shape[1]
 
@@ -182,34 +167,46 @@ def _probe(index: CellIndex, queries: DataFrame, k: int, slack: float, block: in
         points = points.sort_values("id")
         ids, x, norm = points["id"].to_numpy(), _vectors(points["vec"]), points["norm"].to_numpy()
         sketch = np.frombuffer(b"".join(points["sketch"]), dtype=np.uint64).reshape(len(points), -1)
+        of = points["cell"].to_numpy()
+        cells, order = np.unique(of), of.argsort(kind="stable")
+        held = np.split(order, np.searchsorted(of[order], cells[1:]))
         likely, out = _cosines(bits, slack), []
-        wanted, bound = _vectors(asked["vec"]), asked["bound"].fillna(np.inf).to_numpy()
-        step = max(1, _PAIRS // len(points))
-        for a in range(0, len(asked), step):
-            q, limit = wanted[a: a + step], bound[a: a + step, None]
-            q_norm, q_sketch = own.sketch(q)
-            differ = np.zeros((len(q), len(points)), dtype=np.int64)
-            for word in range(sketch.shape[1]):
-                differ += np.bitwise_count(q_sketch[:, word, None] ^ sketch[None, :, word])
-            least = q_norm[:, None] ** 2 + norm ** 2 - 2 * q_norm[:, None] * norm * likely[differ]
-            row, col = np.nonzero(least <= limit ** 2)
-            taken = np.bincount(row, minlength=len(q))
-            gap = np.sqrt(((x[col] - q[row]) ** 2).sum(axis=1))
-            near = gap <= limit[row, 0]
-            row, col, gap = row[near], col[near], gap[near]
-            order = np.lexsort((col, gap, row))
-            row, col, gap = row[order], col[order], gap[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col, gap, place = (v[place < k] for v in (row, col, gap, place))
-            none = np.setdiff1d(np.arange(len(q)), row)
+        for a in range(0, len(asked), _ASKED):
+            some = asked.iloc[a: a + _ASKED]
+            wanted, bound = _vectors(some["vec"]), some["bound"].fillna(np.inf).to_numpy()
+            q_norm, q_sketch = own.sketch(wanted)
+            lists = some["cells"].to_numpy()
+            row, flat = np.repeat(np.arange(len(some)), [len(c) for c in lists]), np.concatenate(lists)
+            place = np.minimum(np.searchsorted(cells, flat), len(cells) - 1)
+            probes = np.zeros((len(some), len(cells)), dtype=bool)
+            probes[row, place] = cells[place] == flat
+            taken, near = np.zeros(len(some), dtype=np.int64), []
+            for cell, columns in enumerate(held):
+                rows = np.flatnonzero(probes[:, cell])
+                for part in chunks(len(rows), len(columns)):
+                    q = rows[part]
+                    differ = np.zeros((len(q), len(columns)), dtype=np.int64)
+                    for word in range(sketch.shape[1]):
+                        differ += np.bitwise_count(q_sketch[q, word, None] ^ sketch[None, columns, word])
+                    least = q_norm[q, None] ** 2 + norm[columns] ** 2 - 2 * q_norm[q, None] * norm[columns] * likely[differ]
+                    r, c = np.nonzero(least <= bound[q, None] ** 2)
+                    r, c = q[r], columns[c]
+                    taken += np.bincount(r, minlength=len(some))
+                    gap = np.sqrt(((x[c] - wanted[r]) ** 2).sum(axis=1))
+                    hit = gap <= bound[r]
+                    near.append(first_of_rows(k, r[hit], c[hit], gap[hit]))
+            row, col, gap = first_of_rows(k, *(np.concatenate(v) for v in zip(*near))) if near else (np.zeros(0, int),) * 3
+            none = np.setdiff1d(np.arange(len(some)), row)
+            first = np.r_[True, row[1:] != row[:-1]][:len(row)]
             out.append(pd.DataFrame({
-                "query_id": asked["id"].to_numpy()[a + np.concatenate([row, none])],
+                "query_id": some["id"].to_numpy()[np.concatenate([row, none])],
                 "point_id": pd.Series([*ids[col], *[None] * len(none)], dtype="object"),
                 "distance": np.concatenate([gap, np.full(len(none), np.nan)]),
-                "compared": np.concatenate([np.where(place == 0, taken[row], 0), taken[none]]).astype(np.int64)}))
+                "compared": np.concatenate([np.where(first, taken[row], 0), taken[none]]).astype(np.int64)}))
         return pd.concat(out)
 
     keys = ["target", "qb", "pb"]
+    left, right = blocked(queries, points, block)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, result)
 
 
@@ -232,28 +229,41 @@ def probed_neighbours(
     probes = min(probes or probes_for(index, q, k, target), len(index.centroids))
     own = CellIndex(index.centroids, index.middle, index.planes, None)
 
+    # One number per cell, MAX_CELLS at most.
+    sizes = np.zeros(len(index.centroids), dtype=np.int64)
+    for r in index.table.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["cell"]] = r["n"]
+    region = regions_of(index.centroids, sizes, block)
+
     def route(first: int, last: int):
         def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if len(pdf):
-                    cells = own.order(_vectors(pdf["vec"]))[:, first:last]
-                    row = np.repeat(np.arange(len(pdf)), cells.shape[1])
-                    yield pdf.iloc[row].assign(target=cells.reshape(-1).astype(np.int32))
+                for part in chunks(len(pdf), len(sizes)):
+                    some = pdf.iloc[part]
+                    cells = own.order(_vectors(some["vec"]))[:, first:last]
+                    row, cells = np.repeat(np.arange(len(some)), cells.shape[1]), cells.reshape(-1)
+                    row, cells = row[sizes[cells] > 0], cells[sizes[cells] > 0]
+                    order = np.lexsort((cells, region[cells], row))
+                    row, cells = row[order], cells[order].astype(np.int32)
+                    if not len(row):
+                        continue
+                    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (region[cells[1:]] != region[cells[:-1]])])
+                    lists = np.split(cells, starts[1:])
+                    yield some.iloc[row[starts]].assign(target=region[cells[starts]], cells=lists, pairs=np.add.reduceat(sizes[cells], starts))
 
         return routed
 
-    kind = f"id {q_kind}, vec array<double>, bound double, target int"
-    near = q.withColumn("bound", F.lit(float("inf"))).mapInPandas(route(0, min(FIRST, probes)), kind)
-    near = materialise(_probe(index, near, k, slack, block, result), "near")
+    kind = f"id {q_kind}, vec array<double>, bound double, target int, cells array<int>, pairs long"
+    near = materialise(q.withColumn("bound", F.lit(float("inf"))).mapInPandas(route(0, min(FIRST, probes)), kind), "routed")
+    near = materialise(_probe(index, near, region, k, slack, block, result), "near")
     ranked = top_per_group(near.where("point_id IS NOT NULL"), ["query_id"], [F.asc("distance"), F.asc("point_id")], k, "rank")
     ranked = materialise(ranked, "first-cells")
     bounds = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
     bounded = q.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     more = materialise(bounded.select("id", "vec", "bound").mapInPandas(route(FIRST, max(probes, FIRST)), kind), "routed")
-    others = materialise(_probe(index, more, k, slack, block, result), "others")
+    others = materialise(_probe(index, more, region, k, slack, block, result), "others")
     if said is not None:
-        held = index.table.groupBy(F.col("cell").alias("target")).agg(F.count(F.lit(1)).alias("n"))
-        scanned = more.join(held, "target").agg(F.sum("n")).first()[0] or 0
+        scanned = more.agg(F.sum("pairs")).first()[0] or 0
         first, second = (df.agg(F.sum("compared")).first()[0] or 0 for df in (near, others))
         said.update(probes=probes, cells=len(index.centroids), scanned=scanned, compared=first + second)
     both = ranked.drop("rank", "compared").unionByName(others.where("point_id IS NOT NULL").drop("compared"))
