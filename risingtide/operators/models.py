@@ -12,12 +12,17 @@ from risingtide.session import materialise
 
 SEED = 17
 # Train rows of one partition, and the fewest partitions. Both are part of a model: other
-# values sample other rows.
-FIT_ROWS = 1_000_000
+# values sample other rows. A round of boosting reads a partition's binned rows three times,
+# 7 KB a row at 578 features.
+FIT_ROWS = 25_000
 FIT_PARTITIONS = 8
+# MB of node statistics that every task holds at once. Nodes beyond them are split in a later
+# pass, with the same splits where all features are looked at; where a node draws its features,
+# as in a forest, nodes of later passes draw others.
+NODE_MB = 512
 
 
-def decision_tree(label: str = "view_count", depth: int = 15, memory_mb: int = 4096, **more):
+def decision_tree(label: str = "view_count", depth: int = 15, memory_mb: int = NODE_MB, **more):
     return DecisionTreeRegressor(
         maxDepth=depth, maxMemoryInMB=memory_mb, labelCol=label, seed=SEED, **more
     )
@@ -25,7 +30,7 @@ def decision_tree(label: str = "view_count", depth: int = 15, memory_mb: int = 4
 
 def random_forest(
     label: str = "view_count", trees: int = 20, depth: int = 12, share: float = 0.5,
-    memory_mb: int = 4096, **more,
+    memory_mb: int = NODE_MB, **more,
 ):
     return RandomForestRegressor(
         numTrees=trees, maxDepth=depth, maxMemoryInMB=memory_mb, labelCol=label,
@@ -39,7 +44,7 @@ def plain_forest(label: str = "endTrendingDuration", **more):
 
 
 def boosted_trees(
-    label: str = "view_count", depth: int = 15, share: float = 0.5, memory_mb: int = 4096, **more
+    label: str = "view_count", depth: int = 15, share: float = 0.5, memory_mb: int = NODE_MB, **more
 ):
     return GBTRegressor(
         maxDepth=depth, maxMemoryInMB=memory_mb, labelCol=label, subsamplingRate=share,
