@@ -20,29 +20,39 @@ from risingtide.session import materialise
 # Far above the rounds that k-means needs.
 MAX_ROUNDS = 1_000
 # Cells of the alignment tables held at once by a task.
-_CELLS = 4_000_000
+_CELLS = 1_000_000
+# Cells of the alignment tables of all series in one stored file: a round's work is far larger
+# than its bytes, by which Spark would put all series into a few tasks.
+FILE_CELLS = 20_000_000
 
 
 def alignment_table(x: np.ndarray, centroid: np.ndarray) -> np.ndarray:
     """Least total squared cost of aligning each row's prefixes with the centroid's."""
     n, rows = x.shape
     cols = len(centroid)
-    table = np.full((n, rows + 1, cols + 1), np.inf)
-    table[:, 0, 0] = 0.0
-    for i in range(1, rows + 1):
-        for j in range(1, cols + 1):
-            best = np.minimum(table[:, i - 1, j - 1], table[:, i - 1, j])
-            best = np.minimum(best, table[:, i, j - 1])
-            table[:, i, j] = (x[:, i - 1] - centroid[j - 1]) ** 2 + best
-    return table
-
-
-def aligned_sums(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and counts of the values aligned to each centroid position."""
+    # Cell (i, j) is kept at [i + j, i]: a diagonal needs only the two before it, and is worked
+    # out for all its cells and series at once, the series next to each other in memory.
+    skewed = np.empty((rows + cols + 1, rows + 1, n))
+    skewed[1:, 0] = skewed[np.arange(rows + 1), np.arange(rows + 1)] = np.inf
+    skewed[0, 0] = 0.0
+    values = np.ascontiguousarray(x.T)
+    for d in range(2, rows + cols + 1):
+        first, last = max(1, d - cols), min(rows, d - 1)
+        best = np.minimum(skewed[d - 2, first - 1 : last], skewed[d - 1, first - 1 : last])
+        np.minimum(best, skewed[d - 1, first : last + 1], out=best)
+        cost = values[first - 1 : last] - centroid[d - 1 - np.arange(first, last + 1), None]
+        np.multiply(cost, cost, out=cost)
+        np.add(cost, best, out=skewed[d, first : last + 1])
+    diagonal, row, one = skewed.strides
+    return np.lib.stride_tricks.as_strided(skewed, (n, rows + 1, cols + 1), (one, diagonal + row, diagonal))
+
+
+def aligned_sums(x: np.ndarray, table: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of the values aligned to each centroid position, of the rows ``of`` where given."""
     n, rows, cols = len(x), table.shape[1] - 1, table.shape[2] - 1
     sums, hits = np.zeros(cols), np.zeros(cols, dtype=np.int64)
     i, j = np.full(n, rows), np.full(n, cols)
-    live = np.arange(n)
+    live = np.arange(n) if of is None else of
     while len(live):
         a, b = i[live], j[live]
         np.add.at(sums, b - 1, x[live, a - 1])
@@ -79,6 +89,12 @@ def _blocks(pdf: pd.DataFrame, series: str, length: int) -> Iterator[tuple[slice
         yield part, np.stack(pdf[series].iloc[part].to_numpy()).astype(float)
 
 
+def _spread(data: DataFrame, key: str, cells: int, file_cells: int = FILE_CELLS) -> DataFrame:
+    """The stored series again in files of bounded work, a row being ``cells`` table cells."""
+    files = -(-data.count() * cells // file_cells)
+    return materialise(data.repartition(files, key), "spread-series") if files > 1 else data
+
+
 @dataclass
 class WarpedClusters:
     """Result of the clustering: labelled rows, centroids and how it ended."""
@@ -109,6 +125,7 @@ def cluster_series(
         raise ValueError("no series to cluster")
     centroids = np.array([row["__series"] for row in seeds], dtype=float)
     length = centroids.shape[1]
+    data = _spread(data, key, len(seeds) * length**2)
     inertia, rounds, converged, marks = float("inf"), 0, False, None
 
     for rounds in range(1, max_iter + 1):
@@ -126,9 +143,9 @@ def cluster_series(
                     if costs.max() > far:
                         far, farthest = float(costs.max()), x[costs.argmax()]
                     for c in range(k_now):
-                        mine = labels == c
-                        if mine.any():
-                            s, h = aligned_sums(x[mine], tables[c][mine])
+                        mine = np.flatnonzero(labels == c)
+                        if len(mine):
+                            s, h = aligned_sums(x, tables[c], mine)
                             sums[c] += s
                             hits[c] += h
                 yield pd.DataFrame(
