@@ -45,11 +45,13 @@ def tfidf_entries(docs: DataFrame, key: str, tokens: str, keep: TermTest = _any)
     The weight is the count times log((documents + 1) / (documents with the term + 1)).
     ``key`` is unique; documents without a term have no entry. Every document counts.
     """
-    docs = materialise(docs.select(key, tokens), "documents")
+    # Only counts matter; sorted, repeated terms are next to each other and take little room.
+    docs = materialise(docs.select(key, F.sort_array(tokens).alias(tokens)), "documents")
     total = F.lit(docs.count() + 1.0)
     index = term_index(docs, tokens, keep).select(
         "term", "index", "doc_count", F.log(total / (F.col("doc_count") + 1.0)).alias("__idf"))
-    counts = docs.select(key, F.explode_outer(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
+    # Documents are shuffled once, by key: their terms are counted, and later gathered, where they then lie.
+    counts = docs.repartition(key).select(key, F.explode_outer(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
     joined = join_per_key(counts.where("term IS NOT NULL"), index, ["term"], "doc_count")
     return joined.select(key, "index", "term", "count", (F.col("count") * F.col("__idf")).alias("weight"))
 
