@@ -43,10 +43,10 @@ def _videos(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _country_files(spark: SparkSession, folder: str) -> str:
-    """One file per return flag, named after it twice: AA_videos.csv, NN_videos.csv, RR_videos.csv."""
+    """One file, or folder of files, per return flag, named after it twice: AA_videos.csv, NN_videos.csv, RR_videos.csv."""
     root, videos = work_path(spark, "countries"), _videos(spark, folder)
     for flag in ("A", "N", "R"):
-        write_csv_file(videos.where(F.col("l_returnflag") == flag).drop("l_returnflag"), f"{root}/{flag}{flag}_videos.csv")
+        write_csv_file(videos.where(F.col("l_returnflag") == flag).drop("l_returnflag"), f"{root}/{flag}{flag}_videos.csv", large=True)
     return root
 
 

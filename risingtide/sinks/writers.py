@@ -10,6 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, DataFrameWriter
 
+# Rows of one CSV file. A file with line breaks inside quotes is read by one task.
+FILE_ROWS = 100_000
+
 
 def _writer(df: DataFrame, mode: str, partition_by: Sequence[str], replace_partitions: bool) -> DataFrameWriter:
     writer = df.write.mode(mode)
@@ -28,18 +31,24 @@ def write_csv(
 ) -> None:
     """CSV with a header, quoting what needs it.
 
-    ``single_file`` is for small reports; large tables keep one file per task.
+    ``single_file`` is for small reports; of large tables every task writes files of at
+    most ``FILE_ROWS`` rows.
     """
-    _writer(df.coalesce(1) if single_file else df, mode, partition_by, replace_partitions).csv(
+    writer = _writer(df.coalesce(1) if single_file else df, mode, partition_by, replace_partitions)
+    if not single_file:
+        writer = writer.option("maxRecordsPerFile", FILE_ROWS)
+    writer.csv(
         path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
 
-def write_csv_file(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv_file(df: DataFrame, path: str, mode: str = "overwrite", large: bool = False) -> None:
     """One CSV file of exactly this name, e.g. ``US_videos.csv``, whose name readers look at.
 
     The rows are written by one task beside it and the file is then moved into place, so
-    readers never see half of it. With ``ignore`` a file that exists is kept.
+    readers never see half of it. With ``ignore`` a file that exists is kept. A ``large``
+    table is written by all tasks, and the name is then that of a folder with files of at most
+    ``FILE_ROWS`` rows, which readers take like a file.
     """
     spark = df.sparkSession
     files = spark._jvm.org.apache.hadoop.fs
@@ -47,7 +56,11 @@ def write_csv_file(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if mode == "ignore" and store.exists(target):
         return
-    write_csv(df, aside.toString(), single_file=True)
+    write_csv(df, aside.toString(), single_file=not large)
+    if large:
+        store.delete(target, True)
+        store.rename(aside, target)
+        return
     (part,) = [f.getPath() for f in store.listStatus(aside) if f.getPath().getName().startswith("part-")]
     store.delete(target, True)
     store.rename(part, target)
