@@ -35,6 +35,8 @@ BLOCK = 32_768
 _PAIRS = 500_000
 # Queries whose candidates a task collects at once.
 _ASKED = 2_048
+# Numbers of the differences that a task holds at once; of copies of a vector every pair is a candidate.
+_NUMBERS = 500_000
 
 
 def chunks(rows: int, width: int) -> Iterator[slice]:
@@ -125,6 +127,28 @@ def first_of_rows(k: int, row: np.ndarray, col: np.ndarray, gap: np.ndarray) ->
     return row[keep], col[keep], gap[keep]
 
 
+def gaps_of(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The distance of ``x[row]`` and ``y[col]`` for each of many pairs, from the differences."""
+    gap, step = np.empty(len(row)), max(1, _NUMBERS // max(1, x.shape[1]))
+    for at in range(0, len(row), step):
+        away = y[col[at : at + step]]
+        away -= x[row[at : at + step]]
+        away *= away
+        gap[at : at + step] = np.sqrt(away.sum(axis=1))
+    return gap
+
+
+def first_copies(points: np.ndarray, k: int) -> np.ndarray:
+    """The rows of ``points`` but for those that ``k`` equal rows precede, in order."""
+    if not points.shape[1]:
+        return np.arange(min(k, len(points)))
+    whole = np.ascontiguousarray(points).view(np.dtype((np.void, points.dtype.itemsize * points.shape[1]))).ravel()
+    copy = np.unique(whole, return_inverse=True)[1]
+    order = copy.argsort(kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(copy[order], copy[order])
+    return np.sort(order[place < k])
+
+
 def _nearest_in_block(
     queries: np.ndarray, points: np.ndarray, k: int, bound: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +171,7 @@ def _nearest_in_block(
     else:
         limit = limit * (1.0 + 1e-9) + 1e-9 * (1.0 + q2 + p2.max())
         row, col = np.nonzero(rough <= limit[:, None])
-    gap = np.sqrt(((points[col] - queries[row]) ** 2).sum(axis=1))
-    return first_of_rows(k, row, col, gap)
+    return first_of_rows(k, row, col, gaps_of(queries, points, row, col))
 
 
 def _nearest_in_cells(x: np.ndarray, wanted: np.ndarray, bound: np.ndarray, points: np.ndarray, held: list[np.ndarray],
@@ -208,8 +231,10 @@ def _in_blocks(q: DataFrame, p: DataFrame, k: int, block: int, result: str, pivo
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "point_id": [], "distance": []})
         right = right.sort_values("id")
-        points, ids = np.stack(right["vec"].to_numpy()).astype(float), right["id"].to_numpy()
-        of = right["cell"].to_numpy()
+        points = np.stack(right["vec"].to_numpy()).astype(float)
+        # Of equal points only the k with the smallest ids can be among the nearest.
+        kept = first_copies(points, k)
+        points, ids, of = points[kept], right["id"].to_numpy()[kept], right["cell"].to_numpy()[kept]
         cells = np.unique(of)
         order = of.argsort(kind="stable")
         held = np.split(order, np.searchsorted(of[order], cells[1:]))

@@ -1,5 +1,7 @@
 """What a task holds, reads or sends does not follow the size of a file, a group or the table."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -50,6 +52,23 @@ def test_probed_cells_in_regions(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) == 90
 
 
+def test_copies_of_a_vector_are_compared_in_little_memory():
+    x = np.ones((700, 64))
+    tracemalloc.start()
+    row, col, gap = neighbours._nearest_in_block(x, x, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and (col.reshape(700, 5) == np.arange(5)).all() and not gap.any()
+
+
+def test_only_the_first_copies_are_compared(spark):
+    assert neighbours.first_copies(np.array([[1.0, 2], [0, 0], [1, 2], [1, 2], [0, 0], [3, 3]]), 2).tolist() == [0, 1, 2, 4, 5]
+    points = np.array([[0.0, 0], [5, 5], [0, 0], [0, 0], [1, 0], [0, 0]])
+    for block in (2, 100):
+        got = neighbours.nearest_neighbours(frame(spark, np.zeros((3, 2))), frame(spark, points), 3, block=block)
+        assert rows(got.select("query_id", "point_id", "distance")) == [(q, p, 0.0) for q in range(3) for p in (0, 2, 3)]
+
+
 def test_series_are_spread_by_their_work(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 6)))], "id long, s array<double>").coalesce(1)
