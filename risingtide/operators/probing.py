@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from risingtide.functions.vectors import finite
-from risingtide.operators.neighbours import _ASKED, BLOCK, blocked, chunks, first_of_rows, regions_of
+from risingtide.operators.neighbours import _ASKED, BLOCK, blocked, chunks, first_of_rows, gaps_of, regions_of
 from risingtide.operators.ranking import top_per_group
 from risingtide.session import materialise
 
@@ -192,7 +192,7 @@ def _probe(index: CellIndex, queries: DataFrame, region: np.ndarray, k: int, sla
                     r, c = np.nonzero(least <= bound[q, None] ** 2)
                     r, c = q[r], columns[c]
                     taken += np.bincount(r, minlength=len(some))
-                    gap = np.sqrt(((x[c] - wanted[r]) ** 2).sum(axis=1))
+                    gap = gaps_of(wanted, x, r, c)
                     hit = gap <= bound[r]
                     near.append(first_of_rows(k, r[hit], c[hit], gap[hit]))
             row, col, gap = first_of_rows(k, *(np.concatenate(v) for v in zip(*near))) if near else (np.zeros(0, int),) * 3

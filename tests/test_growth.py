@@ -69,6 +69,16 @@ def test_only_the_first_copies_are_compared(spark):
         assert rows(got.select("query_id", "point_id", "distance")) == [(q, p, 0.0) for q in range(3) for p in (0, 2, 3)]
 
 
+def test_probed_copies_of_a_vector_take_little_memory(spark):
+    x = np.ones((700, 64))
+    row, col = np.divmod(np.arange(490_000), 700)
+    tracemalloc.start()
+    gap = probing.gaps_of(x, 2 * x, row, col)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and (gap == 8).all()
+
+
 def test_series_are_spread_by_their_work(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 6)))], "id long, s array<double>").coalesce(1)
