@@ -1,8 +1,14 @@
 """k-means on equally long series under dynamic time warping.
 
-Each round is one Spark job over the series: tasks align their series with the
-few centroids and send back sums per centroid position, which Spark adds up.
-Only the centroids, ``k`` arrays, pass through the driver.
+Each round is one Spark job over the series, which are kept in blocks: tasks align their
+series with the few centroids and send back sums per centroid position. Only these sums
+and the centroids, ``k`` arrays, pass through the driver.
+
+A series is always aligned with the centroid that was nearest to it, and with another one
+only where that could have come nearer. Its distances to the centroids of some earlier round
+are kept, and with them a bound: as an alignment has ``length`` cells at least and twice as many
+at most, the distance to a centroid changes by no more than what the centroid has moved along
+such an alignment. Where too many series were in doubt, the distances are taken anew.
 """
 
 from __future__ import annotations
@@ -13,14 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from risingtide.session import materialise
 
 # Far above the rounds that k-means needs.
 MAX_ROUNDS = 1_000
-# Cells of the alignment tables held at once by a task.
-_CELLS = 1_000_000
+# Cells of alignment tables whose moves a task holds at once, two bytes each, and numbers of one diagonal,
+# of which a processor's cache holds a few.
+_CELLS = 4_000_000
+_DIAGONAL = 20_000
+# Parts of a round's sums that the driver adds up by itself.
+_PARTS = 256
 # Cells of the alignment tables of all series in one stored file: a round's work is far larger
 # than its bytes, by which Spark would put all series into a few tasks.
 FILE_CELLS = 20_000_000
@@ -65,12 +76,136 @@ def aligned_sums(x: np.ndarray, table: np.ndarray, of: np.ndarray | None = None)
     return sums, hits
 
 
-def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Label (ties to the lower cluster), squared distance and the tables."""
-    tables = [alignment_table(x, c) for c in centroids]
-    costs = np.stack([t[:, -1, -1] for t in tables], axis=1)
-    labels = costs.argmin(axis=1)
-    return labels, costs[np.arange(len(x)), labels], tables
+class Aligner:
+    """Series of ``rows`` numbers aligned with centroids of ``cols``, up to ``size`` at a time, in buffers used again."""
+
+    def __init__(self, rows: int, cols: int, size: int):
+        self.rows, self.cols, self.size = rows, cols, size
+        self._lines = [np.empty((rows + 1) * size) for _ in range(5)]
+        self._moves = [np.empty((rows + cols + 1) * (rows + 1) * size, dtype=np.uint8) for _ in range(2)]
+
+    def costs(self, x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+        """Least squared cost of aligning each row of ``x`` with the same row of ``centroids``."""
+        parts = [slice(at, at + self.size) for at in range(0, len(x), self.size)]
+        return np.concatenate([np.empty(0), *[self.aligned(x[p], centroids[p]) for p in parts]])
+
+    def aligned(self, x: np.ndarray, centroids: np.ndarray, moves: bool = False) -> np.ndarray:
+        """As ``costs``, of ``size`` rows at most; with ``moves`` they can be walked back.
+
+        Cell (i, j) lies on diagonal i + j, at i, the series next to each other. A diagonal needs only the two before it.
+        """
+        n, rows, cols = len(x), self.rows, self.cols
+        lines = [line[: (rows + 1) * n].reshape(rows + 1, n) for line in self._lines]
+        values, mirrored = np.ascontiguousarray(x.T), np.ascontiguousarray(centroids.T[::-1])
+        if moves:
+            up, left = self._move_tables(n)
+            # Where a walk ends.
+            for table, end in ((up, 0), (left, 2)):
+                table[: cols + 1, 0] = table[np.arange(rows + 1), np.arange(rows + 1)] = end
+            up, left = up.view(bool), left.view(bool)
+        lines[0][0], lines[1][:2] = 0.0, np.inf
+        for d in range(2, rows + cols + 1):
+            first, last = max(1, d - cols), min(rows, d - 1)
+            here, before, corner = lines[d % 3], lines[(d - 1) % 3], lines[(d - 2) % 3]
+            above, beside, diagonal = before[first - 1 : last], before[first : last + 1], corner[first - 1 : last]
+            best, cost = lines[3][first : last + 1], lines[4][first : last + 1]
+            np.minimum(diagonal, above, out=best)
+            if moves:
+                np.less(above, diagonal, out=up[d, first : last + 1])
+                np.less(beside, best, out=left[d, first : last + 1])
+            np.minimum(best, beside, out=best)
+            # Row i meets position d - i of the centroid.
+            np.subtract(values[first - 1 : last], mirrored[cols - d + first : cols - d + last + 1], out=cost)
+            np.multiply(cost, cost, out=cost)
+            np.add(cost, best, out=here[first : last + 1])
+            if d <= cols:
+                here[0] = np.inf
+            if d <= rows:
+                here[d] = np.inf
+        return lines[(rows + cols) % 3][rows].copy()
+
+    def _move_tables(self, n: int) -> list[np.ndarray]:
+        cells = (self.rows + self.cols + 1) * (self.rows + 1) * n
+        return [table[:cells].reshape(-1, self.rows + 1, n) for table in self._moves]
+
+    def add_walks(self, x: np.ndarray, labels: np.ndarray, of: np.ndarray, totals: np.ndarray, hits: np.ndarray) -> None:
+        """Adds the values aligned to each centroid position to ``totals`` and their number to ``hits``.
+
+        Walks back the moves of the rows ``of`` of ``x``, which were aligned last, all a cell at a time.
+        """
+        n, rows, cols = len(x), self.rows, self.cols
+        up, left = (table.ravel() for table in self._move_tables(n))
+        # By up + 2 * left: to the corner, up, beside, beside, and staying.
+        step = np.array([(2 * (rows + 1) + 1) * n, (rows + 2) * n, (rows + 1) * n, (rows + 1) * n, 0, 0])
+        at = ((rows + cols) * (rows + 1) + rows) * n + of
+        path = []
+        while True:
+            path.append(at)
+            move = left.take(at)
+            move += move
+            move += up.take(at)
+            if len(path) >= max(rows, cols) and (move >= 4).all():
+                break
+            at = at - step.take(move)
+        cell, one = np.divmod(np.concatenate(path), n)
+        d, i = np.divmod(cell, rows + 1)
+        met = (i > 0) & (d > i)
+        i, one = i[met], one[met]
+        at = labels[one] * cols + d[met] - i - 1
+        totals += np.bincount(at, x[one, i - 1], totals.size).reshape(totals.shape)
+        hits += np.bincount(at, minlength=hits.size).reshape(hits.shape)
+
+
+def _every_cost(x: np.ndarray, centroids: np.ndarray, aligner: Aligner) -> np.ndarray:
+    """Squared distances of all rows to all centroids."""
+    return np.stack([aligner.costs(x, np.broadcast_to(c, (len(x), len(c)))) for c in centroids], axis=1)
+
+
+def _slack(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """By how much the distance of any series to each centroid can have changed."""
+    moved = (new - old) ** 2
+    return np.sqrt(moved.sum(axis=1) + (moved.shape[1] - 1) * moved.max(axis=1, initial=0.0))
+
+
+@dataclass
+class _Round:
+    """What a round says about some of the series; parts add up."""
+
+    totals: np.ndarray
+    hits: np.ndarray
+    cost: float = 0.0
+    mark: int = 0
+    far: tuple[float, list[float]] = (-1.0, [])
+    series: int = 0
+    again: int = 0
+
+    def __add__(self, other: _Round) -> _Round:
+        return _Round(self.totals + other.totals, self.hits + other.hits, self.cost + other.cost, self.mark + other.mark,
+                      max(self.far, other.far), self.series + other.series, self.again + other.again)
+
+    def add(self, x: np.ndarray, distances: np.ndarray, slack: np.ndarray, centroids: np.ndarray, aligner: Aligner) -> None:
+        """Takes in the rows of ``x``, given their distances to earlier centroids that differ by ``slack``."""
+        every, guess = np.arange(len(x)), distances.argmin(axis=1)
+        costs = np.full(distances.shape, np.inf)
+        costs[every, guess] = own = aligner.aligned(x, centroids[guess], moves=True)
+        # A number that is missing rules nothing out; the margin is for rounding.
+        ruled_out = (distances - slack) * (1.0 - 1e-9) > (np.sqrt(own) * (1.0 + 1e-9))[:, None] + 1e-9
+        ruled_out[every, guess] = True
+        row, c = np.nonzero(~ruled_out)
+        costs[row, c] = aligner.costs(x[row], centroids[c])
+        labels = costs.argmin(axis=1)
+        aligner.add_walks(x, labels, np.flatnonzero(labels == guess), self.totals, self.hits)
+        other = np.flatnonzero(labels != guess)
+        if len(other):
+            aligner.aligned(x[other], centroids[labels[other]], moves=True)
+            aligner.add_walks(x[other], labels[other], np.arange(len(other)), self.totals, self.hits)
+        self.again += len(row) + 2 * len(other)
+        costs = costs[every, labels]
+        self.cost += float(costs.sum())
+        self.mark += _label_mark(x, labels)
+        self.series += len(x)
+        farthest = costs.argmax()
+        self.far = max(self.far, (float(costs[farthest]), x[farthest].tolist()))
 
 
 def _label_mark(x: np.ndarray, labels: np.ndarray) -> int:
@@ -82,8 +217,12 @@ def _label_mark(x: np.ndarray, labels: np.ndarray) -> int:
     return int((mixed >> np.uint64(33)).sum())
 
 
+def _block_rows(length: int) -> int:
+    return max(1, min(_DIAGONAL // (length + 1), _CELLS // (2 * (length + 1) ** 2)))
+
+
 def _blocks(pdf: pd.DataFrame, series: str, length: int) -> Iterator[tuple[slice, np.ndarray]]:
-    size = max(1, _CELLS // ((length + 1) ** 2))
+    size = _block_rows(length)
     for at in range(0, len(pdf), size):
         part = slice(at, at + size)
         yield part, np.stack(pdf[series].iloc[part].to_numpy()).astype(float)
@@ -95,6 +234,42 @@ def _spread(data: DataFrame, key: str, cells: int, file_cells: int = FILE_CELLS)
     return materialise(data.repartition(files, key), "spread-series") if files > 1 else data
 
 
+def _packed(data: DataFrame, length: int) -> RDD:
+    """The series in blocks, as arrays; they are kept while rounds go on."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, x in _blocks(pdf, "__series", length):
+                yield pd.DataFrame({"n": [len(x)], "block": [x.tobytes()]})
+
+    packed = data.select("__series").mapInPandas(pack, "n int, block binary").rdd
+    return packed.map(lambda r: np.frombuffer(r["block"]).reshape(r["n"], length)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _with_distances(blocks: RDD, centroids: np.ndarray) -> RDD:
+    """The blocks with the distances of their series to the centroids, kept as well."""
+    length = centroids.shape[1]
+
+    def measured(part: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        aligner = Aligner(length, length, _block_rows(length))
+        return ((x, np.sqrt(_every_cost(x, centroids, aligner))) for x in part)
+
+    return blocks.mapPartitions(measured).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _summary(known: RDD, slack: np.ndarray, centroids: np.ndarray) -> _Round:
+    length = centroids.shape[1]
+
+    def summarise(part: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[_Round]:
+        aligner = Aligner(length, length, _block_rows(length))
+        found = _Round(np.zeros(centroids.shape), np.zeros(centroids.shape, dtype=np.int64))
+        for x, distances in part:
+            found.add(x, distances, slack, centroids, aligner)
+        yield found
+
+    return known.mapPartitions(summarise).treeReduce(lambda a, b: a + b, 1 if known.getNumPartitions() <= _PARTS else 2)
+
+
 @dataclass
 class WarpedClusters:
     """Result of the clustering: labelled rows, centroids and how it ended."""
@@ -128,75 +303,47 @@ def cluster_series(
     data = _spread(data, key, len(seeds) * length**2)
     inertia, rounds, converged, marks = float("inf"), 0, False, None
 
+    blocks = _packed(data, length)
+    known, measured, doubts = None, centroids, 0
     for rounds in range(1, max_iter + 1):
         current = centroids
-
-        def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            k_now = len(current)
-            for pdf in batches:
-                sums, hits = np.zeros((k_now, length)), np.zeros((k_now, length), dtype=np.int64)
-                cost, mark, far, farthest = 0.0, 0, -1.0, np.zeros(length)
-                for _, x in _blocks(pdf, "__series", length):
-                    labels, costs, tables = nearest(x, current)
-                    cost += float(costs.sum())
-                    mark += _label_mark(x, labels)
-                    if costs.max() > far:
-                        far, farthest = float(costs.max()), x[costs.argmax()]
-                    for c in range(k_now):
-                        mine = np.flatnonzero(labels == c)
-                        if len(mine):
-                            s, h = aligned_sums(x, tables[c], mine)
-                            sums[c] += s
-                            hits[c] += h
-                yield pd.DataFrame(
-                    {
-                        "cluster": np.repeat(np.arange(k_now), length),
-                        "position": np.tile(np.arange(length), k_now),
-                        "total": sums.ravel(),
-                        "hits": hits.ravel(),
-                        "cost": np.r_[cost, np.zeros(k_now * length - 1)],
-                        "mark": np.r_[mark, np.zeros(k_now * length - 1, dtype=np.int64)],
-                        "far": far,
-                        "farthest": np.tile(farthest, k_now),
-                    }
-                )
-
-        parts = data.select("__series").mapInPandas(
-            summarise,
-            "cluster int, position int, total double, hits bigint, cost double, mark bigint, far double, farthest double",
-        )
-        # k * length rows, whatever the number of series.
-        merged = parts.groupBy("cluster", "position").agg(
-            *[F.sum(c).alias(c) for c in ("total", "hits", "cost", "mark")],
-            F.max(F.struct("far", "farthest")).alias("far"),
-        ).collect()
-        inertia = sum(r["cost"] for r in merged)
-        before, marks = marks, sum(r["mark"] for r in merged)
+        if known is None:
+            known, measured, doubts = _with_distances(blocks, current), current, 0
+        found = _summary(known, _slack(measured, current), current)
+        inertia, doubts = found.cost, doubts + found.again
+        before, marks = marks, found.mark
         if marks == before:
             converged = True
             break
         centroids = current.copy()
-        used = {r["cluster"] for r in merged if r["hits"]}
-        for r in merged:
-            if r["hits"]:
-                centroids[r["cluster"], r["position"]] = r["total"] / r["hits"]
-            elif r["cluster"] not in used and r["cluster"] == min(set(range(len(current))) - used):
-                centroids[r["cluster"], r["position"]] = r["far"]["farthest"]
+        used = (found.hits > 0).any(axis=1)
+        centroids[found.hits > 0] = found.totals[found.hits > 0] / found.hits[found.hits > 0]
+        if not used.all():
+            centroids[used.argmin()] = found.far[1]
+        # Distances taken anew cost as much as those taken since, in doubt.
+        if doubts > found.series * len(seeds):
+            known.unpersist()
+            known = None
+    for kept in (known, blocks):
+        if kept is not None:
+            kept.unpersist()
     if not converged:
         warnings.warn(f"clusters still change after {max_iter} rounds", stacklevel=2)
 
     final = centroids
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        aligner = Aligner(length, length, _block_rows(length))
         for pdf in batches:
             for part, x in _blocks(pdf, "__series", length):
-                labels, costs, _ = nearest(x, final)
+                costs = _every_cost(x, final, aligner)
+                labels = costs.argmin(axis=1)
                 yield pd.DataFrame(
                     {
                         key: pdf[key].iloc[part].to_numpy(),
                         series: list(x),
                         "cluster": labels.astype(np.int32),
-                        "distance": np.sqrt(costs),
+                        "distance": np.sqrt(costs[np.arange(len(x)), labels]),
                     }
                 )
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from risingtide.functions.text import TERM_FRAGMENTS, alpha_term, letter_digit_runs
+from risingtide.functions.times import month_start
 from risingtide.operators.distribution import box_stats, exact_tiles, quantiles, quartile_bins
 from risingtide.operators.durations import days_to_trend, trend_durations
 from risingtide.operators.ranking import top_overall
@@ -37,7 +38,9 @@ def share_series(
 ) -> DataFrame:
     """Per key the monthly mean of part/(part+rest), gaps 0, and its z-scores."""
     monthly = monthly_share(df, [key], date, part, rest)
-    series = to_series(monthly, key, "month", "score", period_span(monthly, "month"))
+    # The months of the rows are those of their means, without a shuffle.
+    months = df.select(month_start(date).alias("month"))
+    series = to_series(monthly, key, "month", "score", period_span(months, "month"))
     return with_z_scores(series)
 
 

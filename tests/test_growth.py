@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -109,3 +110,26 @@ def test_documents_are_shuffled_once(spark):
     vectors = indexing.sparse_vectors(indexing.tfidf_entries(docs, "k", "t"), "k")
     assert vectors._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(k#") == 1
     assert rows(vectors.select("k", "positions")) == [(None, [2]), (1, [0, 1]), (2, [0, 2])]
+
+
+def test_a_round_aligns_series_with_their_own_centroid_and_few_others():
+    rng = np.random.default_rng(8)
+    x, old = rng.normal(size=(90, 11)), rng.normal(size=(3, 11))
+    new = old + 0.01 * rng.normal(size=old.shape)
+    aligner = warping.Aligner(11, 11, 90)
+    tables = [warping.alignment_table(x, c) for c in new]
+    costs = np.stack([t[:, -1, -1] for t in tables], axis=1)
+    assert np.array_equal(warping._every_cost(x, new, warping.Aligner(11, 11, 40)), costs)
+    before, slack = np.sqrt(warping._every_cost(x, old, aligner)), warping._slack(old, new)
+    assert (np.abs(np.sqrt(costs) - before) <= slack + 1e-12).all()
+    found = warping._Round(np.zeros(new.shape), np.zeros(new.shape, dtype=np.int64))
+    found.add(x, before, slack, new, aligner)
+    labels = costs.argmin(axis=1)
+    for c in range(3):
+        sums, hits = warping.aligned_sums(x, tables[c], np.flatnonzero(labels == c))
+        assert np.allclose(found.totals[c], sums) and np.array_equal(found.hits[c], hits)
+    assert found.cost == pytest.approx(costs.min(axis=1).sum()) and found.mark == warping._label_mark(x, labels)
+    assert found.series == 90 and found.again < 45
+    sure = warping._Round(np.zeros(new.shape), np.zeros(new.shape, dtype=np.int64))
+    sure.add(x, before, np.full(3, np.inf), new, aligner)
+    assert sure.again >= 180 and np.allclose(sure.totals, found.totals) and sure.far == found.far
