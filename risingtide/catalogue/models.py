@@ -302,7 +302,8 @@ def _duration_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     features = duration_features(
         with_channel_stats(rows, stats), tiebreak=["at.l_orderkey", "at.l_linenumber", "at.l_suppkey"]
     )
-    return split_by_key(features, "video_id", 0.2)
+    # Both sides are read several times; what they are made from is worked out once.
+    return split_by_key(materialise(features, "durations"), "video_id", 0.2)
 
 
 @query()

@@ -1,10 +1,11 @@
 """Exact k nearest neighbours of many query vectors.
 
-Points lie in cells around pivots, themselves points, about as many as the square root
-of the table. The distance to a query's k-th pivot, and then its k-th neighbour in its
-own cell, bound how far its neighbours can be; by the triangle inequality only cells
-that reach into that bound are looked at, each query with its own bound (after the
-partitioned kNN join of Lu et al., 2012). Neighbouring cells form regions of bounded
+Points lie in cells, about as many as the square root of the table: halves of halves of a
+sample, cut between different values. Each has a pivot, itself a point. The distance to a
+query's k-th pivot, or its k-th neighbour in its own cell, bounds how far its neighbours can
+be; only cells whose box and, by the triangle inequality, whose radius around the pivot reach
+into that bound are looked at, each query with its own bound (after the partitioned kNN join
+of Lu et al., 2012). Neighbouring cells form regions of bounded
 size, and a query travels once to each region it needs, not to each cell. A cell with
 many rows is cut into blocks, so every task compares two blocks of bounded size, cell by
 cell, and sends on at most k rows per query.
@@ -29,6 +30,9 @@ from risingtide.session import materialise
 
 # The pivots are held by the driver and travel with the tasks; so many at most.
 MAX_PIVOTS = 4_096
+# Points by which cells are cut: at most so many for each, and so many numbers of them in all.
+_SAMPLED = 16
+_SAMPLED_NUMBERS = 1_000_000
 # Rows of a side that one task holds.
 BLOCK = 32_768
 # Query-point pairs compared at once inside a task.
@@ -37,6 +41,11 @@ _PAIRS = 500_000
 _ASKED = 2_048
 # Numbers of the differences that a task holds at once; of copies of a vector every pair is a candidate.
 _NUMBERS = 500_000
+# Points of the smallest box. Boxes are used where a query looks at no more than this share of them on average.
+_LEAF = 32
+_BOX_SHARE = 0.25
+# Queries by which that is told.
+_TRIED = 64
 
 
 def chunks(rows: int, width: int) -> Iterator[slice]:
@@ -63,21 +72,83 @@ def regions_of(centres: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray
     return region
 
 
-def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(id, vec) -> (id, vec, cell, gap): the nearest pivot and its distance."""
+class Cuts:
+    """Halves of halves of some points, cut between different values, down to parts of ``leaf`` points or equal ones."""
+
+    def __init__(self, points: np.ndarray, leaf: int):
+        self.order = np.arange(len(points))
+        axis, value, below, starts = [], [], [], []
+        todo = [(0, len(points), -1)]
+        while todo:
+            lo, hi, parent = todo.pop()
+            # The lower half of a node is the one after it, the upper half comes after that one's.
+            if parent >= 0:
+                below[parent] = len(axis)
+            some = points[self.order[lo:hi]]
+            wide = some.var(axis=0).argmax() if hi - lo > leaf and some.shape[1] else 0
+            if hi - lo <= leaf or not some.shape[1] or (line := np.sort(some[:, wide]))[0] == line[-1]:
+                axis.append(-1), value.append(0.0), below.append(len(starts)), starts.append(lo)
+                continue
+            middle = line[len(line) // 2]
+            first, after = np.searchsorted(line, middle), np.searchsorted(line, middle, "right")
+            cut = after if first == 0 or (after < len(line) and after + first < len(line)) else first
+            inside = some[:, wide] < line[cut]
+            self.order[lo:hi] = np.r_[self.order[lo:hi][inside], self.order[lo:hi][~inside]]
+            axis.append(wide), value.append(line[cut]), below.append(0)
+            todo += [(lo + cut, hi, len(axis) - 1), (lo, lo + cut, -1)]
+        self.axis, self.value, self.below, self.starts = np.array(axis), np.array(value), np.array(below), np.array(starts)
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        """The part in which each row of ``x`` lies, by number."""
+        node = np.zeros(len(x), dtype=np.int64)
+        while len(inner := np.flatnonzero(self.axis[node] >= 0)):
+            at = node[inner]
+            lower = x[inner, self.axis[at]] < self.value[at]
+            node[inner] = np.where(lower, at + 1, self.below[at])
+        return self.below[node]
+
+
+def _in_cells(df: DataFrame, cuts: Cuts, pivots: np.ndarray) -> DataFrame:
+    """(id, vec) -> (id, vec, cell, gap): the cell and the distance from its pivot."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in chunks(len(pdf), len(pivots)):
+            for part in chunks(len(pdf), 64):
                 some = pdf.iloc[part]
-                gaps = _distances(np.stack(some["vec"].to_numpy()).astype(float), pivots)
-                cell = gaps.argmin(axis=1)
-                yield some.assign(cell=cell.astype(np.int32), gap=gaps[np.arange(len(some)), cell])
+                x = np.stack(some["vec"].to_numpy()).astype(float)
+                cell = cuts.part(x)
+                yield some.assign(cell=cell.astype(np.int32), gap=gaps_of(x, pivots, np.arange(len(x)), cell))
 
     kind = df.schema["id"].dataType.simpleString()
     return df.mapInPandas(assign, f"id {kind}, vec array<double>, cell int, gap double")
 
 
+def _corners(cells: DataFrame) -> tuple[list, list]:
+    """The radius and number of the points of each cell, and the corners of its box by component."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = {}
+        for pdf in batches:
+            x, of = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["cell"].to_numpy()
+            order = of.argsort(kind="stable")
+            cell, at = np.unique(of[order], return_index=True)
+            parts = zip(np.minimum.reduceat(x[order], at), np.maximum.reduceat(x[order], at),
+                        np.maximum.reduceat(pdf["gap"].to_numpy()[order], at), np.diff(np.r_[at, len(of)]))
+            for c, (low, high, reach, n) in zip(cell, parts):
+                old = found.get(c, (low, high, reach, 0))
+                found[c] = np.minimum(old[0], low), np.maximum(old[1], high), max(old[2], reach), old[3] + n
+        if found:
+            low, high, reach, n = zip(*found.values())
+            yield pd.DataFrame({"cell": list(found), "low": list(low), "high": list(high), "reach": reach, "n": n})
+
+    parts = cells.select("vec", "cell", "gap").mapInPandas(fold, "cell int, low array<double>, high array<double>, reach double, n long")
+    # One row per cell and component reaches the driver.
+    corners = parts.select("cell", F.posexplode(F.arrays_zip("low", "high")).alias("pos", "side")).groupBy("cell", "pos").agg(
+        F.min("side.low").alias("low"), F.max("side.high").alias("high"))
+    whole = parts.groupBy("cell").agg(F.max("reach").alias("reach"), F.sum("n").alias("n"))
+    return whole.collect(), corners.collect()
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances from the differences, a component at a time."""
     squares = np.zeros((len(x), len(pivots)))
@@ -90,26 +161,35 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def _wanted(gaps: np.ndarray, reach: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Which cells can hold a point within the bound; ``reach`` is a cell's radius, negative without points."""
-    return (gaps - reach <= bound[:, None] + 1e-9 * (1.0 + gaps)) & (reach >= 0)
+    # Distances that are not known rule nothing out.
+    return ~(gaps - reach > bound + 1e-9 * (1.0 + gaps)) & (reach >= 0)
 
 
-def _routed(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, sizes: np.ndarray, region: np.ndarray, k: int) -> DataFrame:
+def _routed(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, sizes: np.ndarray, region: np.ndarray, k: int,
+            boxes: Boxes | None = None) -> DataFrame:
     """(id, vec, cell, bound) -> (id, vec, cell, bound, target, pairs): the regions of other cells that a
     query's neighbours can lie in, and how many points these cells hold."""
-    order = region.argsort(kind="stable")
-    starts = np.searchsorted(region[order], np.arange(region.max() + 1))
+    regions = int(region.max()) + 1
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in chunks(len(pdf), len(pivots)):
                 some = pdf.iloc[part]
-                gaps = _distances(np.stack(some["vec"].to_numpy()).astype(float), pivots)
-                bound = some["bound"].fillna(np.inf).to_numpy(dtype=float)
-                if len(pivots) >= k:  # pivots are points, so the k-th nearest of them is a bound as well
-                    bound = np.minimum(bound, np.partition(gaps, k - 1, axis=1)[:, k - 1])
-                wanted = _wanted(gaps, reach, bound)
-                wanted[np.arange(len(some)), some["cell"].to_numpy()] = False
-                pairs = np.add.reduceat(np.where(wanted, sizes, 0)[:, order], starts, axis=1)
+                x = np.stack(some["vec"].to_numpy()).astype(float)
+                bound = some["bound"].to_numpy(dtype=float)
+                unknown = np.flatnonzero(np.isnan(bound))
+                bound[unknown] = np.inf
+                if len(unknown) and len(pivots) >= k:  # pivots are points, so the k-th nearest of them is a bound
+                    bound[unknown] = np.partition(_distances(x[unknown], pivots), k - 1, axis=1)[:, k - 1]
+                if boxes is None:
+                    row, cell = (index.ravel() for index in np.indices((len(x), len(pivots))))
+                else:
+                    row, cell, _ = boxes.near(x, bound)
+                other = cell != some["cell"].to_numpy()[row]
+                row, cell = row[other], cell[other]
+                near = _wanted(gaps_of(x, pivots, row, cell), reach[cell], bound[row])
+                row, cell = row[near], cell[near]
+                pairs = np.bincount(row * regions + region[cell], sizes[cell], len(x) * regions).astype(np.int64).reshape(len(x), regions)
                 row, target = np.nonzero(pairs)
                 for at in range(0, len(row), _ASKED):
                     r, t = row[at : at + _ASKED], target[at : at + _ASKED]
@@ -202,6 +282,78 @@ def _nearest_in_cells(x: np.ndarray, wanted: np.ndarray, bound: np.ndarray, poin
     return row, best_col[row, place], best_gap[row, place]
 
 
+class Boxes:
+    """Boxes around points, and around pairs of neighbouring boxes, up to the one around all."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.number = len(low)
+        # Lower and upper corners; what is missing to a power of two is nowhere.
+        missing = ((0, (1 << (len(low) - 1).bit_length()) - len(low)), (0, 0))
+        self.levels = [(np.pad(low, missing, constant_values=np.inf), np.pad(high, missing, constant_values=-np.inf))]
+        while len(self.levels[-1][0]) > 1:
+            low, high = self.levels[-1]
+            self.levels.append((np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])))
+
+    def near(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, box and its distance wherever a box reaches into the bound of a row."""
+        row, box, gap = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        for low, high in self.levels[-2::-1]:
+            row, box = np.repeat(row, 2), np.repeat(2 * box, 2)
+            box[1::2] += 1
+            gap, step = np.empty(len(row)), max(1, _NUMBERS // max(1, x.shape[1]))
+            for at in range(0, len(row), step):
+                some, held = x[row[at : at + step]], box[at : at + step]
+                away = np.maximum(low[held] - some, some - high[held])
+                np.maximum(away, 0.0, out=away)
+                away *= away
+                gap[at : at + step] = np.sqrt(away.sum(axis=1))
+            inside = gap <= bound[row] * (1.0 + 1e-9)
+            row, box, gap = row[inside], box[inside], gap[inside]
+        there = box < self.number
+        return row[there], box[there], gap[there]
+
+
+class Searched(Boxes):
+    """Points in small boxes."""
+
+    def __init__(self, points: np.ndarray):
+        cuts = Cuts(points, _LEAF)
+        self.order, self.starts, self.points = cuts.order, cuts.starts, points[cuts.order]
+        self.sizes = np.diff(np.r_[cuts.starts, len(points)])
+        super().__init__(*(side.reduceat(self.points, cuts.starts) for side in (np.minimum, np.maximum)))
+
+    def useful(self, x: np.ndarray, bound: np.ndarray) -> bool:
+        some = np.unique(np.linspace(0, len(x) - 1, _TRIED).astype(int))
+        return len(self.near(x[some], bound[some])[0]) <= _BOX_SHARE * len(some) * len(self.starts)
+
+    def nearest(self, x: np.ndarray, own: np.ndarray, cells: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_nearest_in_block``, without the points of a query's ``own`` cell; ``cells`` are those of the points.
+
+        Nearer boxes come first, and what they give tightens the bound for the others.
+        """
+        row, box, gap = self.near(x, bound)
+        order = np.lexsort((gap, row))
+        row, box, gap = row[order], box[order], gap[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best, bound, at, turn = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)), bound.copy(), 0, 1
+        while at <= place.max(initial=-1):
+            asked = np.flatnonzero((place >= at) & (place < at + turn) & (gap <= bound[row] * (1.0 + 1e-9)))
+            at, turn = at + turn, 2 * turn
+            for part in chunks(len(asked), _LEAF):
+                some = asked[part]
+                size = self.sizes[box[some]]
+                r = np.repeat(row[some], size)
+                spot = np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[box[some]], size)
+                away = gaps_of(x, self.points, r, spot)
+                c = self.order[spot]
+                hit = np.flatnonzero((away <= bound[r]) & (cells[c] != own[r]))
+                best = first_of_rows(k, *(np.concatenate(v) for v in zip(best, (r[hit], c[hit], away[hit]))))
+                # The k-th of a row, where it has so many.
+                last = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1)
+                bound[best[0][last]] = np.minimum(bound[best[0][last]], best[2][last])
+        return best
+
+
 def blocked(q: DataFrame, p: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with their blocks ``qb`` and ``pb`` of each ``target``: every pair of blocks meets once.
 
@@ -238,16 +390,20 @@ def _in_blocks(q: DataFrame, p: DataFrame, k: int, block: int, result: str, pivo
         cells = np.unique(of)
         order = of.argsort(kind="stable")
         held = np.split(order, np.searchsorted(of[order], cells[1:]))
-        parts = []
+        alone = left["bound"].isna().all()
+        parts, boxes = [], None if alone else Searched(points)
         for at in range(0, len(left), _ASKED):
             some = left.iloc[at : at + _ASKED]
-            x, bound = np.stack(some["vec"].to_numpy()).astype(float), some["bound"].to_numpy(dtype=float)
-            wanted = some["cell"].to_numpy()[:, None] == cells
-            if np.isnan(bound).all():
-                bound = np.full(len(x), np.inf)
+            x, bound, own = np.stack(some["vec"].to_numpy()).astype(float), some["bound"].to_numpy(dtype=float), some["cell"].to_numpy()
+            if boxes and (at or boxes.useful(x, bound)):
+                row, col, gap = boxes.nearest(x, own, of, bound, k)
             else:
-                wanted = ~wanted & _wanted(_distances(x, pivots[cells]), reach[cells], bound)
-            row, col, gap = _nearest_in_cells(x, wanted, bound, points, held, k)
+                boxes, wanted = None, own[:, None] == cells
+                if alone:
+                    bound = np.full(len(x), np.inf)
+                else:
+                    wanted = ~wanted & _wanted(_distances(x, pivots[cells]), reach[cells], bound[:, None])
+                row, col, gap = _nearest_in_cells(x, wanted, bound, points, held, k)
             parts.append((some["id"].to_numpy()[row], ids[col], gap))
         return pd.DataFrame({
             name: np.concatenate([part[i] for part in parts]) for i, name in enumerate(("query_id", "point_id", "distance"))})
@@ -287,15 +443,26 @@ def nearest_neighbours(
     q_kind = q_raw.schema["id"].dataType.simpleString()
     p_kind = p_raw.schema["id"].dataType.simpleString()
     result = f"query_id {q_kind}, point_id {p_kind}, distance double"
-    pivots = min(MAX_PIVOTS, pivots or max(1, ceil(sqrt(p_raw.count()))))
-    chosen = p_raw.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).collect()
+    rows = p_raw.count()
+    pivots = min(MAX_PIVOTS, pivots or max(1, ceil(sqrt(rows))))
+    # Known before the sample is read, so that what the driver holds is bounded.
+    width = p_raw.select(F.max(F.size("vec"))).first()[0] or 1
+    sampled = max(pivots, min(_SAMPLED * pivots, _SAMPLED_NUMBERS // max(1, width)))
+    chosen = p_raw.orderBy(F.md5(F.col("id").cast("string")), "id").limit(sampled).collect()
     if not chosen:
         return spark.createDataFrame([], result + ", rank int")
-    centres = np.array([row["vec"] for row in chosen], dtype=float)
-    q, p = (materialise(_in_cells(df, centres), "cells") for df in (q_raw, p_raw))
+    sample = np.array([row["vec"] for row in chosen], dtype=float)
+    cuts = Cuts(sample, max(1, len(sample) // pivots))
+    centres = sample[cuts.order[cuts.starts]]
+    q, p = (materialise(_in_cells(df, cuts, centres), "cells") for df in (q_raw, p_raw))
     reach, sizes = np.full(len(centres), -1.0), np.zeros(len(centres), dtype=np.int64)
-    for r in p.groupBy("cell").agg(F.max("gap").alias("r"), F.count(F.lit(1)).alias("n")).collect():
-        reach[r["cell"]], sizes[r["cell"]] = r["r"], r["n"]
+    low, high = np.full(centres.shape, np.inf), np.full(centres.shape, -np.inf)
+    whole, corners = _corners(p)
+    for r in whole:
+        reach[r["cell"]], sizes[r["cell"]] = r["reach"], r["n"]
+    for r in corners:
+        low[r["cell"], r["pos"]], high[r["cell"], r["pos"]] = r["low"], r["high"]
+    boxes = Boxes(low, high)
     # The region of each cell: MAX_PIVOTS rows at most.
     region = regions_of(centres, sizes, block)
     cells = [(i, int(r), int(n)) for i, (r, n) in enumerate(zip(region, sizes))]
@@ -309,7 +476,7 @@ def nearest_neighbours(
     near = materialise(top_per_group(own, ["query_id"], [F.asc("distance"), F.asc("point_id")], k, "rank"), "own-cell")
     bounds = near.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("bound"))
     bounded = q.join(bounds, q["id"] == bounds["query_id"], "left").select("id", "vec", "cell", "bound")
-    routed = materialise(_routed(bounded, centres, reach, sizes, region, k), "routed")
+    routed = materialise(_routed(bounded, centres, reach, sizes, region, k, boxes), "routed")
     others = _in_blocks(routed, p, k, block, result, centres, reach)
     if said is not None:
         pairs = sum(side.agg(F.sum("pairs")).first()[0] or 0 for side in (alone, routed))

@@ -133,3 +133,34 @@ def test_a_round_aligns_series_with_their_own_centroid_and_few_others():
     sure = warping._Round(np.zeros(new.shape), np.zeros(new.shape, dtype=np.int64))
     sure.add(x, before, np.full(3, np.inf), new, aligner)
     assert sure.again >= 180 and np.allclose(sure.totals, found.totals) and sure.far == found.far
+
+
+def test_neighbours_among_codes_and_numbers_compare_few_pairs(spark):
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 4, size=(4_000, 4)) * 2.5
+    x = np.c_[rng.normal(size=(4_000, 2)), codes, np.full(4_000, 5_000.0)]
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, features array<double>")
+    said = {}
+    found = neighbours.nearest_neighbours(p.where("id % 10 = 0"), p, 4, block=500, said=said)
+    got = {(r["query_id"], r["rank"]): r["point_id"] for r in found.collect()}
+    for i in range(0, 4_000, 200):
+        gaps = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert [got[i, r] for r in range(1, 5)] == np.lexsort((np.arange(4_000), gaps))[:4].tolist()
+    assert said["pairs"] < 0.06 * 4_000 * 400
+
+
+def test_boxes_find_the_nearest_outside_a_querys_cell():
+    rng = np.random.default_rng(5)
+    for n, d, places in ((5, 3, 1), (700, 4, 1), (3_000, 9, 0)):
+        p, x = np.round(rng.normal(size=(n, d)), places), np.round(rng.normal(size=(40, d)), places)
+        cells, own = rng.integers(0, 4, n), rng.integers(0, 4, 40)
+        gaps = np.stack([np.sqrt(((p - v) ** 2).sum(axis=1)) for v in x])
+        for bound in (np.full(40, np.inf), np.sort(gaps, axis=1)[:, 4], np.full(40, 0.01)):
+            row, col, gap = neighbours.Searched(p).nearest(x, own, cells, bound, 5)
+            for i in range(40):
+                near = np.flatnonzero((cells != own[i]) & (gaps[i] <= bound[i]))
+                want = near[np.lexsort((near, gaps[i][near]))][:5]
+                assert col[row == i].tolist() == want.tolist() and np.array_equal(gap[row == i], gaps[i][want])
+    cuts = neighbours.Cuts(p, 8)
+    sizes = np.diff(np.r_[cuts.starts, len(p)])
+    assert np.array_equal(cuts.part(p)[cuts.order], np.repeat(np.arange(len(sizes)), sizes))
