@@ -20,6 +20,9 @@ FIT_PARTITIONS = 8
 # pass, with the same splits where all features are looked at; where a node draws its features,
 # as in a forest, nodes of later passes draw others.
 NODE_MB = 512
+# As NODE_MB, for a forest: a level of 20 trees fills what it is given, and two tasks of an executor hold
+# it next to the stored rows, which take most of the memory once the train table is larger than it.
+FOREST_MB = 128
 
 
 def decision_tree(label: str = "view_count", depth: int = 15, memory_mb: int = NODE_MB, **more):
@@ -30,7 +33,7 @@ def decision_tree(label: str = "view_count", depth: int = 15, memory_mb: int = N
 
 def random_forest(
     label: str = "view_count", trees: int = 20, depth: int = 12, share: float = 0.5,
-    memory_mb: int = NODE_MB, **more,
+    memory_mb: int = FOREST_MB, **more,
 ):
     return RandomForestRegressor(
         numTrees=trees, maxDepth=depth, maxMemoryInMB=memory_mb, labelCol=label,

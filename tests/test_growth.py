@@ -164,3 +164,8 @@ def test_boxes_find_the_nearest_outside_a_querys_cell():
     cuts = neighbours.Cuts(p, 8)
     sizes = np.diff(np.r_[cuts.starts, len(p)])
     assert np.array_equal(cuts.part(p)[cuts.order], np.repeat(np.arange(len(sizes)), sizes))
+
+
+def test_a_forests_statistics_fit_beside_stored_rows():
+    # Two tasks, each with as much again while it merges, in what an executor of 1,800 MB keeps for neither rows nor shuffles.
+    assert 2 * 2 * models.random_forest().getMaxMemoryInMB() <= 0.4 * (1_800 - 300)
