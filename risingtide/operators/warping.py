@@ -28,8 +28,8 @@ from risingtide.session import materialise
 MAX_ROUNDS = 1_000
 # Cells of alignment tables whose moves a task holds at once, two bytes each, and numbers of one diagonal,
 # of which a processor's cache holds a few.
-_CELLS = 4_000_000
-_DIAGONAL = 20_000
+_CELLS = 8_000_000
+_DIAGONAL = 40_000
 # Parts of a round's sums that the driver adds up by itself.
 _PARTS = 256
 # Cells of the alignment tables of all series in one stored file: a round's work is far larger
